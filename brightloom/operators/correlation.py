@@ -124,8 +124,10 @@ def matrix_table(table) -> DataFrame:
 def heatmap(table) -> DataFrame:
     """x, y, value (3 digits) for every ordered pair, diagonal included."""
     stats = as_stats(table)
+    cells = _cells(stats)
+    names = stats.numeric if cells else []
     rows = [
-        (a, b, None if r is None else round(r, 3)) for (a, b), r in _cells(stats).items()
+        (a, b, None if cells[a, b] is None else round(cells[a, b], 3)) for a in names for b in names
     ]
     return stats.df.sparkSession.createDataFrame(rows, "x string, y string, value double")
 
