@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         )
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the checkpoint folder, for tables written along the way."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there.
 

@@ -176,6 +176,14 @@ def _order(column: Column, values: dict[str, int]) -> Column:
                   F.when(column == next(iter(values)), next(iter(values.values())))).otherwise(0)
 
 
+def _preference(key: str | None):
+    """Sort key: the strongest in ``key``, then the higher score, then the earlier rank."""
+    def preference(x):
+        strength = F.lit(0) if key is None else -x[key]
+        return F.struct(strength.alias("k"), (-x["score"]).alias("s"), x["rank"].alias("rank"))
+    return preference
+
+
 def roles(rankings: DataFrame) -> DataFrame:
     """session_id, id, role, reasoning: one algorithm per role, each used once.
 
@@ -191,11 +199,7 @@ def roles(rankings: DataFrame) -> DataFrame:
     )
     chosen = rankings.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("left"))
     for role, key in zip(ROLES, (None, "by_speed", "by_accuracy", "by_clarity")):
-        # Strongest key first, then the higher score, then the earlier rank.
-        order = F.transform("left", lambda x, key=key: F.struct(
-            F.lit(0).alias("k") if key is None else (-x[key]).alias("k"), (-x["score"]).alias("s"),
-            x["rank"].alias("rank"),
-        ))
+        order = F.transform("left", _preference(key))
         chosen = chosen.withColumn("_best", F.array_min(order)["rank"])
         pick = F.get(F.filter("left", lambda x: x["rank"] == F.col("_best")), F.lit(0))
         chosen = chosen.withColumn(role, pick).withColumn(

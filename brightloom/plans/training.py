@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 
 from brightloom.errors import StepError
 from brightloom.functions.columns import col, is_numeric, is_text, require
+from brightloom.functions.values import distinct_counts
+from brightloom.operators.encoding import label_encode
 from brightloom.operators.missing import forward_fill
 from brightloom.plans import knowledge as kb
 
 SEED = 42
 TRAIN_SHARE = 0.8
 KEPT_VARIANCE = 0.95
+MOST_INDEXED = 10_000   # values of one text column that a fitted index may hold
 
 CATEGORY = {a[0]: a[1] for a in kb.ALGORITHMS}
 TEMPLATE = {t[0]: t[1:] for t in kb.TEMPLATES}
@@ -161,6 +164,15 @@ def _typed(df: DataFrame, algorithm: str, skip) -> DataFrame:
     return df.select(*kept)
 
 
+def _shorten_texts(df: DataFrame, skip) -> DataFrame:
+    """Text columns with too many values for a driver-side index get label codes in Spark."""
+    texts = [f.name for f in df.schema if is_text(f.dataType) and f.name not in skip]
+    for c, n in distinct_counts(df, texts).items():
+        if n > MOST_INDEXED:
+            df = label_encode(df, c)
+    return df
+
+
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """80/20 split by a seeded hash of the whole row: it does not move when tasks are rerun.
 
@@ -204,7 +216,7 @@ def train(df: DataFrame, algorithm: str, target: str | None = None, rounds: int
         skip += ["censor"] + ([censor] if censor else [])
     skip += [c for c in (order_by or []) if c not in skip]
 
-    ready = _typed(df, algorithm, skip)
+    ready = _typed(_shorten_texts(df, skip), algorithm, skip)
     supervised = category not in ("clustering", "dimensionality_reduction")
     train_rows, test_rows = split(ready) if supervised else (ready, ready)
     prep = preparation(ready, algorithm, tuple(skip)).fit(train_rows)
