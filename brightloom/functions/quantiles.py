@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,15 +29,16 @@ COLUMNS_PER_SCAN = 24
 MOST_ROUNDS = 200
 
 
-@dataclass
+@dataclass(eq=False)
 class _Target:
     column: str
     rank: int
     total: int                  # values in the column
-    size: int                   # values strictly between low and high
+    size: float                 # values strictly between low and high
     before: int = 0             # values up to and including low
     low: float = -math.inf      # the wanted value lies in [low, high]
     high: float = math.inf
+    guess: float = math.inf     # size of a proposed bracket, before it is counted
     value: float | None = None
 
     @property
@@ -121,13 +121,15 @@ def _by_brackets(df, columns, probabilities, counts):
             break
         # Neighbouring ranks share their bracket, so each bracket is worked on once.
         sizes = {t.bracket: t.size for t in still_open}
-        if sum(sizes.values()) <= READ_OUT:
-            _read_out(values, slot, still_open)
-        else:
+        if sum(sizes.values()) > READ_OUT:
             share = READ_OUT / len(sizes)
             wide = [t for t in still_open if t.size > share]
             _tighten(values, slot, wide)
-            _count(values, slot, wide)
+            proposed = {t.bracket: t.guess if t in wide else t.size for t in still_open}
+            if sum(proposed.values()) > READ_OUT:
+                _count(values, slot, wide)
+                continue
+        _read_out(values, slot, still_open)
     else:
         raise RuntimeError("the quantile brackets did not close")
 
@@ -156,7 +158,7 @@ def _by_bracket(targets):
 
 
 def _tighten(values, slot, targets):
-    """Propose narrower brackets from about SAMPLE random values inside each."""
+    """Propose narrower brackets, and guess their sizes, from about SAMPLE values inside each."""
     grouped = _by_bracket(targets)
     if all(low == -math.inf and high == math.inf for (_, low, high), _ in grouped):
         fraction = min(1.0, SAMPLE / min(mine[0].size for _, mine in grouped))
@@ -176,7 +178,9 @@ def _tighten(values, slot, targets):
         )
         samples = [drawn.loc[drawn["b"] == i, "v"].to_numpy() for i in range(len(grouped))]
     for (_, mine), sample in zip(grouped, samples):
-        if len(sample) == 0:
+        if len(sample) == 0:        # nothing learnt: the count decides how to go on
+            for t in mine:
+                t.guess = t.size
             continue
         sample = np.sort(sample)
         for t in mine:
@@ -188,6 +192,7 @@ def _tighten(values, slot, targets):
                 t.low = float(sample[first])
             if last < len(sample):
                 t.high = float(sample[last])
+            t.guess = t.size * (min(last, len(sample)) - max(first, 0)) / len(sample)
 
 
 def _count(values, slot, targets):
@@ -219,27 +224,53 @@ def _count(values, slot, targets):
 
 
 def _read_out(values, slot, targets):
-    """Group the few values inside the brackets; counts below them are known exactly."""
-    grouped = _by_bracket(targets)
-    by_column: dict[str, list[tuple[float, float]]] = {}
-    for (c, low, high), _ in grouped:
-        by_column.setdefault(c, []).append((low, high))
-    numbers = {c: i for i, c in enumerate(by_column)}
-    entries = F.array(*[
-        F.when(
-            reduce(lambda a, b: a | b, [_inside(F.col(slot[c]), low, high) for low, high in ranges]),
-            F.struct(F.lit(numbers[c]).alias("c"), F.col(slot[c]).alias("v")),
-        )
-        for c, ranges in by_column.items()
-    ])
+    """One scan: the values inside the brackets one by one, everything between them as counts.
+
+    Per column the brackets cut the number line into regions 0, 1, 2, ...; odd regions
+    are brackets and keep their values, even ones only count.
+    """
+    ranges: dict[str, list[list[float]]] = {}
+    for c, low, high in sorted({t.bracket for t in targets}):
+        mine = ranges.setdefault(c, [])
+        if mine and low <= mine[-1][1]:
+            mine[-1][1] = max(mine[-1][1], high)
+        else:
+            mine.append([low, high])
+    numbers = {c: i for i, c in enumerate(ranges)}
+    entries = F.array(*[_regions(numbers[c], F.col(slot[c]), mine) for c, mine in ranges.items()])
     frame = (
         values.select(F.explode(entries).alias("e")).where(F.col("e").isNotNull())
-        .groupBy(F.col("e.c").alias("c"), F.col("e.v").alias("v"))
+        .groupBy(F.col("e.c").alias("c"), F.col("e.r").alias("r"), F.col("e.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("n")).toPandas()       # at most about READ_OUT rows
+        .sort_values(["c", "r", "v"])
     )
-    for (c, low, high), mine in grouped:
-        part = frame[(frame["c"] == numbers[c]) & (frame["v"] > low) & (frame["v"] < high)]
-        part = part.sort_values("v")
-        ends = part["n"].cumsum().to_numpy()
-        for t in mine:
-            t.value = float(part["v"].iloc[int((ends <= t.rank - t.before).sum())])
+    for c, mine in ranges.items():
+        part = frame[frame["c"] == numbers[c]]
+        for t in (t for t in targets if t.column == c):
+            region = 2 * next(i for i, (low, high) in enumerate(mine) if low <= t.low <= high) + 1
+            before = int(part.loc[part["r"] < region, "n"].sum())
+            inner = part[part["r"] == region]
+            ends = inner["n"].cumsum().to_numpy()
+            inside = int(ends[-1]) if len(ends) else 0
+            if t.rank < before:                     # the bracket missed: look to its left
+                t.low, t.high, t.before, t.size = -math.inf, mine[region // 2][0], 0, before
+            elif t.rank >= before + inside:         # or to its right
+                t.low, t.high = mine[region // 2][1], math.inf
+                t.before, t.size = before + inside, t.total - before - inside
+            else:
+                t.value = float(inner["v"].iloc[int((ends <= t.rank - before).sum())])
+
+
+def _regions(number, value, ranges):
+    """(column number, region, value if the region is a bracket) of one value."""
+    def entry(region, shown):
+        return F.struct(F.lit(number).alias("c"), F.lit(region).alias("r"), shown.alias("v"))
+
+    nothing = F.lit(None).cast("double")
+    chain = F.when(value.isNull(), F.lit(None))
+    for i, (low, high) in enumerate(ranges):
+        if low != -math.inf:
+            chain = chain.when(value < F.lit(low), entry(2 * i, nothing))
+        inside = F.lit(True) if high == math.inf else value <= F.lit(high)
+        chain = chain.when(inside, entry(2 * i + 1, value))
+    return chain        # what lies above the last bracket is not needed

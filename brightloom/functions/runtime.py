@@ -32,14 +32,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
-    The result no longer depends on executors staying alive, and a value such as
-    ``monotonically_increasing_id`` is frozen by the write.
+    Cuts the lineage and survives lost executors; unlike a row checkpoint the result
+    can still be read column by column, and values such as
+    ``monotonically_increasing_id`` are frozen by the write.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_by_value(module_name: str) -> None:

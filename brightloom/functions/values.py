@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.functions.columns import col, dtype_of, is_nested
-from brightloom.functions.runtime import checkpoint
+from brightloom.functions.runtime import materialise
 
 COLUMNS_PER_JOB = 24
 BROADCAST_ROWS = 100_000     # a lookup of at most this many rows ...
@@ -68,8 +68,7 @@ def most_frequent(df: DataFrame, column: str):
 def with_row_index(df: DataFrame, order: Sequence[Column], name: str = "row_index") -> DataFrame:
     """Zero-based position of each row in ``order`` (a total order).
 
-    The table is range-sorted, its (partition, position) pairs are frozen in the
-    checkpoint folder, and each partition is shifted by the rows before it. No
+    The table is range-sorted, its (partition, position) pairs are frozen by writing it, and each partition is shifted by the rows before it. No
     single task ever sees the whole table.
     """
     frozen, offsets = _frozen_order(df, order, name)
@@ -100,18 +99,19 @@ def rows_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int],
             which += 1
         part, start = parts[which]
         picks.append(((part << 33) + position - start, out))
-    wanted = df.sparkSession.createDataFrame(picks, f"`{name}` long, _out long")
+    # A short IN list lets the scan skip all row groups without a wanted id.
+    wanted = dict(picks)
+    number = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair]) if wanted else None
     kept = [col(c) for c in df.columns]
-    return (
-        frozen.join(F.broadcast(wanted), name)  # as many rows as the chart shows
-        .select(F.col("_out").alias(name), *kept)
-    )
+    chosen = frozen.where(col(name).isin(list(wanted)))
+    out = number[col(name)] if wanted else F.lit(None)
+    return chosen.select(out.cast("long").alias(name), *kept)
 
 
 def _frozen_order(df, order, name):
     """Sorted rows with frozen ids, and the number of rows before each partition."""
     arranged = df.orderBy(*order) if order else df
-    frozen = checkpoint(arranged.withColumn(name, F.monotonically_increasing_id()))
+    frozen = materialise(arranged.withColumn(name, F.monotonically_increasing_id()), "order")
     sizes = (
         frozen.groupBy(F.shiftright(F.col(name), 33).cast("int").alias("part"))
         .agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()

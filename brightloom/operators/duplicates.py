@@ -34,7 +34,7 @@ def detect(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
     rows = df.select(*[col(c) for c in names])
     total, distinct = F.sum("n"), F.sum("kinds")
     if len(names) < WIDE_ROW:
-        groups = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).withColumn("kinds", F.lit(1))
+        groups = rows.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("n")).withColumn("kinds", F.lit(1))
     else:
         # Shuffle 8 bytes per row first; whole rows travel only where hashes meet.
         hashed = rows.withColumn("_h", F.xxhash64(*[col(c) for c in names]))
@@ -43,7 +43,7 @@ def detect(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
         shared = by_hash.where("n > 1").select("_h")
         met = (
             hashed.join(shared, "_h", "left_semi")
-            .groupBy(*names).agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(1).alias("kinds"))
+            .groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(1).alias("kinds"))
         )
         groups = alone.unionByName(met)
     total, distinct = F.coalesce(total, F.lit(0)), F.coalesce(distinct, F.lit(0))

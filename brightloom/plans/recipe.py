@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from brightloom.errors import BrightloomError, StepError
 from brightloom.functions.columns import col, require
-from brightloom.functions.runtime import checkpoint
+from brightloom.functions.runtime import materialise
 from brightloom.operators import columns, duplicates, encoding, missing, outliers, scaling
 
-FITS_BEFORE_CUT = 8     # fitted steps after which the lineage is cut once
+FITS_BEFORE_CUT = 8     # fitted steps after which the plan is cut once
 
 
 @dataclass
@@ -228,7 +228,7 @@ class Recipe:
     def _run(self, df: DataFrame):
         fits = 0
         pending: list[Step] = []
-        for step in self.steps:
+        for i, step in enumerate(self.steps):
             if step.type == "column_rename":
                 pending.append(step)
                 continue
@@ -240,8 +240,11 @@ class Recipe:
             except (BrightloomError, TypeError) as error:
                 raise StepError(step.type, f"{step.params}: {error}") from error
             fits += _kind(step.type).runs_job
-            if fits and fits % FITS_BEFORE_CUT == 0 and _kind(step.type).runs_job:
-                df = checkpoint(df)
+            # A step that shuffles the whole table is written once when later steps
+            # scan its result for their fits; so is a long chain of fitted steps.
+            scans = sum(_kind(s.type).runs_job for s in self.steps[i + 1:])
+            if (_shuffles(step) and scans >= 2) or (fits >= FITS_BEFORE_CUT and scans):
+                df, fits = materialise(df, "recipe"), 0
             yield fitted, df
         yield from _renamed(df, pending)
 
@@ -308,6 +311,10 @@ class Recipe:
         return len(self.steps)
 
 
+def _shuffles(step: Step) -> bool:
+    return step.type == "duplicates" or step.params.get("strategy") == "ffill"
+
+
 def _pairs(steps):
     return [(s.params["old_name"], s.params["new_name"]) for s in steps]
 

@@ -409,7 +409,8 @@ sql("corr_long_with_gaps", f"""WITH {EVENTS}, g AS (
 NET = ("l_quantity", "l_extendedprice", "net")
 sql("corr_high_pairs", """WITH g AS (
   SELECT l_quantity, l_extendedprice, l_extendedprice * (1 - l_discount) AS net FROM lineitem)
-SELECT column1, column2, " + nearest('r', 3) + " AS correlation, 'Pearson coefficient is high (' || CAST(" + nearest('r', 2) + " AS VARCHAR) ||
+SELECT column1, column2, """ + nearest("r", 3) + """ AS correlation,
+  'Pearson coefficient is high (' || CAST(""" + nearest("r", 2) + """ AS VARCHAR) ||
   '). Recommend dropping either ''' || column1 || ''' or ''' || column2 || '''.' AS recommendation
 FROM (""" + union(
     f"SELECT '{a}' AS column1, '{b}' AS column2, corr({a}, {b}) AS r FROM g"
