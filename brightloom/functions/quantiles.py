@@ -26,6 +26,7 @@ SMALL = 20_000           # rows up to which `percentile` may hold a column in me
 SAMPLE = 60_000          # sampled values per bracket and round
 READ_OUT = 500_000       # values inside all brackets of one read-out, about
 COLUMNS_PER_SCAN = 24
+FEW = 100                # a bracket of so few values is never narrowed further
 MOST_ROUNDS = 200
 
 
@@ -121,9 +122,9 @@ def _by_brackets(df, columns, probabilities, counts):
             break
         # Neighbouring ranks share their bracket, so each bracket is worked on once.
         sizes = {t.bracket: t.size for t in still_open}
-        if sum(sizes.values()) > READ_OUT:
-            share = READ_OUT / len(sizes)
-            wide = [t for t in still_open if t.size > share]
+        share = max(READ_OUT / len(sizes), FEW)
+        wide = [t for t in still_open if t.size > share]
+        if wide and sum(sizes.values()) > READ_OUT:
             _tighten(values, slot, wide)
             proposed = {t.bracket: t.guess if t in wide else t.size for t in still_open}
             if sum(proposed.values()) > READ_OUT:

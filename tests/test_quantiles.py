@@ -20,8 +20,8 @@ def check(spark, frame, **limits):
 @pytest.fixture
 def tight(monkeypatch):
     """Small limits, so that brackets are sampled, counted, moved and read out."""
-    monkeypatch.setattr(q, "SAMPLE", 300)
-    monkeypatch.setattr(q, "READ_OUT", 400)
+    monkeypatch.setattr(q, "SAMPLE", 1000)
+    monkeypatch.setattr(q, "READ_OUT", 3000)
 
 
 def test_many_shapes(spark, tight):
