@@ -75,12 +75,12 @@ def active_operations(operations: DataFrame) -> DataFrame:
 def deactivate_last(operations: DataFrame, at: Column | None = None) -> DataFrame:
     """Mark the latest active operation of each session as undone.
 
-    The latest step per session is one aggregate (combined before the shuffle), so a
-    session with very many operations is not gathered in one task.
+    The latest step per session is one aggregate (combined before the shuffle), and the
+    join is on session and step, so a session with very many operations stays spread.
     """
     latest = operations.where(is_active(F.col("parameters"))).groupBy("session_id").agg(
-        F.max("step_number").alias("_last")
-    )
+        F.max("step_number").alias("step_number")
+    ).withColumn("_last", F.lit(True))
     undone_at = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss")
     body = F.regexp_replace(
         F.regexp_replace("parameters", r',?\s*"is_active"\s*:\s*true', ""), r"\}\s*$", ""
@@ -90,10 +90,10 @@ def deactivate_last(operations: DataFrame, at: Column | None = None) -> DataFram
     rewritten = F.concat(
         body, comma, F.lit('"is_active": false, "undone_at": "'), undone_at, F.lit('"}')
     )
-    joined = operations.join(latest, "session_id", "left")
-    hit = (F.col("step_number") == F.col("_last")) & is_active(F.col("parameters"))
+    joined = operations.join(latest, ["session_id", "step_number"], "left")
+    hit = F.col("_last").isNotNull() & is_active(F.col("parameters"))
     return joined.withColumn(
-        "parameters", F.when(F.coalesce(hit, F.lit(False)), rewritten).otherwise(F.col("parameters"))
+        "parameters", F.when(hit, rewritten).otherwise(F.col("parameters"))
     ).select(*operations.columns)
 
 

@@ -22,6 +22,7 @@ from brightloom.operators.profile import as_stats
 ship_by_value(__name__)
 
 MOST_COLUMNS = 300      # fixed value: beyond it no matrix is drawn
+MANY_COLUMNS = 30
 
 
 def _pair_sums(means: Sequence[float]):
@@ -63,6 +64,9 @@ def matrix(table, columns: Sequence[str] | None = None) -> dict[tuple[str, str],
         return {}
     means = [stats.moments()[c]["mean"] or 0.0 for c in columns]
     values = stats.df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    if len(columns) > MANY_COLUMNS:
+        # Each task emits its whole matrix once: fewer, longer tasks shuffle less.
+        values = values.coalesce(4 * stats.df.sparkSession.sparkContext.defaultParallelism)
     sums = (
         values.mapInPandas(
             _pair_sums(means),

@@ -138,66 +138,100 @@ def forward_fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
                  partition_by: Sequence[str] = (), rows_per_stretch: int = ROWS_PER_STRETCH) -> DataFrame:
     """Carry the last known value forward along ``order_by`` within each ``partition_by`` group.
 
+    Each stretch (see ``in_stretches``) is filled on its own; what it inherits is the
+    last value of the stretches before it, a table of one row per (group, stretch).
+    """
+    require(df, columns)
+    placed = in_stretches(df, order_by, partition_by, rows_per_stretch)
+    order = [col(c).asc_nulls_last() for c in order_by]
+    last = lambda c: F.last(c, ignorenulls=True)
+    local = W.partitionBy("_group", "_stretch").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    near = placed.select(
+        "*", *[last(col(c)).over(local).alias(f"_near{i}") for i, c in enumerate(columns)]
+    )
+    place = F.struct(*[col(c) for c in order_by])
+    ends = placed.groupBy("_group", "_stretch").agg(*[
+        F.max_by(col(c), F.when(col(c).isNotNull(), place)).alias(f"_end{i}")
+        for i, c in enumerate(columns)
+    ])
+    # One row per (group, stretch): a group has at most MOST_STRETCHES rows here.
+    before = W.partitionBy("_group").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    far = ends.select(
+        "_group", "_stretch",
+        *[last(f"_end{i}").over(before).alias(f"_far{i}") for i in range(len(columns))],
+    )
+    filled = near.join(far, ["_group", "_stretch"])
+    number = {c: i for i, c in enumerate(columns)}
+    return filled.select(*[
+        F.coalesce(F.col(f"_near{number[c]}"), F.col(f"_far{number[c]}")).alias(c)
+        if c in number else col(c) for c in df.columns
+    ])
+
+
+def lags(df: DataFrame, column: str, count: int, order_by: Sequence[str],
+         partition_by: Sequence[str] = (), rows_per_stretch: int = ROWS_PER_STRETCH) -> DataFrame:
+    """Columns lag_1 ... lag_count: earlier values of ``column`` in the same group.
+
+    Rows are numbered per group (position in the stretch plus the rows of the stretches
+    before), then each row hands its value to the next ``count`` numbers. Only groups
+    of at most count + 1 rows meet in one place.
+    """
+    require(df, [column])
+    placed = in_stretches(df, order_by, partition_by, rows_per_stretch)
+    order = [col(c).asc_nulls_last() for c in order_by]
+    local = W.partitionBy("_group", "_stretch").orderBy(*order)
+    sizes = placed.groupBy("_group", "_stretch").agg(F.count(F.lit(1)).alias("_size"))
+    before = W.partitionBy("_group").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(
+        "_group", "_stretch", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
+    )
+    numbered = placed.withColumn("_nth", F.row_number().over(local)).join(
+        starts, ["_group", "_stretch"]
+    ).withColumn("_nth", F.col("_nth") + F.col("_start"))
+    row = F.struct(*[col(c) for c in df.columns])
+    handed = numbered.select(
+        "_group", "_nth", row.alias("_row"), col(column).alias("_value"),
+        F.explode(F.sequence(F.lit(0), F.lit(count))).alias("_back"),
+    )
+    own = F.col("_back") == 0
+    met = handed.groupBy("_group", (F.col("_nth") + F.col("_back")).alias("_nth")).agg(
+        F.max(F.when(own, F.lit(True))).alias("_real"), F.first(F.when(own, F.col("_row")), True).alias("_row"),
+        *[F.first(F.when(F.col("_back") == i, F.col("_value")), True).alias(f"lag_{i}")
+          for i in range(1, count + 1)],
+    )
+    return met.where("_real").select("_row.*", *[f"lag_{i}" for i in range(1, count + 1)])
+
+
+def in_stretches(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
+                 rows_per_stretch: int = ROWS_PER_STRETCH) -> DataFrame:
+    """Add ``_group`` (the partition columns as one value) and ``_stretch``.
+
     The first order column (number, date or timestamp) is cut into stretches of about
-    ``rows_per_stretch`` rows. Each (group, stretch) is filled on its own; what a stretch
-    inherits is the last value of the stretches before it, a table of one row per
-    (group, stretch). So a group with a third of all rows is spread over many tasks.
+    ``rows_per_stretch`` rows of the whole table. So a group with a third of all rows is
+    spread over many tasks, and all rows of a (group, stretch) follow each other.
     """
-    require(df, [*columns, *order_by, *partition_by])
+    require(df, [*order_by, *partition_by])
     if not order_by:
-        raise StepError("forward fill", "order_by is required")
+        raise StepError("order", "order_by is required")
     axis, dtype = col(order_by[0]), dtype_of(df, order_by[0])
     if isinstance(dtype, T.DateType):
         position = F.unix_date(axis).cast("double")
-    elif isinstance(dtype, T.TimestampType):
-        position = F.unix_micros(axis).cast("double")
-    elif isinstance(dtype, T.TimestampNTZType):
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         position = F.unix_micros(axis.cast("timestamp")).cast("double")
     elif is_numeric(dtype):
         position = axis.cast("double")
     else:
-        raise StepError("forward fill", f"column '{order_by[0]}' is neither a number nor a time")
-    placed = df.withColumn("_at", position)
+        raise StepError("order", f"column '{order_by[0]}' is neither a number nor a time")
+    # A struct compares NULL with NULL as equal, so windows and joins on it agree.
+    group = F.struct(*[col(c) for c in partition_by]) if partition_by else F.lit(0)
+    placed = df.withColumn("_group", group).withColumn("_at", position)
     cuts = _cuts(placed, rows_per_stretch)
-    if cuts:
-        placed = Bucketizer(
-            splits=[-math.inf, *cuts, math.inf], inputCol="_at", outputCol="_stretch",
-            handleInvalid="keep",
-        ).transform(placed).withColumn("_stretch", F.col("_stretch").cast("int"))
-    else:
-        placed = placed.withColumn("_stretch", F.lit(0))
-
-    group = [col(c) for c in partition_by]
-    order = [col(c).asc_nulls_last() for c in order_by]
-    last = lambda c: F.last(c, ignorenulls=True)
-    local = W.partitionBy(*group, "_stretch").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    filled = placed.select(
-        "*", *[last(col(c)).over(local).alias(f"_near{i}") for i, c in enumerate(columns)]
-    )
-    if cuts:
-        place = F.struct(*[col(c) for c in order_by])
-        ends = placed.groupBy(*group, F.col("_stretch")).agg(*[
-            F.max_by(col(c), F.when(col(c).isNotNull(), place)).alias(f"_end{i}")
-            for i, c in enumerate(columns)
-        ])
-        # One row per (group, stretch): a group has at most MOST_STRETCHES rows here.
-        before = W.partitionBy(*group).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
-        carried = ends.select(
-            *[col(c).alias(f"_g{i}") for i, c in enumerate(partition_by)],
-            F.col("_stretch").alias("_s"),
-            *[last(f"_end{i}").over(before).alias(f"_far{i}") for i in range(len(columns))],
-        )
-        same = F.col("_stretch") == F.col("_s")
-        for i, c in enumerate(partition_by):
-            same = same & col(c).eqNullSafe(F.col(f"_g{i}"))
-        filled = filled.join(carried, same, "left")
-    else:
-        filled = filled.select("*", *[F.lit(None).alias(f"_far{i}") for i in range(len(columns))])
-    number = {c: i for i, c in enumerate(columns)}
-    return filled.select(*[
-        F.coalesce(F.col(f"_near{number[c]}"), F.col(f"_far{number[c]}")).alias(c)
-        if c in number else col(c) for c in df.columns
-    ])
+    if not cuts:
+        return placed.withColumn("_stretch", F.lit(0)).drop("_at")
+    return Bucketizer(
+        splits=[-math.inf, *cuts, math.inf], inputCol="_at", outputCol="_stretch",
+        handleInvalid="keep",       # rows without a position come last
+    ).transform(placed).withColumn("_stretch", F.col("_stretch").cast("int")).drop("_at")
 
 
 def _cuts(placed: DataFrame, rows_per_stretch: int) -> list[float]:

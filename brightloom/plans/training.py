@@ -17,7 +17,6 @@ from pyspark.ml import feature as fe
 from pyspark.ml import regression as rg
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brightloom.errors import StepError
@@ -25,6 +24,7 @@ from brightloom.functions.columns import col, is_numeric, is_text, require
 from brightloom.functions.values import distinct_counts
 from brightloom.operators.encoding import label_encode
 from brightloom.operators.missing import forward_fill
+from brightloom.operators.missing import lags as lags_of
 from brightloom.plans import knowledge as kb
 
 SEED = 42
@@ -253,11 +253,8 @@ def _lag_features(df, target, order_by, partition_by, lags):
     if not order_by:
         raise StepError("train", "a time series needs order_by")
     filled = forward_fill(df, [target], order_by, partition_by)
-    series = W.partitionBy(*[col(c) for c in partition_by]).orderBy(*[col(c) for c in order_by])
-    shifted = filled.select(
-        *[col(c) for c in dict.fromkeys([*order_by, *partition_by, target])],
-        *[F.lag(col(target).cast("double"), i).over(series).alias(f"lag_{i}") for i in range(1, lags + 1)],
-    )
+    kept = filled.select(*[col(c) for c in dict.fromkeys([*order_by, *partition_by, target])])
+    shifted = lags_of(kept, target, lags, order_by, partition_by)
     return shifted.where(F.col(f"lag_{lags}").isNotNull())
 
 
@@ -283,9 +280,10 @@ def _metrics(category: str, model, predictions: DataFrame, algorithm: str) -> Da
             evaluator = ev.RegressionEvaluator(metricName=name)
             rows.append((name, None, evaluator.evaluate(predictions)))
     elif category == "clustering":
-        rows.append(("silhouette", None, ev.ClusteringEvaluator().evaluate(predictions)))
-        for r in predictions.groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).collect():
-            rows.append(("size", str(r["prediction"]), float(r["n"])))
+        sizes = predictions.groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).collect()
+        rows += [("size", str(r["prediction"]), float(r["n"])) for r in sizes]
+        if len(sizes) > 1:
+            rows.append(("silhouette", None, ev.ClusteringEvaluator().evaluate(predictions)))
     else:
         for i, part in enumerate(model.explainedVariance):
             rows.append(("explained_variance", str(i), float(part)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightloom.errors import EmptyDataset, StepError, UnsupportedFileType
-from brightloom.functions.columns import FLOATING, col, is_text, replace_columns
+from brightloom.functions.columns import FLOATING, col, replace_columns
 
 # Texts that stand for a missing value in a CSV file.
 MISSING_TEXTS = (
@@ -37,21 +37,23 @@ def normalise_missing(df: DataFrame) -> DataFrame:
 
 
 def load_table(spark: SparkSession, path: str, fmt: str | None = None,
-               schema: T.StructType | str | None = None, multiline: bool = True) -> DataFrame:
+               schema: T.StructType | str | None = None, multiline: bool | None = None) -> DataFrame:
     """Load a table by format or file extension; an empty table is an error.
 
-    A schema spares the inference scan. ``multiline`` allows line breaks inside CSV
-    fields and JSON arrays over many lines; such a file is one task, so large tables
-    come as many files, as JSON lines, as Parquet, or with ``multiline=False``.
+    A schema spares the inference scan. ``multiline`` says whether a CSV field or a JSON
+    value goes over several lines; then each file is one task. By default a scan of the
+    raw lines decides, so a large file is only read as a whole where it has to be.
     """
     fmt = fmt or format_of(path)
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt in ("json", "jsonl"):
-        reader = spark.read.option("multiLine", multiline and fmt == "json")
+        whole = _json_over_lines(spark, path) if multiline is None else multiline
+        reader = spark.read.option("multiLine", whole and fmt == "json")
         df = (reader.schema(schema) if schema is not None else reader).json(path)
     elif fmt == "csv":
-        df = _load_csv(spark, path, schema, multiline)
+        whole = _csv_over_lines(spark, path) if multiline is None else multiline
+        df = _load_csv(spark, path, schema, whole)
     else:
         raise UnsupportedFileType(path, FORMATS)
     df = normalise_missing(df)
@@ -60,6 +62,19 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None,
     return df
 
 
+def _csv_over_lines(spark, path) -> bool:
+    """Does a quoted field hold a line break? Then some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def _json_over_lines(spark, path) -> bool:
+    """JSON lines hold one object per line; anything else must be read file by file."""
+    line = F.trim("value")
+    single = line.startswith("{") & line.endswith("}")
+    return not spark.read.text(path).where((line != "") & ~single).isEmpty()
+
+
 def _load_csv(spark, path, schema, multiline):
     reader = spark.read.options(header=True, multiLine=multiline, escape='"')
     if schema is not None:
@@ -121,11 +136,3 @@ def export_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "
 def cleaned_path(folder: str, name: str, fmt: str) -> str:
     """``<folder>/<name>_cleaned.<fmt>``, the export naming rule."""
     return f"{folder.rstrip('/')}/{name}_cleaned.{fmt}"
-
-
-def cast_texts(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Apply a schema to a table of texts; a text that does not parse becomes NULL."""
-    return df.select(*[
-        col(f.name) if is_text(f.dataType) else col(f.name).try_cast(f.dataType).alias(f.name)
-        for f in schema
-    ])

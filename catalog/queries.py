@@ -338,6 +338,13 @@ def forward_fill(spark, folder):
     ).select("event_id", "user_id", "value", "event_type")
 
 
+@query
+def lag_features(spark, folder):
+    """Two earlier values of each user's events, as a time-series model gets them."""
+    df = events(spark, folder).select("event_id", "ts", "user_id", "value")
+    return missing.lags(df, "value", 2, ["ts", "event_id"], ["user_id"], rows_per_stretch=1000).drop("ts")
+
+
 # -- outliers ------------------------------------------------------------------
 @query
 def outliers_iqr(spark, folder):
@@ -647,7 +654,7 @@ def recipe_affected_rows(spark, folder):
 # -- sources -------------------------------------------------------------------
 def _there_and_back(spark, df, fmt):
     path = shared_folder(spark, "round-trip") + f".{fmt}"
-    return load_table(spark, export_table(df, path), multiline=False)
+    return load_table(spark, export_table(df, path))
 
 
 @query

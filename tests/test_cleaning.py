@@ -285,3 +285,15 @@ def test_odd_column_names(spark):
     assert missing.impute(df, "a.b c", "mean").where("`a.b c` is null").count() == 0
     assert encoding.label_encode(df, "x`y").columns == ["a.b c", "x`y"]
     assert duplicates.detect(df).first()["duplicate_rows"] == 0
+
+
+@pytest.mark.parametrize("rows_per_stretch", [10**9, 30])
+def test_lags_with_a_hot_group(spark, rows_per_stretch):
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"at": np.arange(400), "k": np.where(rng.random(400) < 0.6, 0, rng.integers(1, 5, 400)),
+                          "v": rng.random(400)})
+    df = spark.createDataFrame(frame).withColumn("k", F.when(F.col("k") != 4, F.col("k")))
+    got = missing.lags(df, "v", 3, ["at"], ["k"], rows_per_stretch).orderBy("at").toPandas()
+    for i in (1, 2, 3):
+        expected = frame.groupby("k")["v"].shift(i)
+        pd.testing.assert_series_equal(got[f"lag_{i}"].astype(float), expected, check_names=False)

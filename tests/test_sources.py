@@ -21,7 +21,7 @@ def test_csv(tmp_path, spark):
 @pytest.mark.parametrize("fmt", ["csv", "json", "parquet"])
 def test_round_trip(tmp_path, spark, people, fmt):
     path = export_table(people, cleaned_path(str(tmp_path), "people", fmt))
-    df = load_table(spark, path, multiline=False)
+    df = load_table(spark, path)
     assert (df.count(), len(df.columns)) == (100, 6)
     assert df.where("age is null").count() == 3
 
