@@ -123,6 +123,11 @@ def _frozen_order(df, order, name):
     return frozen, offsets
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast after counting that it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def lookup(df: DataFrame, key: Column, mapping: DataFrame, result: str,
            hot: DataFrame | None = None, small: bool = False) -> DataFrame:
     """Left-join ``mapping`` (key, code) onto ``df`` by ``key``; no partner gives NULL.

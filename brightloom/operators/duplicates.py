@@ -20,7 +20,8 @@ from brightloom.functions.columns import (
 )
 
 KEEP = ("first", "last", "none")
-WIDE_ROW = 6    # compared columns from which a row hash is shuffled before the rows
+WIDE_ROW = 6                # compared columns from which a row hash is shuffled before the rows
+MOST_BROADCAST = 1_000_000  # shared row hashes that may be broadcast
 
 
 def _compared(df: DataFrame, order_by: Sequence[str] | None) -> list[str]:
@@ -29,32 +30,41 @@ def _compared(df: DataFrame, order_by: Sequence[str] | None) -> list[str]:
 
 
 def detect(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
-    """total_rows, duplicate_rows (rows beyond the first copy), duplicate_percent."""
+    """total_rows, duplicate_rows (rows beyond the first copy), duplicate_percent.
+
+    Wide rows are first counted by a row hash, so 8 bytes per row are shuffled; only
+    rows whose hash occurs twice are then compared in full.
+    """
     names = _compared(df, order_by)
     rows = df.select(*[col(c) for c in names])
-    total, distinct = F.sum("n"), F.sum("kinds")
     if len(names) < WIDE_ROW:
-        groups = rows.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("n")).withColumn("kinds", F.lit(1))
+        total, distinct = _group_sizes(rows, names)
     else:
-        # Shuffle 8 bytes per row first; whole rows travel only where hashes meet.
         hashed = rows.withColumn("_h", F.xxhash64(*[col(c) for c in names]))
         by_hash = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
-        alone = by_hash.where("n = 1").select(F.lit(1).alias("n"), F.lit(1).alias("kinds"))
-        shared = by_hash.where("n > 1").select("_h")
-        met = (
-            hashed.join(shared, "_h", "left_semi")
-            .groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(1).alias("kinds"))
-        )
-        groups = alone.unionByName(met)
-    total, distinct = F.coalesce(total, F.lit(0)), F.coalesce(distinct, F.lit(0))
-    return groups.agg(total.alias("total_rows"), (total - distinct).alias("duplicate_rows")).select(
-        "total_rows", "duplicate_rows",
-        F.coalesce(
-            F.round(F.try_divide(F.col("duplicate_rows") * 100.0, F.col("total_rows")), 2), F.lit(0.0)
-        ).cast("double").alias("duplicate_percent"),
+        found = by_hash.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count_if(F.col("n") == 1).alias("alone"),
+            F.count_if(F.col("n") > 1).alias("shared"),
+        ).first()
+        total, distinct = found["total"], found["alone"]
+        if found["shared"]:
+            shared = by_hash.where("n > 1").select("_h")
+            if found["shared"] <= MOST_BROADCAST:
+                shared = F.broadcast(shared)        # at most 8 MB of hashes
+            distinct += _group_sizes(hashed.join(shared, "_h", "left_semi"), names)[1]
+    copies = total - distinct
+    percent = round(copies / total * 100, 2) if total else 0.0
+    return df.sparkSession.createDataFrame(
+        [(total, copies, percent)], "total_rows long, duplicate_rows long, duplicate_percent double"
     )
 
 
+def _group_sizes(rows: DataFrame, names: list[str]) -> tuple[int, int]:
+    """Rows and distinct rows."""
+    groups = rows.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("n"))
+    return tuple(groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first())
+
+
 def remove(df: DataFrame, keep: str = "first", order_by: Sequence[str] | None = None) -> DataFrame:
     """Keep the first copy, the last copy, or no copy of repeated rows."""
     if keep not in KEEP:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.columns import col
 from brightloom.functions.runtime import shared_folder
+from brightloom.functions.values import broadcast_if_small
 from brightloom.operators import (
     audit_log, charts, columns, correlation, duplicates, encoding, missing, outliers, profile,
     quality, scaling,
@@ -804,7 +805,7 @@ def cosine_topk(spark, folder):
     vectors = table(spark, folder, "embeddings")
     anchor = vectors.groupBy("label").agg(
         F.min_by("embedding", "vec_id").alias("anchor"), F.min("vec_id").alias("anchor_id"))
-    scored = vectors.join(anchor, "label").where(col("vec_id") != col("anchor_id")).select(
+    scored = vectors.join(broadcast_if_small(anchor, 10_000), "label").where(col("vec_id") != col("anchor_id")).select(
         F.col("label").cast("string").alias("session_id"), F.col("vec_id").alias("position"),
         F.round(recommend.cosine(F.col("embedding"), F.col("anchor")), 9).alias("combined_score"))
     return recommend.ranked(scored).select(

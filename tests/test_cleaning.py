@@ -41,11 +41,15 @@ def test_keep_like_a_data_frame(spark, pairs):
         assert [r["at"] for r in row["sample_after"]] == list(kept)[:10]
 
 
-def test_hot_copies_are_combined_before_the_shuffle(spark):
-    df = spark.range(30_000).select((F.col("id") % 3 == 0).cast("int").alias("hot"), F.lit("x").alias("k"))
-    plan = duplicates.detect(df)._jdf.queryExecution().executedPlan().toString()
-    assert "partial_count" in plan
-    assert duplicates.detect(df).first()["duplicate_rows"] == 29_998
+@pytest.mark.parametrize("wide", [2, 99])
+def test_hot_copies(spark, monkeypatch, wide):
+    """A third of the rows are copies of one row, by hash first or by rows at once."""
+    monkeypatch.setattr(duplicates, "WIDE_ROW", wide)
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("a"), F.lit("x").alias("k"))
+    assert duplicates.detect(df).first()["duplicate_rows"] == 9_999
+    monkeypatch.setattr(duplicates, "MOST_BROADCAST", 0)
+    assert duplicates.detect(df).first()["duplicate_rows"] == 9_999
 
 
 # -- missing
