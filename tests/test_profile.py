@@ -113,3 +113,14 @@ def test_profile_text(spark):
         "Goal: sort things. Tabular dataset with 3 rows and 2 columns. Classification task targeting 'k'. "
         "50% numeric features, 50% categorical features. Moderate missing value ratio. Low outlier ratio. "
         "Balanced classes. Small dataset.")
+
+
+def test_date_layouts(spark):
+    texts = ["2026-01-05", "2026-01-05 10:11:12", "2026-01-05 10:11:12.123456", "2026-01-05T10:11:12",
+             "2026-01-05T10:11:12.123456", "2026-01-05T10:11:12Z", "2026-01-05T10:11:12+02:00",
+             "2026-01-05 10:11:12+02:00", "01/05/2026", "2026/01/05", "05-Jan-2026", "2026"]
+    bad = ["5", "USR_1", "2026-13-01", "99/99/2026", "hello", ""]
+    df = spark.createDataFrame([(t,) for t in texts + bad], "t string")
+    parsed = {r["t"]: r["p"] for r in df.select("t", profile.parse_date(F.col("t")).alias("p")).collect()}
+    assert [t for t in texts if parsed[t] is None] == [] and [t for t in bad if parsed[t] is not None] == []
+    assert parsed["05-Jan-2026"] == parsed["01/05/2026"] == parsed["2026-01-05"]
