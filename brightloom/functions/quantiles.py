@@ -163,7 +163,7 @@ def _tighten(values, slot, targets):
     grouped = _by_bracket(targets)
     if all(low == -math.inf and high == math.inf for (_, low, high), _ in grouped):
         fraction = min(1.0, SAMPLE / min(mine[0].size for _, mine in grouped))
-        drawn = values.sample(False, fraction, 17).toPandas()
+        drawn = values.sample(False, fraction, 17).toArrow().to_pandas()
         samples = [drawn[slot[c]].dropna().to_numpy() for (c, _, _), _ in grouped]
     else:
         entries = F.array(*[
@@ -175,7 +175,7 @@ def _tighten(values, slot, targets):
         ])
         drawn = (
             values.withColumn("_draw", F.rand(seed=17)).select(F.explode(entries).alias("e"))
-            .where(F.col("e").isNotNull()).select("e.b", "e.v").toPandas()
+            .where(F.col("e").isNotNull()).select("e.b", "e.v").toArrow().to_pandas()
         )
         samples = [drawn.loc[drawn["b"] == i, "v"].to_numpy() for i in range(len(grouped))]
     for (_, mine), sample in zip(grouped, samples):
@@ -242,7 +242,7 @@ def _read_out(values, slot, targets):
     frame = (
         values.select(F.explode(entries).alias("e")).where(F.col("e").isNotNull())
         .groupBy(F.col("e.c").alias("c"), F.col("e.r").alias("r"), F.col("e.v").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n")).toPandas()       # at most about READ_OUT rows
+        .agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas()       # at most about READ_OUT rows
         .sort_values(["c", "r", "v"])
     )
     for c, mine in ranges.items():

@@ -82,9 +82,9 @@ def code_map(df: DataFrame, column: str) -> CodeMap:
         raise StepError("encoding", f"column '{column}' is nested")
     counted = value_counts(df, column).select(text_of(F.col("value"), dtype).alias("key"), "count")
     sized = counted.groupBy("key").agg(F.sum("count").alias("count"))
-    size = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("key")), F.lit(0)),
-                     F.coalesce(F.sum("count"), F.lit(0))).first()
-    numbered = with_row_index(sized, [F.col("key").asc()], "code")
+    numbered = with_row_index(sized, [F.col("key").asc()], "code")      # written once, read below
+    size = numbered.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("key")), F.lit(0)),
+                        F.coalesce(F.sum("count"), F.lit(0))).first()
     return CodeMap(numbered, *size)
 
 

@@ -99,11 +99,11 @@ def fit(df: DataFrame, column: str, contamination: float, present: int) -> Fitte
     values = df.select(col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
     fraction = min(1.0, POOL / max(present, 1))
     drawn = values if fraction >= 1.0 else values.sample(False, fraction, SEED)
-    pool = np.sort(drawn.toPandas()["v"].to_numpy())     # about POOL values
+    pool = np.sort(drawn.toArrow().to_pandas()["v"].to_numpy())     # about POOL values
     size = min(VALUES_PER_TREE, len(pool))
     trees = (
         spark.range(TREES).mapInPandas(_trees(pool), "tree long, splits array<double>, lengths array<double>")
-        .toPandas()
+        .toArrow().to_pandas()
     )
     cuts, scores = _score_ranges(trees, size)
 
@@ -119,7 +119,7 @@ def fit(df: DataFrame, column: str, contamination: float, present: int) -> Fitte
     ranges = (
         values.mapInPandas(count, "r int, size long, min double, max double")
         .groupBy("r").agg(F.sum("size").alias("n"), F.min("min").alias("low"), F.max("max").alias("high"))
-        .toPandas().sort_values("r")
+        .toArrow().to_pandas().sort_values("r")
     )
     ranges["score"] = scores[ranges["r"].to_numpy()]
     cut = _weighted_percentile(ranges["score"].to_numpy(), ranges["n"].to_numpy(), contamination)

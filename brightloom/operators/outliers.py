@@ -12,7 +12,7 @@ from brightloom.functions.columns import (
     col, dtype_of, head, is_numeric, replace_columns, require, rounded, sample_of, side_by_side,
 )
 from brightloom.operators import forest
-from brightloom.operators.profile import as_stats, count_outside
+from brightloom.operators.profile import TableStats, as_stats, count_outside
 
 METHODS = ("iqr", "zscore", "iforest")
 ACTIONS = ("remove", "cap", "keep")
@@ -117,16 +117,15 @@ def fit(df: DataFrame, column: str, method: str = "iqr", action: str = "remove",
     if not is_numeric(dtype_of(df, column)):
         raise StepError("outliers", f"column '{column}' is not numeric")
     state = {"column": column, "action": action, "lower": None, "upper": None, "inliers": None}
-    present = df.agg(F.count(col(column))).first()[0]
-    if present < FEWEST or action == "keep":
+    stats = TableStats(df.select(col(column)))
+    if action == "keep" or stats.present(column) < FEWEST:
         return state
     if method == "iforest":
-        fitted = forest.fit(df, column, contamination, present)
+        fitted = forest.fit(stats.df, column, contamination, stats.present(column))
         state["lower"], state["upper"] = fitted.bounds
         state["inliers"] = fitted.inlier_ranges
     else:
-        found = bounds_of(df.select(col(column)), [column], method, threshold, k=k)
-        state["lower"], state["upper"] = found[column]
+        state["lower"], state["upper"] = bounds_of(stats, [column], method, threshold, k=k)[column]
     return state
 
 
