@@ -687,17 +687,12 @@ def file_audit_folder(spark, folder):
 def profiles(spark, folder) -> DataFrame:
     """One profile per modelling question over the test tables."""
     labels = table(spark, folder, "labels").select("quality", "toxic")
-    part = table(spark, folder, "part")
-    rows = [
-        profile.profile_row(labels, "labels", "quality", goal="find poor texts"),
-        profile.profile_row(part, "part", "p_retailprice"),
-        profile.profile_row(table(spark, folder, "customer"), "customer", "c_mktsegment"),
-        profile.profile_row(table(spark, folder, "supplier"), "supplier"),
-    ]
-    result = rows[0]
-    for row in rows[1:]:
-        result = result.unionByName(row)
-    return result
+    return profile.profile_many([
+        {"table": labels, "session_id": "labels", "target": "quality", "goal": "find poor texts"},
+        {"table": table(spark, folder, "part"), "session_id": "part", "target": "p_retailprice"},
+        {"table": table(spark, folder, "customer"), "session_id": "customer", "target": "c_mktsegment"},
+        {"table": table(spark, folder, "supplier"), "session_id": "supplier"},
+    ])
 
 
 def flat_profiles(rows: DataFrame) -> DataFrame:

@@ -200,8 +200,16 @@ def test_split_is_stable(people):
     assert training.split(people.repartition(5))[1].exceptAll(test).count() == 0
 
 
-def test_parameter_grid():
+def test_parameter_grid(spark):
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 
     assert len(training.parameter_grid("logistic_regression", LogisticRegression())) == 4
     assert len(training.parameter_grid("random_forest_classifier", RandomForestClassifier())) == 27
+
+
+def test_tuning(spark):
+    df = spark.range(120).select((F.rand(1) * 10).alias("x"), F.randn(2).alias("z")).withColumn(
+        "label", (F.col("x") > 5).cast("double"))
+    ready = training.preparation(df.drop("label"), "logistic_regression").fit(df).transform(df)
+    best = training.tune(ready, "logistic_regression", folds=2)
+    assert len(best.avgMetrics) == 4 and max(best.avgMetrics) > 0.8
