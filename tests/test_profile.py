@@ -124,3 +124,10 @@ def test_date_layouts(spark):
     parsed = {r["t"]: r["p"] for r in df.select("t", profile.parse_date(F.col("t")).alias("p")).collect()}
     assert [t for t in texts if parsed[t] is None] == [] and [t for t in bad if parsed[t] is not None] == []
     assert parsed["05-Jan-2026"] == parsed["01/05/2026"] == parsed["2026-01-05"]
+
+
+def test_dates_after_many_gaps(spark):
+    df = spark.range(0, 1000, 1, 4).select(
+        F.when(F.col("id") > 700, "2026-01-01").alias("late"), F.when(F.col("id") > 700, "x").alias("text"),
+        F.lit(None).cast("string").alias("never"))
+    assert TableStats(df).datetime == ["late"]
