@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from brightloom.llm import fixity, shards
+from brightloom.functions.runtime import shared_folder
+from brightloom.llm import fixity, shards, token_files
 
 QUERIES, ORACLES = {}, {}
 
@@ -18,6 +20,13 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_token_files(spark, folder):
+    path = shared_folder(spark, "token-ids")
+    token_files.write(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, path).drop("file", "ordinal")
+
+
 @query
 def op5_ring_shards(spark, folder):
     return shards.assign(table(spark, folder, "documents"))
