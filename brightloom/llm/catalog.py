@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import shared_folder
-from brightloom.llm import fixity, shards, token_files
+from brightloom.llm import bpe, fixity, shards, token_files
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,6 +32,11 @@ def op5_ring_shards(spark, folder):
     return shards.assign(table(spark, folder, "documents"))
 
 
+@query
+def op6_bpe_round_trip(spark, folder):
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op9_fixity_audit(spark, folder):
     """The pages as two replicas; the second has a changed byte in some records and lacks some others."""

@@ -69,7 +69,7 @@ def _encoded(batches, tokenizer_path) -> Iterator[tuple[list, np.ndarray, np.nda
         whole = np.array(batch["whole"], dtype=bool)
         lists = batch["words"]
         code = lists.flatten().dictionary_encode()
-        ids, sizes = store.look_up(code.dictionary.to_pylist(), code.indices.to_numpy(zero_copy_only=False))
+        ids, sizes = store.of(code.dictionary.to_pylist(), code.indices.to_numpy(zero_copy_only=False))
         ends = np.append(0, np.cumsum(sizes))
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         per_doc = ends[bounds[1:]] - ends[bounds[:-1]]

@@ -30,16 +30,19 @@ class WordIds:
         self.used += len(ids)
         self.known.update(zip(words, range(n, n + m)))
 
-    def look_up(self, distinct: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of ``distinct[c]`` for every ``c`` of ``codes``, one after the other, and how many each gave."""
+    def _learn(self, words):
         if len(self.known) > self.most:
             self._clear()
-        new = [w for w in distinct if w not in self.known]
+        new = list({w for w in words if w not in self.known})
         for i in range(0, len(new), 50_000):
             self._add(new[i : i + 50_000])
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        starts, sizes = self.starts[place][codes], self.sizes[place][codes].astype(np.int64)
+
+    def of(self, words: list[str], codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after the other, and how many each gave; with ``codes``, of ``words[c]`` for each code."""
+        self._learn(words)
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        place = place if codes is None else place[codes]
+        starts, sizes = self.starts[place], self.sizes[place].astype(np.int64)
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(starts - ends + sizes, sizes) + np.arange(total)
+        at = np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
         return self.flat[at], sizes
