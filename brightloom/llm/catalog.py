@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import shared_folder
-from brightloom.llm import bpe, fixity, shards, token_files
+from brightloom.llm import bpe, fixity, quality_zstd, shards, token_files, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,6 +27,11 @@ def op1_token_files(spark, folder):
     return token_files.read(spark, path).drop("file", "ordinal")
 
 
+@query
+def op2_compression_quality(spark, folder):
+    return quality_zstd.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op5_ring_shards(spark, folder):
     return shards.assign(table(spark, folder, "documents"))
@@ -37,6 +42,11 @@ def op6_bpe_round_trip(spark, folder):
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op7_lexicon_toxicity(spark, folder):
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op9_fixity_audit(spark, folder):
     """The pages as two replicas; the second has a changed byte in some records and lacks some others."""
