@@ -2,7 +2,8 @@
 
 The lexicon holds the words that labelled toxic documents have and others lack. Its trie, intersected with Levenshtein
 automata of one edit (two from ``LONG`` letters on), is one automaton over words: a state is a set of (trie node, edits
-left), found when first reached, and a word leaves it as soon as no term is near. A hit counts as abuse or as quotation:
+left), found when first reached, and a word leaves it as soon as no term is near. Terms that end in ``*`` are stems: any
+word that begins so is a hit. A hit counts as abuse or as quotation:
 quotation marks around it, or words of reporting in the window before it. A logistic fit turns the numbers of exact,
 misspelled and quoted hits into a score. The fit reads at most ``most`` labelled rows; every text is scored whole.
 """
@@ -26,6 +27,7 @@ ship_by_value(__name__)
 MOST_LABELLED, MOST_TERMS = 20_000, 5_000
 SHORTEST, SOME_EDITS, LONG = 4, 5, 9
 WINDOW = 40
+STEMS, STEM = (4, 5, 6), -2  # lengths of stems; the state of a word that has begun with one
 WORD = re.compile(r"[^\W_]+")
 MARKS = "\"'“”„«»‘’‹›`"
 #: Words that announce another's words, in the four languages of the corpus.
@@ -42,8 +44,10 @@ class Lexicon:
         self.next: list[dict[str, int]] = [{}]
         self.term: list[int] = [0]  # letters of the term that ends here
         self.allowed: list[int] = [0]  # the most edits of any term below
+        self.stem: set[int] = set()
         for term in sorted(terms):
-            edits = 0 if len(term) < SOME_EDITS else 1 if len(term) < LONG else 2
+            stem, term = term.endswith("*"), term.rstrip("*")
+            edits = 0 if stem or len(term) < SOME_EDITS else 1 if len(term) < LONG else 2
             at = 0
             self.allowed[0] = max(self.allowed[0], edits)
             for ch in term:
@@ -54,7 +58,10 @@ class Lexicon:
                     self.allowed.append(0)
                 at = self.next[at][ch]
                 self.allowed[at] = max(self.allowed[at], edits)
-            self.term[at] = len(term)
+            if stem:
+                self.stem.add(at)
+            else:
+                self.term[at] = len(term)
         self.sets: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
@@ -73,6 +80,8 @@ class Lexicon:
             todo += [(child, made + 1) for child in self.next[node].values()]
         if not least:
             return -1
+        if any(made == 0 and node in self.stem for node, made in least.items()):
+            return STEM
         key = frozenset(least.items())
         if key not in self.number:
             self.number[key] = len(self.sets)
@@ -87,7 +96,7 @@ class Lexicon:
         state = self.start
         for ch in word:
             if state < 0:
-                return -1
+                return 0 if state == STEM else -1
             move = self.moves[state].get(ch)
             if move is None:
                 reached = set()
@@ -100,7 +109,7 @@ class Lexicon:
                     return self.edits(word)
                 move = self.moves[state][ch] = self._state(reached)
             state = move
-        return self.best[state] if state >= 0 else -1
+        return self.best[state] if state >= 0 else 0 if state == STEM else -1
 
     def __init_states(self):
         self.sets, self.number, self.moves, self.best = [], {}, [], []
@@ -151,7 +160,7 @@ def _distinct(batches):
         words, ys, signs = [], [], []
         for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist()):
             own = sorted({w for w in WORD.findall(text.lower()) if len(w) >= SHORTEST})
-            words.append(own)
+            words.append(own + sorted({w[:n] + "*" for w in own for n in STEMS if len(w) > n}))
             ys.append(y)
             signs.append(",".join(map(str, sorted(zlib.crc32(w.encode()) for w in own)[:2])))
         yield pa.RecordBatch.from_arrays(
@@ -162,7 +171,7 @@ def _distinct(batches):
 def learn_terms(rows: DataFrame, least_share: float = 0.005, least_odds: float = 3.0) -> list[str]:
     """Words of a ``least_share`` of the toxic rows whose log odds against the others reach ``least_odds``.
 
-    Near copies count once, so that the words of one copied text do not pass for terms.
+    Near copies count once, so that the words of one copied text do not pass for terms. Stems need twice the share.
     """
     texts = rows.select("text", "y").mapInArrow(_distinct, "words array<string>, y int, sign string")
     once = texts.groupBy("sign", "y").agg(F.min_by("words", F.size("words")).alias("words"))
@@ -172,12 +181,16 @@ def learn_terms(rows: DataFrame, least_share: float = 0.005, least_odds: float =
     counts = once.select("y", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
-    found = counts.where((F.col("a") >= max(3, least_share * toxic)) & (odds >= least_odds) & (F.col("a") > F.col("b")))
+    stem = F.col("word").endswith("*")
+    found = counts.where(
+        (F.col("a") >= F.when(stem, max(4, 2 * least_share * toxic)).otherwise(max(3, least_share * toxic)))
+        & (odds >= F.when(stem, least_odds + 0.7).otherwise(least_odds)) & (F.col("a") > F.col("b"))
+    )
     return sorted(r["word"] for r in found.orderBy(F.desc("a"), "word").limit(MOST_TERMS).collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None, most: int = MOST_LABELLED):
-    """(terms, weights): terms from one half of the labelled sample, weights from the other."""
+    """(terms, weights): weights for the terms of one half of the labelled sample, fitted on the other, and the terms of both."""
     rows = training_rows(docs, labels, label, F.lit(True) if allowed is None else allowed, most)
     terms = learn_terms(rows.where("half = 0"))
 
@@ -192,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None,
     weights = logistic(x, seen["y"].to_numpy(), ridge=0.05)
     if x.size and not x[:, 2].any():
         weights[3] = 0.25 * weights[1]  # no quotation among the labelled: it weighs a quarter of abuse
-    return terms, weights
+    return learn_terms(rows), weights
 
 
 def score(docs: DataFrame, model) -> DataFrame:
