@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import shared_folder
-from brightloom.llm import bpe, fixity, quality_zstd, shards, token_files, toxicity
+from brightloom.llm import bpe, decontaminate, fixity, quality_zstd, shards, token_files, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -47,6 +47,43 @@ def op7_lexicon_toxicity(spark, folder):
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op8_prefix_decontamination(spark, folder):
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op8_prefix_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), iw AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size,
+    unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i : i + least(len(w), 10) - 1], ' '))) AS t
+  FROM b WHERE len(w) > 0
+), dw AS (
+  SELECT r, size, unnest(range(1, len(w) - size + 2)) AS s,
+    unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS t
+  FROM d, (SELECT DISTINCT size FROM iw) WHERE len(w) >= size
+), m AS (
+  SELECT r, s, size, item FROM dw JOIN iw USING (size, t)
+), p AS (
+  SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(s, s + size)) AS x FROM m) GROUP BY r
+), n AS (
+  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN n USING (r)
+"""
+
+
 @query
 def op9_fixity_audit(spark, folder):
     """The pages as two replicas; the second has a changed byte in some records and lacks some others."""
