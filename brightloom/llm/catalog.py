@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import shared_folder
-from brightloom.llm import bpe, decontaminate, fixity, ngram_join, quality_zstd, shards, token_files, toxicity
+from brightloom.llm import bpe, decontaminate, fixity, ngram_join, quality_zstd, repeats, shards, token_files, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,6 +32,11 @@ def op2_compression_quality(spark, folder):
     return quality_zstd.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op3_run_length_dedup(spark, folder):
+    return repeats.report(table(spark, folder, "documents"))
+
+
 @query
 def op4_token_group_join(spark, folder):
     return ngram_join.join(table(spark, folder, "documents"))
