@@ -7,7 +7,7 @@ global order, must meet: rare ones first, ``MOST_HOT`` of the most frequent last
 1. Classes with the same first shingle are clustered around leaders (``LEADERS`` at a time) that they are similar to.
    A cluster, in parts of at most ``PART``, is a group; every other class is a group of its own.
 2. The matrix has a row for each (shingle, group) of the groups' first shingles. Groups that meet in a row and can agree in
-   size are candidates, unless they are linked already.
+   size are candidates, unless they are linked already or meet in too few rows.
 3. A candidate's classes are queries against the other group: a query opens the group only if the union of the
    group's shingles holds ceil(t n) of its own; then members of fitting size are compared until one is similar.
 4. Links join whole groups, which are linked inside through their leader, so a group needs no second link to a query.
@@ -38,11 +38,17 @@ ROWS = "doc_id bigint, tkey binary, sid binary, n bigint, first array<bigint>"
 SETS = "sid binary, tokens binary"
 
 
+class WordHashes(dict):
+    def __missing__(self, word):
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
 class Shingles:
     """Sorted hashes of the distinct shingles of a text."""
 
     def __init__(self, size: int, most: int = 1_000_000):
-        self.size, self.most, self.known = size, most, {}
+        self.size, self.most, self.known = size, most, WordHashes()
 
     def of(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split()  # A-Z alone; parts at 0x20 and 0x09 to 0x0D
@@ -51,9 +57,6 @@ class Shingles:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(h) - self.size + 1)
         out = np.full(n, min(len(h), self.size), np.uint64)
@@ -92,6 +95,18 @@ def held(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
+def _least_met(larger: str, smaller: str, percent: int):
+    """How many first shingles two classes must share, at least, if the larger one is in the first group.
+
+    Of the class whose first shingles end earlier, those can only meet first shingles of the other; so the common part is
+    at most what they share and the rest of that class. One less, as sizes in between are rounded.
+    """
+    x = F.col(f"{smaller}_low")
+    m = F.least(F.col(f"{larger}_high"), F.floor(x * 100 / percent))
+    common = F.ceil((m + x) * percent / (100 + percent))
+    return common - (F.ceil(m * percent / 100) - 1) - 1
+
+
 def _sid(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -115,15 +130,20 @@ def _later(size, percent, hot):
         shingles = Shingles(size)
         for batch in batches:
             out = [first_shingles(shingles.of(t or ""), percent, hot).view(np.int64) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["cid"], pa.array(out, pa.list_(pa.int64()))], ["cid", "first"])
+            yield pa.RecordBatch.from_arrays([batch["cid"], batch["tkey"], batch["n"], pa.array(out, pa.list_(pa.int64()))], ["cid", "tkey", "n", "first"])
 
     return run
 
 
 def _sets(size, columns):
     def run(batches):
-        shingles = Shingles(size)
+        shingles, seen = Shingles(size), set()
         for batch in batches:
+            new = []
+            for cid in batch["cid"].to_pylist():  # copies of a text: once a task
+                new.append(cid not in seen)
+                seen.add(cid)
+            batch = batch.filter(pa.array(new))
             out = [shingles.of(t or "").tobytes() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(out, pa.binary())], [*columns, "tokens"])
 
@@ -135,23 +155,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``keys`` (tkey and others, one row a tkey) with the text of that key, once each."""
+    """``keys`` (tkey, doc_id and others) with the text of the rows that hold them; repeated rows come repeatedly."""
     if keys.count() <= MOST_BROADCAST:
         keys = F.broadcast(keys)
-    found = _keyed(docs).drop("doc_id").join(keys, "tkey")
-    rest = [c for c in found.columns if c not in ("text", "tkey")]
-    return found.groupBy("tkey", *rest).agg(F.first("text").alias("text"))
+    rows = _keyed(docs)
+    same = (rows["tkey"] == keys["tkey"]) & rows["doc_id"].eqNullSafe(keys["doc_id"])
+    return rows.join(keys, same).select(rows["text"], *[keys[c] for c in keys.columns if c != "doc_id"])
 
 
 def _leaders(percent):
     """Over rows sorted by (bucket, salt): cid, leader and part of each class of a bucket."""
     def run(batches):
-        at, leaders, sizes = None, [], []
+        at, leaders, sizes, last = None, [], [], None
         for batch in batches:
             out = []
             for bucket, salt, cid, tokens in zip(*(batch[c].to_pylist() for c in ("bucket", "salt", "cid", "tokens"))):
                 if (bucket, salt) != at:
-                    at, leaders, sizes = (bucket, salt), [], []
+                    at, leaders, sizes, last = (bucket, salt), [], [], None
+                if cid == last:
+                    continue
+                last = cid
                 own = np.frombuffer(tokens, np.uint64)
                 for i, (leader, its) in enumerate(leaders):
                     if similar(own, its, percent):
@@ -179,7 +202,7 @@ def _cluster(docs, classes, size, percent, split=True) -> DataFrame:
         salt = F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / SALT_ROWS))
     else:
         salt = F.lit(0).cast("long")
-    shared = classes.join(counts, "bucket").select("cid", "tkey", "bucket", salt.alias("salt"))
+    shared = classes.join(counts, "bucket").select("cid", "doc_id", "tkey", "bucket", salt.alias("salt"))
     schema = "cid bigint, bucket bigint, salt bigint, tokens binary"
     sets = _texts(docs, materialise(shared, "shared")).select("cid", "bucket", "salt", "text").mapInArrow(
         _sets(size, ["cid", "bucket", "salt"]), schema)
@@ -188,7 +211,7 @@ def _cluster(docs, classes, size, percent, split=True) -> DataFrame:
 
 
 def _meeting(percent):
-    """Over rows sorted by token: the pairs of groups of different leaders that meet in it and can agree in size."""
+    """Over rows sorted by token: pairs of groups of different leaders that can agree in size, with the tokens they meet in."""
     def pairs_of(token, group, leader, low, high):
         order = np.lexsort((group, token))
         token, group, leader, low, high = (x[order] for x in (token, group, leader, low, high))
@@ -223,8 +246,9 @@ def _meeting(percent):
             for found in parts:
                 pair = np.concatenate([np.zeros((0, 2), np.int64), *found])
                 pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-                pair = pair[np.append(True, (pair[1:] != pair[:-1]).any(1))] if len(pair) else pair
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["g", "h"])
+                at = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]).any(1))) if len(pair) else np.zeros(0, np.int64)
+                counts = np.diff(np.append(at, len(pair)))
+                yield pa.RecordBatch.from_arrays([pa.array(pair[at, 0]), pa.array(pair[at, 1]), pa.array(counts)], ["g", "h", "c"])
 
         for batch in batches:
             kept.append([batch[c].to_numpy(zero_copy_only=False) for c in names])
@@ -244,12 +268,15 @@ def _meeting(percent):
 def _open(percent):
     """Over rows sorted by (g, salt, query): a link for each query that is similar to a member of g."""
     def run(batches):
-        at, members, union = None, [], None
+        at, members, union, last = None, [], None, None
         for batch in batches:
             out = []
             for g, salt, query, cid, tokens in zip(*(batch[c].to_pylist() for c in ("g", "salt", "query", "cid", "tokens"))):
                 if (g, salt) != at:
-                    at, members, union = (g, salt), [], None
+                    at, members, union, last = (g, salt), [], None, None
+                if (query, cid) == last:
+                    continue
+                last = (query, cid)
                 own = np.frombuffer(tokens, np.uint64)
                 if not query:
                     members.append((cid, own))
@@ -277,52 +304,50 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """
     rows = materialise(_keyed(docs).mapInArrow(_rows(size, percent), ROWS), "rows")
     classes = materialise(rows.where("n > 0").groupBy("sid").agg(
-        F.min("doc_id").alias("doc_id"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("first").alias("first"),
-    ).select(F.monotonically_increasing_id().alias("cid"), "sid", "doc_id", "tkey", "n", "first"), "classes")
+        F.min(F.struct("doc_id", "tkey")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"),
+    ).select(F.monotonically_increasing_id().alias("cid"), "sid", "rep.doc_id", "rep.tkey", "least", "n", "first"), "classes")
 
-    frequent = classes.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > HOT)
-    hot = frequent.orderBy(F.desc("c"), "token").limit(MOST_HOT).select("token").toArrow()["token"].to_numpy()  # bounded
-    hot = np.sort(hot.astype(np.int64).view(np.uint64))
-    first = classes.select("cid", "first")
+    frequent = materialise(classes.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(
+        F.col("c") > HOT).orderBy(F.desc("c"), "token").limit(MOST_HOT).select("token"), "frequent")  # bounded
+    hot = np.sort(frequent.toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
+    first = classes.select("cid", "doc_id", "tkey", "n", "first")
     if len(hot):
         touched = materialise(classes.select("cid", F.explode("first").alias("token")).join(
-            frequent.select("token"), "token", "left_semi").select("cid").distinct(), "hot")
-        again = _texts(docs, materialise(classes.join(touched, "cid").select("cid", "tkey"), "touched")).select("cid", "text").mapInArrow(
-            _later(size, percent, hot), "cid bigint, first array<bigint>")
+            F.broadcast(frequent), "token", "left_semi").select("cid").distinct(), "hot")
+        wanted = materialise(first.drop("first").join(touched, "cid", "left_semi"), "touched")
+        again = _texts(docs, wanted).mapInArrow(_later(size, percent, hot), "cid bigint, tkey binary, n bigint, first array<bigint>")
+        again = materialise(again.dropDuplicates(["cid"]).join(wanted.select("cid", "doc_id"), "cid").select(first.columns), "first")
         first = first.join(touched, "cid", "left_anti").unionByName(again)
-    first = materialise(first.join(classes.select("cid", "tkey", "n"), "cid"), "first")
 
-    buckets = first.select("cid", "tkey", F.get("first", F.lit(0)).alias("bucket"))
+    buckets = first.select("cid", "doc_id", "tkey", F.get("first", F.lit(0)).alias("bucket"))
     clusters = materialise(_cluster(docs, buckets, size, percent), "clusters")
-    leaders = clusters.where("cid = leader").join(buckets, "cid")
-    again = leaders.select("cid", "tkey", "bucket").join(
+    again = clusters.where("cid = leader").join(buckets, "cid").select("cid", "doc_id", "tkey", "bucket").join(
         buckets.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > SALT_ROWS), "bucket", "left_semi")
-    above = None
+    links = clusters.select(F.col("cid").alias("a"), F.col("leader").alias("b"))
+    top = clusters.select("cid", "leader", "part", F.col("leader").alias("top"))
     if not again.isEmpty():  # leaders of one bucket that salt has kept apart
-        above = materialise(_cluster(docs, again, size, percent, split=False), "leaders")
-        links = clusters.select(F.col("cid").alias("a"), F.col("leader").alias("b")).union(above.select("cid", "leader"))
-        top = above.select(F.col("cid").alias("leader"), F.col("leader").alias("top"))
-    else:
-        links, top = clusters.select(F.col("cid").alias("a"), F.col("leader").alias("b")), None
-
-    groups = first.join(clusters, "cid", "left").select(
-        "cid", "tkey", "n", "first", F.coalesce("leader", "cid").alias("leader"), F.coalesce("part", F.lit(0)).alias("part"))
-    if top is not None:
-        groups = groups.join(top, "leader", "left").select(
-            "cid", "tkey", "n", "first", "leader", "part", F.coalesce("top", "leader").alias("top"))
-    else:
-        groups = groups.withColumn("top", F.col("leader"))
-    # a group is named by one of its classes
-    names = groups.groupBy("leader", "part").agg(F.min("cid").alias("group"), (F.count("*") > 1).alias("together"))
-    groups = materialise(groups.join(names, ["leader", "part"]).select("cid", "tkey", "n", "first", "group", "top", "together"), "groups")
-
-    entries = groups.select(
-        F.explode("first").alias("token"), "group", F.col("top").alias("leader"), F.col("n").alias("low"), F.col("n").alias("high"),
-        F.col("together"))
+        above = materialise(_cluster(docs, again, size, percent, split=False), "leaders").select("cid", "leader")
+        links = links.union(above)
+        above = above.select(F.col("cid").alias("leader"), F.col("leader").alias("above"))
+        top = clusters.join(above, "leader", "left").select("cid", "leader", "part", F.coalesce("above", "leader").alias("top"))
+
+    # a group is named by one of its classes; classes without a cluster are groups of their own
+    names = top.groupBy("leader", "part").agg(F.min("cid").alias("group"), (F.count("*") > 1).alias("together"))
+    named = top.join(names, ["leader", "part"]).select("cid", "group", "top", "together")
+    groups = materialise(first.drop("first").join(named, "cid", "left").select(
+        "cid", "doc_id", "tkey", F.col("n").cast("int").alias("n"), F.coalesce("group", "cid").alias("group"),
+        F.coalesce("top", "cid").alias("leader"), F.coalesce("together", F.lit(False)).alias("together")), "groups")
+
+    entries = first.select("cid", "first").join(groups, "cid").select(
+        F.explode("first").alias("token"), "group", "leader", F.col("n").alias("low"), F.col("n").alias("high"), "together")
     matrix = entries.where("not together").drop("together").union(
         entries.where("together").groupBy("token", "group", "leader").agg(F.min("low"), F.max("high")))
-    pairs = materialise(matrix.repartition("token").sortWithinPartitions("token").mapInArrow(
-        _meeting(percent), "g bigint, h bigint").distinct(), "pairs")
+    met = matrix.repartition("token").sortWithinPartitions("token").mapInArrow(_meeting(percent), "g bigint, h bigint, c bigint")
+    sizes = groups.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    met = met.groupBy("g", "h").agg(F.sum("c").alias("c"))
+    for side in ("g", "h"):
+        met = met.join(sizes.select(F.col("group").alias(side), F.col("low").alias(f"{side}_low"), F.col("high").alias(f"{side}_high")), side)
+    pairs = materialise(met.where(F.col("c") >= F.least(_least_met("g", "h", percent), _least_met("h", "g", percent))).select("g", "h"), "pairs")
 
     load = pairs.groupBy("g").agg(F.count("*").alias("c"))
     salts = F.ceil(F.col("c") / QUERY_ROWS)
@@ -331,13 +356,13 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     members = load.select("g", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")).join(
         groups.select(F.col("group").alias("g"), "cid"), "g").select("g", "salt", F.lit(0).alias("query"), "cid")
     units = materialise(queries.union(members), "units")
-    wanted = units.select("cid").distinct().join(groups.select("cid", "tkey"), "cid")
+    wanted = units.select("cid").distinct().join(groups.select("cid", "doc_id", "tkey"), "cid")
     sets = _texts(docs, materialise(wanted, "wanted")).select("cid", "text").mapInArrow(_sets(size, ["cid"]), "cid bigint, tokens binary")
     opened = units.join(sets, "cid").repartition("g", "salt").sortWithinPartitions("g", "salt", "query", "cid")
     found = opened.select("g", "salt", "query", "cid", "tokens").mapInArrow(_open(percent), "a bigint, b bigint")
     linked = components(materialise(links.union(found), "found"))
 
-    named = classes.select("cid", "sid", "doc_id").join(linked.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
+    named = classes.select("cid", "sid", F.col("least").alias("doc_id")).join(linked.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("sid", "component_id")
