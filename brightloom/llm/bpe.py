@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import ship_by_value
 from brightloom.llm import words
+from brightloom.llm.names import free, own, quoted
 from brightloom.llm.words import WordIds
 
 ship_by_value(words.__name__)
@@ -193,7 +194,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """The columns of ``docs`` with ``token_ids array<int>`` and ``decoded string``, which replace columns so named."""
     kept = docs.drop("token_ids", "decoded")
-    ddl = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"), "`text` string", "token_ids array<int>", "decoded string"])
-    keyed = kept.select(*[F.col(f"`{c.replace('`', '``')}`") for c in kept.columns if c != "text"], F.col("text").alias("__text"), "text")
-    schema = _schema(docs, ddl)
-    return keyed.mapInArrow(_over(path, schema, _ids), ddl).select(*[f"`{c.replace('`', '``')}`" for c in kept.columns], "token_ids", "decoded")
+    rest, text = [c for c in kept.columns if c != "text"], free(kept, "whole")
+    types = {f.name: f.dataType.simpleString() for f in kept.schema}
+    ddl = ", ".join([*(f"{quoted(c)} {types[c]}" for c in rest), f"{quoted(text)} string", "token_ids array<int>", "decoded string"])
+    keyed = kept.select(*[F.col(quoted(c)) for c in rest], F.col("text").alias(text), "text")
+    found = keyed.mapInArrow(_over(path, _schema(docs, ddl), _ids), ddl).withColumnRenamed(text, "text")
+    return found.select(*own(kept), "token_ids", "decoded")

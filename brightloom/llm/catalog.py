@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import shared_folder
-from brightloom.llm import bpe, decontaminate, fixity, ngram_join, quality_zstd, repeats, shards, token_files, toxicity
+from brightloom.llm import bpe, decontaminate, embedding_dedup, fixity, ngram_join, quality_zstd, repeats, shards, token_files, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -121,3 +121,8 @@ SELECT file, "offset", CASE WHEN page_id % 211 = 3 THEN 'missing' ELSE 'corrupt'
   CASE WHEN page_id % 211 <> 3 THEN sha256(digest || '!') END AS right_digest
 FROM laid WHERE page_id % 101 = 7 OR page_id % 211 = 3
 """
+
+
+@query
+def op10_small_world_dedup(spark, folder):
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))

@@ -45,9 +45,9 @@ def _broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW):
-    """(texts, matches, windows): row, doc_id, n_words, words; row, start, size, wid (None without windows); wid, item."""
+    """(texts, matches, windows): row, doc_id, tkey (the text's md5), n_words, words; row, start, size, wid (None without windows); wid, item."""
     texts = materialise(docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("words")
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.md5("text").alias("tkey"), words(F.col("text")).alias("words")
     ).withColumn("n_words", F.size("words").cast("long")), "words")
     own = materialise(windows_of(items, window), "windows")
     distinct = own.select("wid", "size", "words").distinct()
@@ -112,3 +112,13 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of the benchmark; NULL and empty texts stay."""
+    texts, matches, _ = find(docs, items, window)
+    if matches is None:
+        return docs
+    leaked = texts.select("row", "tkey").join(matches.select("row").distinct(), "row").select(F.col("tkey").alias("leaked")).distinct()
+    leaked = materialise(leaked, "leaked")
+    return docs.join(_broadcast(leaked, leaked.count()), F.md5(docs["text"]) == leaked["leaked"], "left_anti")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import materialise, ship_by_value
 from brightloom.llm.components import components
+from brightloom.llm.names import free, own
 
 ship_by_value(__name__)
 
@@ -295,17 +296,12 @@ def _open(percent):
     return run
 
 
-def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
-
-    Two documents link when 100 * common >= ``percent`` * union of their shingles of ``size`` words. A text of fewer words
-    has its whole sequence as one shingle; NULL and empty texts have none and are linked with nothing. NULL doc_ids take
-    part but name a component only if it has no other; repeated rows are each kept. Other columns are ignored.
-    """
+def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, tkey and n of each row, and the component of its class (NULL without shingles)."""
     rows = materialise(_keyed(docs).mapInArrow(_rows(size, percent), ROWS), "rows")
     classes = materialise(rows.where("n > 0").groupBy("sid").agg(
-        F.min(F.struct("doc_id", "tkey")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"),
-    ).select(F.monotonically_increasing_id().alias("cid"), "sid", "rep.doc_id", "rep.tkey", "least", "n", "first"), "classes")
+        F.min(F.struct("doc_id", "tkey")).alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"),
+    ).select(F.monotonically_increasing_id().alias("cid"), "sid", "rep.doc_id", "rep.tkey", "n", "first"), "classes")
 
     frequent = materialise(classes.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(
         F.col("c") > HOT).orderBy(F.desc("c"), "token").limit(MOST_HOT).select("token"), "frequent")  # bounded
@@ -362,9 +358,40 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     found = opened.select("g", "salt", "query", "cid", "tokens").mapInArrow(_open(percent), "a bigint, b bigint")
     linked = components(materialise(links.union(found), "found"))
 
-    named = classes.select("cid", "sid", F.col("least").alias("doc_id")).join(linked.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
-        "component", F.coalesce("component", "cid"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("sid", "component_id")
-    return rows.select("doc_id", "n", "sid").join(named, "sid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = classes.select("cid", "sid").join(linked.withColumnRenamed("id", "cid"), "cid", "left").select(
+        "sid", F.coalesce("component", "cid").alias("component"))
+    return rows.select("doc_id", "tkey", "n", "sid").join(named, "sid", "left").select("doc_id", "tkey", "n", "component")
+
+
+def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
+
+    Two documents link when 100 * common >= ``percent`` * union of their shingles of ``size`` words. A text of fewer words
+    has its whole sequence as one shingle; NULL and empty texts have none and are linked with nothing. NULL doc_ids take
+    part but name a component only if it has no other; repeated rows are each kept. Other columns are ignored.
+    """
+    rows = materialise(_linked(docs, size, percent), "linked")
+    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "component", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, one of each component: that of the least doc_id (NULL last), then of the least text digest.
+
+    Of rows that repeat doc_id and text one stays. Rows without words are linked with nothing and all stay.
+    """
+    rows = materialise(_linked(docs, size, percent), "linked").where("n > 0")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("k"))
+    same = rows.groupBy("doc_id", "tkey").agg((F.count("*") > 1).alias("again"))
+    first = first.select("k.doc_id", "k.tkey").alias("f").join(
+        same.alias("s"), F.expr("f.doc_id <=> s.doc_id and f.tkey = s.tkey")).select("f.doc_id", "f.tkey", "s.again")
+    id_, key, more = (free(docs, c) for c in ("kept_id", "kept_key", "kept_again"))
+    first = materialise(first, "kept").toDF(id_, key, more)
+    empty = docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z"))
+    if first.count() <= MOST_BROADCAST:
+        first = F.broadcast(first)
+    found = docs.join(first, docs["doc_id"].eqNullSafe(first[id_]) & (F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))) == first[key]))
+    once = found.where(~F.col(more)).select(*own(docs))
+    again = found.where(F.col(more)).dropDuplicates([id_, key]).select(*own(docs))
+    return once.unionByName(again).unionByName(empty)

@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import materialise, ship_by_value
+from brightloom.llm.names import free, own
 
 ship_by_value(__name__)
 
 LENGTH, GRAM = 200, 32
-MOST_TOGETHER, INDEX_BYTES, PIECE = 4096, 1 << 21, 1 << 21
-MOST_BROADCAST = 1_000_000
+MOST_TOGETHER, INDEX_BYTES, PIECE = 4096, 1 << 20, 1 << 21
+MOST_BROADCAST, MOST_TEXTS = 1_200_000, 300_000
 RUNS = "tkey binary, anchor bigint, c1 bigint, c2 bigint, s0 int, nw int"
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -249,13 +250,13 @@ def _broadcast(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("tkey", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+def _key():
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """tkey and spans: the bytes [a, b) of each text (by its md5) that lie in repeated windows, merged and in order."""
-    runs = materialise(_keyed(docs.select("text")).select("tkey", "text").mapInArrow(_runs(length), RUNS), "runs")
+    runs = materialise(docs.select(_key().alias("tkey"), "text").mapInArrow(_runs(length), RUNS), "runs")
     often = materialise(runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     runs = materialise(runs.join(_broadcast(often), "anchor", "left_semi"), "repeated-runs")
     key = ["anchor", "c1", "c2"]
@@ -266,7 +267,9 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def texts_of(some):
         wanted = materialise(some.groupBy("tkey").agg(F.collect_list(F.struct(*key, "s0", "nw")).alias("wanted")), "wanted")
-        found = _keyed(docs.select("text")).join(_broadcast(wanted, MOST_BROADCAST // 4), "tkey").select("text", "wanted")
+        if some.count() <= MOST_BROADCAST:  # so many contexts, not texts
+            wanted = F.broadcast(wanted)
+        found = docs.select(_key().alias("tkey"), "text").join(wanted, "tkey").select("text", "wanted")
         return found.mapInArrow(_contexts(length), "anchor bigint, c1 bigint, c2 bigint, nw int, context binary")
 
     marked = texts_of(open_.where(F.col("contexts") <= MOST_TOGETHER)).repartition("anchor").sortWithinPartitions(*key).mapInArrow(
@@ -286,7 +289,8 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = runs.join(known, key).select(
         "tkey", "s0", F.explode(F.when(F.col("twice"), whole).otherwise(F.col("spans"))).alias("s"))
     spans = spans.select("tkey", (F.col("s0") + F.col("s.a")).alias("a"), (F.col("s0") + F.col("s.b") + length - 1).alias("b")).distinct()
-    return spans.groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    spans = spans.groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    return spans.mapInArrow(_merge, "tkey binary, spans array<struct<a:int,b:int>>")
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -299,6 +303,12 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
+def _merge(batches):
+    for batch in batches:
+        spans = [[{"a": a, "b": b} for a, b in merged(s)] for s in batch["spans"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["tkey"], pa.array(spans, SPANS_ARROW.field("spans").type)], ["tkey", "spans"])
+
+
 def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     if not spans:
         return data
@@ -306,11 +316,6 @@ def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def _with_spans(docs, length):
-    spans = materialise(repeated(docs, length), "spans")
-    return _keyed(docs).join(_broadcast(spans, MOST_BROADCAST // 4), "tkey", "left").drop("tkey")
-
-
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 
@@ -329,7 +334,9 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.string(),))],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs.select("doc_id", "text"), length).mapInArrow(
+    spans = materialise(repeated(docs, length), "spans")
+    keyed = docs.select("doc_id", "text", _key().alias("tkey"))
+    return keyed.join(_broadcast(spans, MOST_TEXTS), "tkey", "left").drop("tkey").mapInArrow(
         run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -339,7 +346,9 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def rest(text, spans):
         return None if text is None else kept(_bytes(text), merged([{"a": a, "b": b} for a, b in zip(spans["a"], spans["b"])])).decode("utf-8", "ignore")
 
-    cut = repeated(docs, length).select("tkey", F.struct(F.col("spans.a").alias("a"), F.col("spans.b").alias("b")).alias("_spans"))
-    cut = materialise(cut, "spans")
-    found = _keyed(docs).join(_broadcast(cut, MOST_BROADCAST // 4), "tkey", "left")
-    return found.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest("text", "_spans"))).select(docs.columns)
+    key, cut = free(docs, "tkey"), free(docs, "spans")
+    spans = materialise(repeated(docs, length), "spans").select(
+        F.col("tkey").alias(key), F.struct(F.col("spans.a").alias("a"), F.col("spans.b").alias("b")).alias(cut))
+    found = docs.withColumn(key, _key()).join(_broadcast(spans, MOST_TEXTS), key, "left")
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(rest("text", cut))
+    return found.withColumn("text", text).select(*own(docs))

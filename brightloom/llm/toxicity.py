@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import ship_by_value
 from brightloom.llm import labelled
+from brightloom.llm.names import free, own
 from brightloom.llm.labelled import fold, logistic, probability, training_rows
 
 ship_by_value(labelled.__name__)
@@ -208,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None,
     return learn_terms(rows), weights
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """The columns of ``docs`` with ``toxicity`` (0 to 1), which replaces a column so named; a NULL text is an empty one."""
+def score(docs: DataFrame, model, name: str = "toxicity") -> DataFrame:
+    """The columns of ``docs`` with the score (0 to 1) as ``name``, which replaces a column so named; NULL is an empty text."""
     terms, weights = model
 
     @F.pandas_udf("double")
@@ -219,7 +220,7 @@ def score(docs: DataFrame, model) -> DataFrame:
             x = np.array([scorer.features(t or "") for t in texts]).reshape(-1, 3)
             yield pd.Series(probability(weights, x))
 
-    return docs.withColumn("toxicity", toxicity("text"))
+    return docs.withColumn(name, toxicity("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 5, kept_out: int = 0, most: int = MOST_LABELLED) -> DataFrame:
@@ -233,3 +234,9 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 5, kept_out: int =
         "doc_id", F.coalesce(fold(parts) == kept_out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def acceptable(docs: DataFrame, labels: DataFrame, below: float = 0.5, most: int = MOST_LABELLED) -> DataFrame:
+    """The rows of ``docs`` that score below ``below``, by what all labels teach."""
+    name = free(docs, "score")
+    return score(docs, fit(docs, labels, most=most), name).where(F.col(name) < below).select(*own(docs))

@@ -1,11 +1,54 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next one."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next one.
 
-STAGES = []
+Toxic documents go; of near copies one stays; passages that repeat elsewhere are cut out of the texts; documents with
+passages of the benchmark go; what is left is encoded to token ids and decoded again. No SQL expresses the learned first
+stage, so the whole is tested against a brute-force version.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brightloom.functions.runtime import materialise
+from brightloom.llm import bpe, decontaminate, ngram_join, repeats, toxicity
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.acceptable(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near copies by five words and a similarity of 0.8."""
+    return ngram_join.keep_one(docs, size=5, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the bytes of 200-byte strings that also start elsewhere; documents left without text stay."""
+    return repeats.remove(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def reject_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", reject_leaked),
+    ("bpe_encoding", encode),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
