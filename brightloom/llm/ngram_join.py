@@ -2,7 +2,8 @@
 
 A document is the set of its distinct shingles, as 64-bit hashes. Documents with one set form a class. For a threshold
 t a class of n shingles lacks at most e = n - ceil(t n) of a partner's, so the e + 1 first shingles of each, in one
-global order, must meet: rare ones first, ``MOST_HOT`` of the most frequent last, else by hash.
+global order, must meet: frequent ones last (at most ``MOST_HOT`` of them), else by hash. Any order gives the same links; this one
+keeps copies of a hot text apart by their own edits.
 
 1. Classes with the same first shingle are clustered around leaders (``LEADERS`` at a time) that they are similar to.
    A cluster, in parts of at most ``PART``, is a group; every other class is a group of its own.
@@ -33,7 +34,7 @@ from brightloom.llm.names import free, own
 ship_by_value(__name__)
 
 MOST_HOT, HOT = 1_000_000, 64
-LEADERS, PART, SALT_ROWS, QUERY_ROWS = 16, 256, 4096, 2048
+LEADERS, PART, PART_BYTES, QUERY_ROWS = 16, 256, 1 << 24, 2048
 MOST_BROADCAST = 500_000
 ROWS = "doc_id bigint, tkey binary, sid binary, n bigint, first array<bigint>"
 SETS = "sid binary, tokens binary"
@@ -79,7 +80,7 @@ def first_shingles(tokens: np.ndarray, percent: int, hot: np.ndarray) -> np.ndar
     if n and len(hot):
         late = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
         tokens = np.concatenate([tokens[~late], tokens[late]])
-    return tokens[: n - needed(n, percent) + 1]
+    return tokens[: n - needed(n, percent) + 1]  # all of them for a negative ``percent``
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -165,44 +166,55 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _leaders(percent):
-    """Over rows sorted by (bucket, salt): cid, leader and part of each class of a bucket."""
+    """Over rows sorted by (bucket, salt): cid, leader and part of each class of a bucket.
+
+    Classes whose shingles are the most common in their part come first: among copies with edits of their own, the text
+    that they were made from is the best leader.
+    """
+    def cluster(part):
+        sets = [s for _, s in part]
+        every, counts = np.unique(np.concatenate(sets), return_counts=True)
+        common = [counts[np.searchsorted(every, s)].mean() for s in sets]
+        leaders, sizes, out = [], [], []
+        for k in sorted(range(len(part)), key=lambda k: (-common[k], part[k][0])):
+            cid, own = part[k]
+            for i, (leader, its) in enumerate(leaders):
+                if similar(own, its, percent):
+                    sizes[i] += 1
+                    out.append((cid, leader, sizes[i] // PART))
+                    break
+            else:
+                if len(leaders) < LEADERS:
+                    leaders.append((cid, own))
+                    sizes.append(0)
+                out.append((cid, cid, 0))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["cid", "leader", "part"])
+
     def run(batches):
-        at, leaders, sizes, last = None, [], [], None
+        at, part = None, []
         for batch in batches:
-            out = []
             for bucket, salt, cid, tokens in zip(*(batch[c].to_pylist() for c in ("bucket", "salt", "cid", "tokens"))):
                 if (bucket, salt) != at:
-                    at, leaders, sizes, last = (bucket, salt), [], [], None
-                if cid == last:
-                    continue
-                last = cid
-                own = np.frombuffer(tokens, np.uint64)
-                for i, (leader, its) in enumerate(leaders):
-                    if similar(own, its, percent):
-                        sizes[i] += 1
-                        out.append((cid, leader, sizes[i] // PART))
-                        if i:  # the busiest leaders are tried first
-                            for x in (leaders, sizes):
-                                x[i - 1], x[i] = x[i], x[i - 1]
-                        break
-                else:
-                    if len(leaders) < LEADERS:
-                        leaders.append((cid, own))
-                        sizes.append(0)
-                    out.append((cid, cid, 0))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["cid", "leader", "part"])
+                    if part:
+                        yield cluster(part)
+                    at, part = (bucket, salt), []
+                if not part or part[-1][0] != cid:
+                    part.append((cid, np.frombuffer(tokens, np.uint64)))
+        if part:
+            yield cluster(part)
 
     return run
 
 
+def _salts():
+    """How many parts a bucket is split into, so that the sets of a part fit a task."""
+    return F.ceil(F.sum("n") * 8 / PART_BYTES)
+
+
 def _cluster(docs, classes, size, percent, split=True) -> DataFrame:
-    """cid, leader, part of the classes (cid, tkey, bucket) that share their bucket."""
-    counts = classes.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    if split:
-        salt = F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / SALT_ROWS))
-    else:
-        salt = F.lit(0).cast("long")
+    """cid, leader, part of the classes (cid, doc_id, tkey, n, bucket) that share their bucket."""
+    counts = classes.groupBy("bucket").agg(F.count("*").alias("c"), _salts().alias("salts")).where("c > 1")
+    salt = F.pmod(F.xxhash64("cid"), F.col("salts")) if split else F.lit(0).cast("long")
     shared = classes.join(counts, "bucket").select("cid", "doc_id", "tkey", "bucket", salt.alias("salt"))
     schema = "cid bigint, bucket bigint, salt bigint, tokens binary"
     sets = _texts(docs, materialise(shared, "shared")).select("cid", "bucket", "salt", "text").mapInArrow(
@@ -211,6 +223,47 @@ def _cluster(docs, classes, size, percent, split=True) -> DataFrame:
         _leaders(percent), "cid bigint, leader bigint, part bigint")
 
 
+def _frequent(tokens: DataFrame) -> DataFrame:
+    """The most frequent of the tokens that more than ``HOT`` rows have, at most ``MOST_HOT`` of them."""
+    return materialise(tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > HOT).orderBy(
+        F.desc("c"), "token").limit(MOST_HOT).select("token"), "frequent")
+
+
+def _rare_first(docs, first, size, percent) -> DataFrame:
+    """``first`` with frequent shingles put last, in the same order for all classes.
+
+    Frequent is what many classes have among their first shingles; then what many have among those that came in instead;
+    and of the classes that hold such ones, which are copies of hot texts, whatever many of them hold at all.
+    """
+    def numbers(frequent):
+        return frequent.toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64)  # bounded by MOST_HOT
+
+    def holders(frequent):
+        return materialise(first.select("cid", F.explode("first").alias("token")).join(
+            F.broadcast(frequent), "token", "left_semi").select("cid").distinct(), "holders")
+
+    def renewed(frequent, hot):
+        touched = holders(frequent)
+        wanted = materialise(first.drop("first").join(touched, "cid", "left_semi"), "touched")
+        again = _texts(docs, wanted).mapInArrow(_later(size, percent, hot), "cid bigint, tkey binary, n bigint, first array<bigint>")
+        again = materialise(again.dropDuplicates(["cid"]).join(wanted.select("cid", "doc_id"), "cid").select(first.columns), "first")
+        return first.join(touched, "cid", "left_anti").unionByName(again), again
+
+    frequent = _frequent(first.select(F.explode("first").alias("token")))
+    hot = np.sort(numbers(frequent))
+    if not len(hot):
+        return first
+    first, again = renewed(frequent, hot)
+    second = _frequent(again.select(F.explode("first").alias("token")).join(F.broadcast(frequent), "token", "left_anti"))
+    if second.isEmpty():
+        return first
+    copies = materialise(first.drop("first").join(holders(second), "cid", "left_semi"), "copies")
+    tokens = _texts(docs, copies).mapInArrow(_later(size, -1, np.zeros(0, np.uint64)), "cid bigint, tkey binary, n bigint, first array<bigint>")
+    third = _frequent(tokens.dropDuplicates(["cid"]).select(F.explode("first").alias("token")).join(F.broadcast(frequent), "token", "left_anti"))
+    new = materialise(second.union(third).distinct(), "frequent")
+    return renewed(new, np.unique(np.concatenate([hot, numbers(new)])))[0]
+
+
 def _meeting(percent):
     """Over rows sorted by token: pairs of groups of different leaders that can agree in size, with the tokens they meet in."""
     def pairs_of(token, group, leader, low, high):
@@ -303,22 +356,13 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
         F.min(F.struct("doc_id", "tkey")).alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"),
     ).select(F.monotonically_increasing_id().alias("cid"), "sid", "rep.doc_id", "rep.tkey", "n", "first"), "classes")
 
-    frequent = materialise(classes.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(
-        F.col("c") > HOT).orderBy(F.desc("c"), "token").limit(MOST_HOT).select("token"), "frequent")  # bounded
-    hot = np.sort(frequent.toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
-    first = classes.select("cid", "doc_id", "tkey", "n", "first")
-    if len(hot):
-        touched = materialise(classes.select("cid", F.explode("first").alias("token")).join(
-            F.broadcast(frequent), "token", "left_semi").select("cid").distinct(), "hot")
-        wanted = materialise(first.drop("first").join(touched, "cid", "left_semi"), "touched")
-        again = _texts(docs, wanted).mapInArrow(_later(size, percent, hot), "cid bigint, tkey binary, n bigint, first array<bigint>")
-        again = materialise(again.dropDuplicates(["cid"]).join(wanted.select("cid", "doc_id"), "cid").select(first.columns), "first")
-        first = first.join(touched, "cid", "left_anti").unionByName(again)
-
-    buckets = first.select("cid", "doc_id", "tkey", F.get("first", F.lit(0)).alias("bucket"))
+    first = _rare_first(docs, classes.select("cid", "doc_id", "tkey", "n", "first"), size, percent)
+    # near copies mostly share their shingle of least hash, whatever is rare in them
+    buckets = classes.select("cid", "doc_id", "tkey", "n", F.get("first", F.lit(0)).alias("bucket"))
     clusters = materialise(_cluster(docs, buckets, size, percent), "clusters")
-    again = clusters.where("cid = leader").join(buckets, "cid").select("cid", "doc_id", "tkey", "bucket").join(
-        buckets.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > SALT_ROWS), "bucket", "left_semi")
+    leading = clusters.groupBy(F.col("leader").alias("cid")).agg(F.count("*").alias("size")).where("size > 1")
+    again = leading.join(buckets, "cid").select("cid", "doc_id", "tkey", "n", "bucket").join(
+        buckets.groupBy("bucket").agg(_salts().alias("c")).where(F.col("c") > 1), "bucket", "left_semi")
     links = clusters.select(F.col("cid").alias("a"), F.col("leader").alias("b"))
     top = clusters.select("cid", "leader", "part", F.col("leader").alias("top"))
     if not again.isEmpty():  # leaders of one bucket that salt has kept apart

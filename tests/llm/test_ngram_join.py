@@ -45,7 +45,7 @@ def test_against_all_pairs(docs, texts, size, percent):
 
 
 def test_frequent_first_shingles_salts_and_parts(docs, texts, monkeypatch):
-    for name, value in (("HOT", 2), ("SALT_ROWS", 3), ("PART", 2), ("QUERY_ROWS", 1), ("LEADERS", 2), ("MOST_BROADCAST", 0)):
+    for name, value in (("HOT", 2), ("PART_BYTES", 2000), ("PART", 2), ("QUERY_ROWS", 1), ("LEADERS", 2), ("MOST_BROADCAST", 0)):
         monkeypatch.setattr(ngram_join, name, value)
     got = [tuple(r) for r in ngram_join.join(docs).collect()]
     assert key(got) == key(brute(texts, 4, 85))
