@@ -344,11 +344,12 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The columns of ``docs`` with repeated bytes gone from ``text``; parts of characters that remain go, too."""
     @F.udf("string", useArrow=True)
     def rest(text, spans):
-        return None if text is None else kept(_bytes(text), merged([{"a": a, "b": b} for a, b in zip(spans["a"], spans["b"])])).decode("utf-8", "ignore")
+        if text is None or spans is None:
+            return text
+        return kept(_bytes(text), list(zip(spans["a"], spans["b"]))).decode("utf-8", "ignore")
 
     key, cut = free(docs, "tkey"), free(docs, "spans")
     spans = materialise(repeated(docs, length), "spans").select(
         F.col("tkey").alias(key), F.struct(F.col("spans.a").alias("a"), F.col("spans.b").alias("b")).alias(cut))
     found = docs.withColumn(key, _key()).join(_broadcast(spans, MOST_TEXTS), key, "left")
-    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(rest("text", cut))
-    return found.withColumn("text", text).select(*own(docs))
+    return found.withColumn("text", rest("text", cut)).select(*own(docs))

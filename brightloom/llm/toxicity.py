@@ -154,16 +154,18 @@ class Scorer:
 
 
 def _distinct(batches):
-    """Each text's distinct words, with its signature: near copies mostly share their least two word hashes."""
+    """Each text's distinct words, with its signature: near copies mostly share the least two hashes of three words in a row."""
     import zlib
 
     for batch in batches:
         words, ys, signs = [], [], []
         for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist()):
-            own = sorted({w for w in WORD.findall(text.lower()) if len(w) >= SHORTEST})
+            every = WORD.findall(text.lower())
+            own = sorted({w for w in every if len(w) >= SHORTEST})
             words.append(own + sorted({w[:n] + "*" for w in own for n in STEMS if len(w) > n}))
             ys.append(y)
-            signs.append(",".join(map(str, sorted(zlib.crc32(w.encode()) for w in own)[:2])))
+            threes = {zlib.crc32(" ".join(every[i : i + 3]).encode()) for i in range(max(1, len(every) - 2))}
+            signs.append(",".join(map(str, sorted(threes)[:2])))
         yield pa.RecordBatch.from_arrays(
             [pa.array(words, pa.list_(pa.string())), pa.array(ys, pa.int32()), pa.array(signs, pa.string())], ["words", "y", "sign"]
         )
