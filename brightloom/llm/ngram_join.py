@@ -383,11 +383,14 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     matrix = entries.where("not together").drop("together").union(
         entries.where("together").groupBy("token", "group", "leader").agg(F.min("low"), F.max("high")))
     met = matrix.repartition("token").sortWithinPartitions("token").mapInArrow(_meeting(percent), "g bigint, h bigint, c bigint")
-    sizes = groups.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    sizes = groups.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("rows"))
     met = met.groupBy("g", "h").agg(F.sum("c").alias("c"))
     for side in ("g", "h"):
-        met = met.join(sizes.select(F.col("group").alias(side), F.col("low").alias(f"{side}_low"), F.col("high").alias(f"{side}_high")), side)
-    pairs = materialise(met.where(F.col("c") >= F.least(_least_met("g", "h", percent), _least_met("h", "g", percent))).select("g", "h"), "pairs")
+        met = met.join(sizes.select(F.col("group").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("low", "high", "rows"))), side)
+    fit = F.col("c") >= F.least(_least_met("g", "h", percent), _least_met("h", "g", percent))
+    smaller = F.col("g_rows") < F.col("h_rows")  # the members of the smaller group are the queries
+    pairs = materialise(met.where(fit).select(
+        F.when(smaller, F.col("h")).otherwise(F.col("g")).alias("g"), F.when(smaller, F.col("g")).otherwise(F.col("h")).alias("h")), "pairs")
 
     load = pairs.groupBy("g").agg(F.count("*").alias("c"))
     salts = F.ceil(F.col("c") / QUERY_ROWS)
