@@ -97,16 +97,17 @@ def held(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def _least_met(larger: str, smaller: str, percent: int):
-    """How many first shingles two classes must share, at least, if the larger one is in the first group.
+def least_met(low_g, high_g, low_h, high_h, percent: int):
+    """How many first shingles two groups (by the sizes of their classes) must share, at least, to hold similar classes.
 
-    Of the class whose first shingles end earlier, those can only meet first shingles of the other; so the common part is
-    at most what they share and the rest of that class. One less, as sizes in between are rounded.
+    Of two classes, the first shingles of the one whose end earlier can only meet first shingles of the other; so what
+    they have in common is at most what these share and the rest of that class. One less, as sizes between are rounded.
     """
-    x = F.col(f"{smaller}_low")
-    m = F.least(F.col(f"{larger}_high"), F.floor(x * 100 / percent))
-    common = F.ceil((m + x) * percent / (100 + percent))
-    return common - (F.ceil(m * percent / 100) - 1) - 1
+    def one(high, low):  # the larger class on the side of ``high``
+        m = np.minimum(high, low * 100 // percent)
+        return -(-(m + low) * percent // (100 + percent)) - (-(-m * percent // 100) - 1) - 1
+
+    return np.minimum(one(high_g, low_h), one(high_h, low_g))
 
 
 def _sid(tokens: np.ndarray) -> bytes:
@@ -156,6 +157,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tkey"))
 
 
+def _checked(df: DataFrame) -> DataFrame:
+    """Broadcast while it has at most ``MOST_BROADCAST`` rows, which are short."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``keys`` (tkey, doc_id and others) with the text of the rows that hold them; repeated rows come repeatedly."""
     if keys.count() <= MOST_BROADCAST:
@@ -244,10 +250,11 @@ def _rare_first(docs, first, size, percent) -> DataFrame:
 
     def renewed(frequent, hot):
         touched = holders(frequent)
-        wanted = materialise(first.drop("first").join(touched, "cid", "left_semi"), "touched")
+        wanted = materialise(first.drop("first").join(_checked(touched), "cid", "left_semi"), "touched")
         again = _texts(docs, wanted).mapInArrow(_later(size, percent, hot), "cid bigint, tkey binary, n bigint, first array<bigint>")
-        again = materialise(again.dropDuplicates(["cid"]).join(wanted.select("cid", "doc_id"), "cid").select(first.columns), "first")
-        return first.join(touched, "cid", "left_anti").unionByName(again), again
+        again = again.dropDuplicates(["cid"]).join(_checked(wanted.select("cid", "doc_id")), "cid")
+        again = materialise(again.select(first.columns), "first")
+        return first.join(_checked(touched), "cid", "left_anti").unionByName(again), again
 
     frequent = _frequent(first.select(F.explode("first").alias("token")))
     hot = np.sort(numbers(frequent))
@@ -257,7 +264,7 @@ def _rare_first(docs, first, size, percent) -> DataFrame:
     second = _frequent(again.select(F.explode("first").alias("token")).join(F.broadcast(frequent), "token", "left_anti"))
     if second.isEmpty():
         return first
-    copies = materialise(first.drop("first").join(holders(second), "cid", "left_semi"), "copies")
+    copies = materialise(first.drop("first").join(_checked(holders(second)), "cid", "left_semi"), "copies")
     tokens = _texts(docs, copies).mapInArrow(_later(size, -1, np.zeros(0, np.uint64)), "cid bigint, tkey binary, n bigint, first array<bigint>")
     third = _frequent(tokens.dropDuplicates(["cid"]).select(F.explode("first").alias("token")).join(F.broadcast(frequent), "token", "left_anti"))
     new = materialise(second.union(third).distinct(), "frequent")
@@ -266,13 +273,11 @@ def _rare_first(docs, first, size, percent) -> DataFrame:
 
 def _meeting(percent):
     """Over rows sorted by token: pairs of groups of different leaders that can agree in size, with the tokens they meet in."""
-    def pairs_of(token, group, leader, low, high):
+    def pairs_of(token, group, leader, low, high, rows):
         order = np.lexsort((group, token))
-        token, group, leader, low, high = (x[order] for x in (token, group, leader, low, high))
+        token, group, leader, low, high, rows = (x[order].astype(np.int64) for x in (token, group, leader, low, high, rows))
         new = np.append(True, (token[1:] != token[:-1]) | (group[1:] != group[:-1]))
-        at = np.flatnonzero(new)
-        low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-        token, group, leader = token[at], group[at], leader[at]
+        token, group, leader, low, high, rows = (x[new] for x in (token, group, leader, low, high, rows))
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         lengths = np.diff(np.append(starts, len(token)))
         found = []
@@ -286,23 +291,26 @@ def _meeting(percent):
                 parts = ((np.full(k - 1 - i, r + i), np.arange(r + i + 1, r + k)) for r in runs for i in range(k - 1))
             for a, b in parts:
                 fit = (leader[a] != leader[b]) & (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
-                x, y = group[a[fit]], group[b[fit]]
-                found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+                a, b = a[fit], b[fit]
+                larger = rows[a] >= rows[b]  # the members of the smaller group will be the queries
+                a, b = np.where(larger, a, b), np.where(larger, b, a)
+                found.append(np.column_stack([group[a], group[b], least_met(low[a], high[a], low[b], high[b], percent)]))
                 if sum(map(len, found)) > 4_000_000:
                     yield found
                     found = []
         yield found
 
     def run(batches):
-        kept, size, names = [], 0, ("token", "group", "leader", "low", "high")
+        kept, size, names = [], 0, ("token", "group", "leader", "low", "high", "rows")
 
         def emit(parts):
             for found in parts:
-                pair = np.concatenate([np.zeros((0, 2), np.int64), *found])
+                pair = np.concatenate([np.zeros((0, 3), np.int64), *found])
                 pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-                at = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]).any(1))) if len(pair) else np.zeros(0, np.int64)
+                at = np.flatnonzero(np.append(True, (pair[1:, :2] != pair[:-1, :2]).any(1))) if len(pair) else np.zeros(0, np.int64)
                 counts = np.diff(np.append(at, len(pair)))
-                yield pa.RecordBatch.from_arrays([pa.array(pair[at, 0]), pa.array(pair[at, 1]), pa.array(counts)], ["g", "h", "c"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pair[at, 0]), pa.array(pair[at, 1]), pa.array(counts), pa.array(pair[at, 2])], ["g", "h", "c", "least"])
 
         for batch in batches:
             kept.append([batch[c].to_numpy(zero_copy_only=False) for c in names])
@@ -372,25 +380,19 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
         top = clusters.join(above, "leader", "left").select("cid", "leader", "part", F.coalesce("above", "leader").alias("top"))
 
     # a group is named by one of its classes; classes without a cluster are groups of their own
-    names = top.groupBy("leader", "part").agg(F.min("cid").alias("group"), (F.count("*") > 1).alias("together"))
-    named = top.join(names, ["leader", "part"]).select("cid", "group", "top", "together")
-    groups = materialise(first.drop("first").join(named, "cid", "left").select(
-        "cid", "doc_id", "tkey", F.col("n").cast("int").alias("n"), F.coalesce("group", "cid").alias("group"),
-        F.coalesce("top", "cid").alias("leader"), F.coalesce("together", F.lit(False)).alias("together")), "groups")
-
-    entries = first.select("cid", "first").join(groups, "cid").select(
-        F.explode("first").alias("token"), "group", "leader", F.col("n").alias("low"), F.col("n").alias("high"), "together")
-    matrix = entries.where("not together").drop("together").union(
-        entries.where("together").groupBy("token", "group", "leader").agg(F.min("low"), F.max("high")))
-    met = matrix.repartition("token").sortWithinPartitions("token").mapInArrow(_meeting(percent), "g bigint, h bigint, c bigint")
-    sizes = groups.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("rows"))
-    met = met.groupBy("g", "h").agg(F.sum("c").alias("c"))
-    for side in ("g", "h"):
-        met = met.join(sizes.select(F.col("group").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("low", "high", "rows"))), side)
-    fit = F.col("c") >= F.least(_least_met("g", "h", percent), _least_met("h", "g", percent))
-    smaller = F.col("g_rows") < F.col("h_rows")  # the members of the smaller group are the queries
-    pairs = materialise(met.where(fit).select(
-        F.when(smaller, F.col("h")).otherwise(F.col("g")).alias("g"), F.when(smaller, F.col("g")).otherwise(F.col("h")).alias("h")), "pairs")
+    names = top.join(classes.select("cid", "n"), "cid").groupBy("leader", "part").agg(
+        F.min("cid").alias("group"), F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+    named = top.join(names, ["leader", "part"]).select("cid", "group", "top", "rows", "low", "high")
+    groups = materialise(classes.select("cid", "doc_id", "tkey", "n").join(named, "cid", "left").select(
+        "cid", "doc_id", "tkey", F.coalesce("group", "cid").alias("group"), F.coalesce("top", "cid").alias("leader"),
+        *(F.coalesce(c, "n").cast("int").alias(c) for c in ("low", "high")), F.coalesce("rows", F.lit(1)).cast("int").alias("rows")), "groups")
+
+    entry = ["token", "group", "leader", "low", "high", "rows"]
+    entries = first.select("cid", "first").join(_checked(groups.select("cid", *entry[1:])), "cid").select(F.explode("first").alias("token"), *entry[1:])
+    matrix = entries.where("rows = 1").union(entries.where("rows > 1").distinct())
+    met = matrix.repartition("token").sortWithinPartitions("token").mapInArrow(
+        _meeting(percent), "g bigint, h bigint, c bigint, least bigint")
+    pairs = materialise(met.groupBy("g", "h").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least").select("g", "h"), "pairs")
 
     load = pairs.groupBy("g").agg(F.count("*").alias("c"))
     salts = F.ceil(F.col("c") / QUERY_ROWS)
@@ -401,7 +403,7 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     units = materialise(queries.union(members), "units")
     wanted = units.select("cid").distinct().join(groups.select("cid", "doc_id", "tkey"), "cid")
     sets = _texts(docs, materialise(wanted, "wanted")).select("cid", "text").mapInArrow(_sets(size, ["cid"]), "cid bigint, tokens binary")
-    opened = units.join(sets, "cid").repartition("g", "salt").sortWithinPartitions("g", "salt", "query", "cid")
+    opened = sets.join(_checked(units), "cid").repartition("g", "salt").sortWithinPartitions("g", "salt", "query", "cid")
     found = opened.select("g", "salt", "query", "cid", "tokens").mapInArrow(_open(percent), "a bigint, b bigint")
     linked = components(materialise(links.union(found), "found"))
 

@@ -73,6 +73,6 @@ def test_bound_on_shared_first_shingles():
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 60, 2).astype(np.uint64)]))
         if len(b) and ngram_join.similar(a, b, 85):
             fa, fb = (ngram_join.first_shingles(x, 85, np.zeros(0, np.uint64)) for x in (a, b))
-            m, x = max(len(a), len(b)), min(len(a), len(b))
-            least = -(-(m + x) * 85 // 185) - (ngram_join.needed(m, 85) - 1)
+            sizes = [np.array([len(x)]) for x in (a, a, b, b)]
+            least = int(ngram_join.least_met(*sizes, 85)[0])
             assert len(np.intersect1d(fa, fb)) >= max(1, least)
