@@ -1,10 +1,10 @@
 """Exact quantiles of whole columns without sorting or gathering them.
 
 ``percentile`` keeps every distinct value of a column in one task, which only a
-small table survives. Beyond ``SMALL`` rows the wanted order statistics are closed
-in by brackets: a bounded random sample proposes a bracket around each wanted rank,
-one scan counts exactly how many values lie below and inside it, and the few values
-inside are grouped and read out. A bracket that is still too full is sampled again
+small table survives. Here the wanted order statistics are closed in by brackets, at
+every size: a bounded random sample of each column proposes a bracket around each
+wanted rank, one scan counts exactly how many values lie below and inside it, and the
+few values inside are grouped and read out. A bracket that is still too full is sampled again
 from its inside; one that missed its rank is moved. The answer never depends on the
 sample, only the number of scans does. Copies of a hot value are combined before the
 shuffle, or turn out to be a bracket of their own.
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.columns import col
 
-SMALL = 20_000           # rows up to which `percentile` may hold a column in memory
 SAMPLE = 60_000          # sampled values per bracket and round
 READ_OUT = 500_000       # values inside all brackets of one read-out, about
 COLUMNS_PER_SCAN = 24
@@ -57,7 +56,6 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     counts: dict[str, int] | None = None,
-    small: int = SMALL,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, NULLs skipped.
 
@@ -71,11 +69,7 @@ def exact_quantiles(
         row = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
         counts = {c: row[f"c{i}"] for i, c in enumerate(columns)}
     result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    few = [c for c in columns if 0 < counts[c] <= small]
-    many = [c for c in columns if counts[c] > small]
-    for part in _chunks(few, COLUMNS_PER_SCAN):
-        result.update(_in_memory(df, part, probabilities))
-    for part in _chunks(many, COLUMNS_PER_SCAN):
+    for part in _chunks([c for c in columns if counts[c]], COLUMNS_PER_SCAN):
         result.update(_by_brackets(df, part, probabilities, counts))
     return result
 
@@ -94,14 +88,6 @@ def approximate_quantiles(
     return {c: list(row[f"c{i}"] or [None] * len(probabilities)) for i, c in enumerate(columns)}
 
 
-def _in_memory(df, columns, probabilities):
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    row = df.agg(*[
-        F.percentile(col(c).cast("double"), probs).alias(f"c{i}") for i, c in enumerate(columns)
-    ]).first()
-    return {c: list(row[f"c{i}"]) for i, c in enumerate(columns)}
-
-
 def _by_brackets(df, columns, probabilities, counts):
     values = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     slot = {c: f"v{i}" for i, c in enumerate(columns)}
@@ -161,23 +147,18 @@ def _by_bracket(targets):
 def _tighten(values, slot, targets):
     """Propose narrower brackets, and guess their sizes, from about SAMPLE values inside each."""
     grouped = _by_bracket(targets)
-    if all(low == -math.inf and high == math.inf for (_, low, high), _ in grouped):
-        fraction = min(1.0, SAMPLE / min(mine[0].size for _, mine in grouped))
-        drawn = values.sample(False, fraction, 17).toArrow().to_pandas()
-        samples = [drawn[slot[c]].dropna().to_numpy() for (c, _, _), _ in grouped]
-    else:
-        entries = F.array(*[
-            F.when(
-                _inside(F.col(slot[c]), low, high) & (F.col("_draw") < min(1.0, SAMPLE / mine[0].size)),
-                F.struct(F.lit(i).alias("b"), F.col(slot[c]).alias("v")),
-            )
-            for i, ((c, low, high), mine) in enumerate(grouped)
-        ])
-        drawn = (
-            values.withColumn("_draw", F.rand(seed=17)).select(F.explode(entries).alias("e"))
-            .where(F.col("e").isNotNull()).select("e.b", "e.v").toArrow().to_pandas()
+    entries = F.array(*[
+        F.when(
+            _inside(F.col(slot[c]), low, high) & (F.col("_draw") < min(1.0, SAMPLE / mine[0].size)),
+            F.struct(F.lit(i).alias("b"), F.col(slot[c]).alias("v")),
         )
-        samples = [drawn.loc[drawn["b"] == i, "v"].to_numpy() for i in range(len(grouped))]
+        for i, ((c, low, high), mine) in enumerate(grouped)
+    ])
+    drawn = (
+        values.withColumn("_draw", F.rand(seed=17)).select(F.explode(entries).alias("e"))
+        .where(F.col("e").isNotNull()).select("e.b", "e.v").toArrow().to_pandas()
+    )
+    samples = [drawn.loc[drawn["b"] == i, "v"].to_numpy() for i in range(len(grouped))]
     for (_, mine), sample in zip(grouped, samples):
         if len(sample) == 0:        # nothing learnt: the count decides how to go on
             for t in mine:

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -45,6 +46,18 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """Write a short text as the only file of the folder ``path``, through Spark's file systems."""
+    spark.range(1, numPartitions=1).select(F.lit(text)).write.mode("overwrite").text(path)
+    return path
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """What ``write_text`` wrote, or a plain file."""
+    rows = spark.read.text(path, wholetext=True).where(F.length("value") > 0).collect()
+    return "".join(r[0] for r in rows).removesuffix("\n")
+
+
 def ship_by_value(module_name: str) -> None:
     """Send a module's functions to the workers as code, so they need no installed package."""
     cloudpickle.register_pickle_by_value(sys.modules[module_name])

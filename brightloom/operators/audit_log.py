@@ -54,12 +54,18 @@ def read(spark: SparkSession, table: str, folder: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(f"{folder.rstrip('/')}/{table}")
 
 
+def _changed(parameters: Column, **values: Column) -> Column:
+    """The JSON object with top-level keys set; nested objects and the order of other keys stay."""
+    entries = F.from_json(parameters, "map<string,variant>")
+    kept = F.map_filter(entries, lambda key, _: ~key.isin(*values))
+    new = F.create_map(*[x for key, value in values.items() for x in (F.lit(key), F.parse_json(value))])
+    return F.coalesce(F.to_json(F.map_concat(kept, new)), parameters)      # no object: unchanged
+
+
 def _with_flag(parameters: Column) -> Column:
     """Add "is_active": true to a JSON object that says nothing about it."""
     absent = F.get_json_object(parameters, "$.is_active").isNull()
-    body = F.regexp_replace(parameters, r"\}\s*$", "")
-    comma = F.when(body.rlike(r"^\s*\{\s*$"), "").otherwise(", ")
-    return F.when(absent, F.concat(body, comma, F.lit('"is_active": true}'))).otherwise(parameters)
+    return F.when(absent, _changed(parameters, is_active=F.lit("true"))).otherwise(parameters)
 
 
 def is_active(parameters: Column) -> Column:
@@ -82,13 +88,8 @@ def deactivate_last(operations: DataFrame, at: Column | None = None) -> DataFram
         F.max("step_number").alias("step_number")
     ).withColumn("_last", F.lit(True))
     undone_at = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss")
-    body = F.regexp_replace(
-        F.regexp_replace("parameters", r',?\s*"is_active"\s*:\s*true', ""), r"\}\s*$", ""
-    )
-    body = F.regexp_replace(body, r"^\s*\{\s*,\s*", "{")
-    comma = F.when(body.rlike(r"^\s*\{\s*$"), "").otherwise(", ")
-    rewritten = F.concat(
-        body, comma, F.lit('"is_active": false, "undone_at": "'), undone_at, F.lit('"}')
+    rewritten = _changed(
+        F.col("parameters"), is_active=F.lit("false"), undone_at=F.concat(F.lit('"'), undone_at, F.lit('"'))
     )
     joined = operations.join(latest, ["session_id", "step_number"], "left")
     hit = F.col("_last").isNotNull() & is_active(F.col("parameters"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,65 +22,69 @@ from brightloom.operators.profile import as_stats
 
 ship_by_value(__name__)
 
-MOST_COLUMNS = 300      # fixed value: beyond it no matrix is drawn
-MANY_COLUMNS = 30
+TILE = 150              # columns of one side of a block of pairs
+PARTS = 32              # sums that reach the driver for each block
 
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
-def _pair_sums(means: Sequence[float]):
-    """Sums per column pair over the batches of one task."""
+
+def _tile_sums(means: Sequence[float], left: int):
+    """The six sums of every pair (one of the first ``left`` columns, any column) of one task, as one row."""
     centre = np.asarray(means, dtype=float)
-    k = len(centre)
 
     def run(batches):
-        total = np.zeros((6, k, k))
-        seen = False
+        total = None
         for batch in batches:
             x = batch.to_numpy(dtype=float)
             known = ~np.isnan(x)
             x = np.where(known, x - centre, 0.0)
-            mask = known.astype(float)
-            square = x * x
-            total += np.stack([
-                mask.T @ mask,          # rows with both
-                x.T @ mask,             # sum of the first over those rows
-                mask.T @ x,             # sum of the second
-                square.T @ mask, mask.T @ square, x.T @ x,
-            ])
-            seen = True
-        if seen:
-            i, j = np.triu_indices(k)
-            cells = {"i": i, "j": j}
-            for name, sums in zip(("n", "sx", "sy", "sxx", "syy", "sxy"), total):
-                cells[name] = sums[i, j]
-            yield pd.DataFrame(cells)
+            mask, square = known.astype(float), x * x
+            a, am, a2 = x[:, :left], mask[:, :left], square[:, :left]
+            part = np.stack([am.T @ mask, a.T @ mask, am.T @ x, a2.T @ mask, am.T @ square, a.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId() % PARTS], "sums": [total.tobytes()]})
 
     return run
 
 
+def _add_sums(frame: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(b, dtype=float) for b in frame["sums"])
+    return pd.DataFrame({"part": [frame["part"].iloc[0]], "sums": [total.tobytes()]})
+
+
+def _blocks(count: int) -> list[tuple[range, range]]:
+    tiles = [range(start, min(start + TILE, count)) for start in range(0, count, TILE)]
+    return [(a, b) for i, a in enumerate(tiles) for b in tiles[i:]]
+
+
 def matrix(table, columns: Sequence[str] | None = None) -> dict[tuple[str, str], float | None]:
-    """(column1, column2) -> r for every ordered pair; None for a constant side."""
+    """(column1, column2) -> r for every ordered pair; None for a constant side.
+
+    Columns are taken in blocks of ``TILE``, so a task holds one block of pairs however wide the
+    table is. Each task gives one row; the rows are added up in ``PARTS`` groups, then here.
+    """
     stats = as_stats(table)
     columns = stats.numeric if columns is None else list(columns)
-    if len(columns) < 2 or len(columns) > MOST_COLUMNS:
+    if len(columns) < 2:
         return {}
-    means = [stats.moments()[c]["mean"] or 0.0 for c in columns]
-    values = stats.df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    if len(columns) > MANY_COLUMNS:
-        # Each task emits its whole matrix once: fewer, longer tasks shuffle less.
-        values = values.coalesce(4 * stats.df.sparkSession.sparkContext.defaultParallelism)
-    sums = (
-        values.mapInPandas(
-            _pair_sums(means),
-            "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
-        )
-        .groupBy("i", "j")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    )
+    means = {c: stats.moments()[c]["mean"] or 0.0 for c in columns}
     cells: dict[tuple[str, str], float | None] = {}
-    for row in sums.collect():      # columns squared over two, at most 45 150
-        r = _coefficient(row, row["i"] == row["j"])
-        cells[columns[row["i"]], columns[row["j"]]] = r
-        cells[columns[row["j"]], columns[row["i"]]] = r
+    for a, b in _blocks(len(columns)):
+        names = [columns[i] for i in a] + ([columns[i] for i in b] if a != b else [])
+        values = stats.df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+        rows = (
+            values.mapInPandas(_tile_sums([means[c] for c in names], len(a)), "part int, sums binary")
+            .groupBy("part").applyInPandas(_add_sums, "part int, sums binary").collect()    # at most PARTS
+        )
+        if not rows:
+            total = np.zeros((6, len(a), len(names)))
+        else:
+            total = sum(np.frombuffer(r["sums"], dtype=float) for r in rows).reshape(6, len(a), len(names))
+        for i in range(len(a)):
+            for j in range(i if a == b else len(a), len(names)):
+                r = _coefficient(dict(zip(SUMS, total[:, i, j])), names[i] == names[j])
+                cells[names[i], names[j]] = cells[names[j], names[i]] = r
     return cells
 
 
@@ -97,20 +102,19 @@ def _coefficient(row, diagonal: bool) -> float | None:
     if diagonal:
         return 1.0
     r = (row["sxy"] - row["sx"] * row["sy"] / n) / math.sqrt(spread_x * spread_y)
-    return max(-1.0, min(1.0, r))
+    return float(max(-1.0, min(1.0, r)))
 
 
-def warning(table) -> str | None:
+def warning(table, most_columns: int | None = None) -> str | None:
+    """Why no matrix is drawn: only a limit that the caller sets."""
     width = max(len(as_stats(table).columns), len(as_stats(table).numeric))
-    if width > MOST_COLUMNS:
-        return (f"Correlation computation skipped: dataset has {width} columns "
-                f"(limit is {MOST_COLUMNS}).")
+    if most_columns is not None and width > most_columns:
+        return f"Correlation was skipped: {width} columns are more than the {most_columns} allowed."
     return None
 
 
 def _cells(table):
-    stats = as_stats(table)
-    return {} if warning(stats) else matrix(stats)
+    return matrix(as_stats(table))
 
 
 def matrix_table(table) -> DataFrame:
@@ -146,8 +150,8 @@ def high_pairs(table, threshold: float = 0.9) -> DataFrame:
             if r is not None and abs(r) >= threshold:
                 rows.append((
                     a, b, round(r, 3),
-                    f"Pearson coefficient is high ({round(r, 2)}). "
-                    f"Recommend dropping either '{a}' or '{b}'.",
+                    f"'{a}' and '{b}' move together (r = {round(r, 2)}): "
+                    "one of them can go.",
                 ))
     return stats.df.sparkSession.createDataFrame(
         rows, "column1 string, column2 string, correlation double, recommendation string"

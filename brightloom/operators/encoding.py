@@ -28,11 +28,11 @@ def recommend(table) -> DataFrame:
     for c in stats.categorical:
         n = stats.distinct[c]
         if n <= 10:
-            rows.append((c, n, "onehot", f"Low cardinality ({n} unique values). "
-                                         "One-hot encoding creates dummy variables."))
+            rows.append((c, n, "onehot", f"{n} values are few: one flag column "
+                                         "for each keeps them apart."))
         else:
-            rows.append((c, n, "label", f"High cardinality ({n} unique values). "
-                                        "Label encoding avoids dimension explosion."))
+            rows.append((c, n, "label", f"{n} values would make as many flag "
+                                        "columns: codes keep the table narrow."))
     return stats.df.sparkSession.createDataFrame(
         rows, "column string, unique_values long, recommended string, reason string"
     )
@@ -104,18 +104,18 @@ def ordinal_encode(df: DataFrame, column: str, codes: CodeMap, unknown: int = -1
     return coded.select(*[code.cast("long").alias(c) if c == column else col(c) for c in df.columns])
 
 
-def onehot_values(df: DataFrame, column: str, max_categories: int = 1000) -> list:
+def onehot_values(df: DataFrame, column: str, max_categories: int | None = None) -> list:
     """The sorted distinct values, one new column each.
 
-    More than ``max_categories`` is an error, not a cut: a table that wide should be
-    label-encoded (or the limit raised).
+    Where a limit is wanted, more than ``max_categories`` is an error, not a cut.
     """
     require(df, [column])
     if is_nested(dtype_of(df, column)):
         raise StepError("encoding", f"column '{column}' is nested")
     distinct = df.select(col(column).alias("v")).where(F.col("v").isNotNull()).distinct()
-    values = [r["v"] for r in distinct.limit(max_categories + 1).collect()]
-    if len(values) > max_categories:
+    some = distinct if max_categories is None else distinct.limit(max_categories + 1)
+    values = [r["v"] for r in some.collect()]       # one column of the result each
+    if max_categories is not None and len(values) > max_categories:
         raise StepError(
             "onehot", f"column '{column}' has more than {max_categories} values; use label encoding"
         )
@@ -123,7 +123,7 @@ def onehot_values(df: DataFrame, column: str, max_categories: int = 1000) -> lis
 
 
 def onehot_encode(df: DataFrame, column: str, values: list | None = None,
-                  max_categories: int = 1000) -> DataFrame:
+                  max_categories: int | None = None) -> DataFrame:
     """Drop the column and append one 0/1 column per value; NULL gives zeros only."""
     values = onehot_values(df, column, max_categories) if values is None else values
     kept = [c for c in df.columns if c != column]

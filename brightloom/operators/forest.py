@@ -1,7 +1,7 @@
 """Isolation forest on one numeric column.
 
-Each of the 100 trees sees 256 values, so growing them needs a bounded random sample
-only. On one column a forest is a step function of the value: merging the split
+Each of the 100 trees sees 256 values of its own, drawn from the whole column; a column
+of fewer values than all trees need lends them to several. On one column a forest is a step function of the value: merging the split
 points of all trees gives a few thousand value ranges, each with one anomaly score.
 Spark then counts the table's values per range once, and the cut at the
 contamination share, the number of outliers and the bounds of the inliers follow from
@@ -29,7 +29,7 @@ VALUES_PER_TREE = 256
 SEED = 42
 EULER = 0.5772156649015329
 
-POOL = 50_000   # sampled values the trees draw from
+DRAWN = TREES * VALUES_PER_TREE     # values that all trees see
 
 
 @dataclass
@@ -77,7 +77,11 @@ def _trees(pool: np.ndarray):
         for batch in batches:
             for tree in batch["id"]:
                 rng = np.random.default_rng(SEED + int(tree))
-                splits, lengths = _grow(rng.choice(pool, size, replace=False), rng)
+                if len(pool) >= DRAWN:
+                    own = pool[int(tree) * size:(int(tree) + 1) * size]
+                else:
+                    own = rng.choice(pool, size, replace=False)
+                splits, lengths = _grow(own, rng)
                 yield pd.DataFrame({"tree": [tree], "splits": [splits], "lengths": [lengths]})
     return run
 
@@ -97,9 +101,10 @@ def _score_ranges(trees: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
 def fit(df: DataFrame, column: str, contamination: float, present: int) -> FittedForest:
     spark = df.sparkSession
     values = df.select(col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    fraction = min(1.0, POOL / max(present, 1))
-    drawn = values if fraction >= 1.0 else values.sample(False, fraction, SEED)
-    pool = np.sort(drawn.toArrow().to_pandas()["v"].to_numpy())     # about POOL values
+    share = 1.05 * DRAWN / max(present, 1)          # a little more, as the number drawn varies
+    drawn = values if share >= 1.0 else values.where(F.rand(SEED) < share)
+    pool = np.sort(drawn.toArrow().to_pandas()["v"].to_numpy())     # about 1.05 DRAWN values at most
+    pool = np.random.default_rng(SEED).permutation(pool)
     size = min(VALUES_PER_TREE, len(pool))
     trees = (
         spark.range(TREES).mapInPandas(_trees(pool), "tree long, splits array<double>, lengths array<double>")

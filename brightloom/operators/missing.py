@@ -110,7 +110,7 @@ def fill(df: DataFrame, column: str, value) -> DataFrame:
 
 def impute(df: DataFrame, column: str, strategy: str, constant=None) -> DataFrame:
     value = fill_value(df, column, strategy, constant)
-    return df.na.drop(subset=[column]) if strategy == "drop" else fill(df, column, value)
+    return drop_missing(df, column) if strategy == "drop" else fill(df, column, value)
 
 
 def drop_missing(df: DataFrame, column: str) -> DataFrame:

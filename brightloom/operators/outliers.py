@@ -91,15 +91,15 @@ def recommend(table) -> DataFrame:
         share = outliers / stats.rows * 100
         if share < 5.0:
             action = "remove"
-            reason = f"Low outlier density ({share:.2f}%). Safe to drop outlier rows."
+            reason = f"Only {share:.2f}% of the rows lie outside: removing them costs little."
         elif share <= 15.0:
             action = "cap"
-            reason = (f"Moderate outlier density ({share:.2f}%). "
-                      "Recommend capping values to upper/lower bounds.")
+            reason = (f"{share:.2f}% of the rows lie outside: moving their values to the "
+                      "bounds keeps the rows.")
         else:
             action = "keep"
-            reason = (f"High outlier density ({share:.2f}%). "
-                      "Outliers represent natural distribution shape. Keep them.")
+            reason = (f"{share:.2f}% of the rows lie outside: so many belong to the "
+                      "shape of the column.")
         rows.append((c, outliers, round(share, 2), "iqr", action, reason))
     return stats.df.sparkSession.createDataFrame(
         rows,
@@ -133,10 +133,13 @@ def outlier_mask(state: dict) -> Column:
     """True for an outlier, False for an inlier or a NULL."""
     value = col(state["column"])
     if state["inliers"] is not None:
-        inside = F.lit(False)
-        for low, high in state["inliers"]:
-            inside = inside | value.between(low, high)
-        return F.coalesce(~inside, F.lit(False))
+        if not state["inliers"]:
+            return value.isNotNull()
+        # Inside when more of the (disjoint, ascending) ranges have begun than ended.
+        lows, highs = (F.array(*[F.lit(float(x)) for x in side]) for side in zip(*state["inliers"]))
+        begun = F.size(F.filter(lows, lambda x: x <= value))
+        ended = F.size(F.filter(highs, lambda x: x < value))
+        return F.coalesce(value.isNotNull() & (begun == ended), F.lit(False))
     if state["lower"] is None:
         return F.lit(False)
     return F.coalesce((value < state["lower"]) | (value > state["upper"]), F.lit(False))

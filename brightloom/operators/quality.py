@@ -28,20 +28,20 @@ def _findings(stats) -> list[tuple[str, str | None, float, int, str]]:
     copies = duplicates.detect(stats.df).first()["duplicate_rows"]
     if copies:
         found.append(("duplicates", None, float(copies), DUPLICATE_PENALTY,
-                      f"Dataset contains {copies} duplicate rows (-10 penalty)."))
+                      f"{copies} rows repeat others: -{DUPLICATE_PENALTY}"))
     for c in stats.columns:
         percent = stats.missing_percent(c)
         if percent > MISSING_PERCENT:
             found.append(("missing", c, percent, MISSING_PENALTY,
-                          f"Column '{c}' has {percent:.1f}% missing values (-20 penalty)."))
+                          f"{percent:.1f}% of '{c}' is missing: -{MISSING_PENALTY}"))
     for c, outliers in stats.iqr_outliers.items():
         percent = outliers / stats.rows * 100
         if percent > OUTLIER_PERCENT:
             found.append(("outliers", c, percent, OUTLIER_PENALTY,
-                          f"Column '{c}' has {percent:.1f}% outliers (-15 penalty)."))
+                          f"{percent:.1f}% of '{c}' lies outside: -{OUTLIER_PENALTY}"))
     for c in stats.high_cardinality:
         found.append(("cardinality", c, float(stats.distinct[c]), CARDINALITY_PENALTY,
-                      f"Categorical column '{c}' has high cardinality (-10 penalty)."))
+                      f"'{c}' has very many values: -{CARDINALITY_PENALTY}"))
     return found
 
 
@@ -56,7 +56,7 @@ def penalties(table) -> DataFrame:
 
 def _score(stats) -> tuple[int, list[str]]:
     if not stats.rows:
-        return 0, ["Empty dataset has a quality score of 0."]
+        return 0, ["no rows: score 0"]
     found = _findings(stats)
     return max(0, 100 - sum(f[3] for f in found)), [f[4] for f in found]
 

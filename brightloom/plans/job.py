@@ -14,7 +14,7 @@ from brightloom.sources.tables import export_table, load_table
 
 
 def run(spark: SparkSession, recipe_path: str, source: str, target: str) -> str:
-    cleaned = Recipe.load(recipe_path).apply(load_table(spark, source))
+    cleaned = Recipe.load(spark, recipe_path).apply(load_table(spark, source))
     return export_table(cleaned, target, mode="overwrite")
 
 

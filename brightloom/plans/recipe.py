@@ -7,7 +7,6 @@ it. ``Recipe.fit`` freezes the fitted values for use on other tables or streams.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from brightloom.errors import BrightloomError, StepError
 from brightloom.functions.columns import col, require
-from brightloom.functions.runtime import materialise
+from brightloom.functions.runtime import materialise, read_text, write_text
 from brightloom.operators import columns, duplicates, encoding, missing, outliers, scaling
 
 FITS_BEFORE_CUT = 8     # fitted steps after which the plan is cut once
@@ -123,7 +122,7 @@ def _cast_fit(df, column, new_dtype, null_text=None):
     return {"column": column, "new_dtype": new_dtype, "null_text": null_text}
 
 
-def _encode_fit(df, column, method, max_categories=1000):
+def _encode_fit(df, column, method, max_categories=None):
     if method == "onehot":
         return {"column": column, "method": method,
                 "values": encoding.onehot_values(df, column, max_categories)}
@@ -177,25 +176,21 @@ def _kind(name: str) -> _Kind:
 
 def describe(step_type: str, params: dict) -> str:
     p = params
-    if step_type == "duplicates":
-        return f"Removed duplicate rows (keep: {p.get('keep', 'first')})"
-    if step_type == "missing":
-        if p.get("strategy") == "drop":
-            return f"Dropped missing values in column '{p.get('column')}'"
-        return f"Applied {p.get('strategy')} imputation on column '{p.get('column')}'"
-    if step_type == "outliers":
-        return (f"Applied outlier treatment ({p.get('action', 'remove')}) on column "
-                f"'{p.get('column')}' via {p.get('method', 'iqr')}")
-    if step_type == "column_drop":
-        return f"Dropped column(s): {', '.join(p.get('columns', []))}"
-    if step_type == "column_rename":
-        return f"Renamed column '{p.get('old_name')}' to '{p.get('new_name')}'"
-    if step_type == "column_cast":
-        return f"Casted column '{p.get('column')}' to type '{p.get('new_dtype')}'"
-    if step_type == "column_encode":
-        return f"Encoded column '{p.get('column')}' using {p.get('method')} encoding"
-    if step_type == "scaling":
-        return f"Applied {p.get('method', 'standard')} scaling on columns: {', '.join(p.get('columns', []))}"
+    names = ", ".join(p.get("columns", []))
+    if step_type == "missing" and p.get("strategy") == "drop":
+        return f"rows without '{p.get('column')}' removed"
+    texts = {
+        "duplicates": lambda: f"duplicate rows removed, {p.get('keep', 'first')} kept",
+        "missing": lambda: f"gaps in '{p.get('column')}' filled by {p.get('strategy')}",
+        "outliers": lambda: f"outliers of '{p.get('column')}' by {p.get('method', 'iqr')}: {p.get('action', 'remove')}",
+        "column_drop": lambda: f"without {names}",
+        "column_rename": lambda: f"'{p.get('old_name')}' is now '{p.get('new_name')}'",
+        "column_cast": lambda: f"'{p.get('column')}' as {p.get('new_dtype')}",
+        "column_encode": lambda: f"'{p.get('column')}' encoded by {p.get('method')}",
+        "scaling": lambda: f"{p.get('method', 'standard')} scaling of {names}",
+    }
+    if step_type in texts:
+        return texts[step_type]()
     return step_type
 
 
@@ -225,7 +220,8 @@ class Recipe:
             pass
         return df
 
-    def _run(self, df: DataFrame):
+    def _run(self, df: DataFrame, count: bool = False):
+        """(fitted step, table after it) for each step; ``count``: every step's table is scanned once more."""
         fits = 0
         pending: list[Step] = []
         for i, step in enumerate(self.steps):
@@ -242,19 +238,22 @@ class Recipe:
             fits += _kind(step.type).runs_job
             # A step that shuffles the whole table is written once when later steps
             # scan its result for their fits; so is a long chain of fitted steps.
-            scans = sum(_kind(s.type).runs_job for s in self.steps[i + 1:])
+            scans = sum(_kind(s.type).runs_job + count for s in self.steps[i + 1:])
             if (_shuffles(step) and scans >= 2) or (fits >= FITS_BEFORE_CUT and scans):
                 df, fits = materialise(df, "recipe"), 0
             yield fitted, df
         yield from _renamed(df, pending)
 
     def affected_rows(self, df: DataFrame) -> DataFrame:
-        """step, type, affected_rows: how many rows each step touched."""
-        rows, spark = [], df.sparkSession
-        for i, step in enumerate(self.steps, 1):
-            rows.append((i, step.type, step.affected(df)))
-            df = step.fit(df).transform(df)
-        return spark.createDataFrame(rows, "step int, type string, affected_rows long")
+        """step, type, affected_rows: how many rows each step touched.
+
+        Each table is fitted once, and written where later steps would repeat a shuffle.
+        """
+        rows, before = [], df
+        for i, (step, (_, after)) in enumerate(zip(self.steps, self._run(df, count=True)), 1):
+            rows.append((i, step.type, step.affected(before)))
+            before = after
+        return df.sparkSession.createDataFrame(rows, "step int, type string, affected_rows long")
 
     # -- as data
     def history(self, spark: SparkSession) -> DataFrame:
@@ -295,16 +294,13 @@ class Recipe:
                 steps[-1].params[name] = json.loads(line[end:].lstrip(": "))
         return Recipe([Step(s.type, s.params) for s in steps])
 
-    def save(self, path: str) -> str:
-        text = self.to_yaml() if path.endswith((".yaml", ".yml")) else self.to_json()
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(text)
-        return path
+    def save(self, spark: SparkSession, path: str) -> str:
+        """Write the recipe to a folder ``path`` of any file system that Spark reaches."""
+        return write_text(spark, path, self.to_yaml() if path.endswith((".yaml", ".yml")) else self.to_json())
 
     @staticmethod
-    def load(path: str) -> Recipe:
-        with open(path, encoding="utf-8") as f:
-            text = f.read()
+    def load(spark: SparkSession, path: str) -> Recipe:
+        text = read_text(spark, path)
         return Recipe.from_yaml(text) if path.endswith((".yaml", ".yml")) else Recipe.from_json(text)
 
     def __len__(self) -> int:
@@ -347,32 +343,29 @@ class FittedRecipe:
             df = step.transform(df)
         return df
 
-    def save(self, folder: str) -> str:
-        """steps.json, and one Parquet table per code map too large for it."""
-        os.makedirs(folder, exist_ok=True)
-        plain = []
+    def save(self, spark: SparkSession, folder: str) -> str:
+        """The steps as JSON, and one Parquet table per code map too large for it."""
+        folder, plain = folder.rstrip("/"), []
         for i, step in enumerate(self.steps):
             state = dict(step.state)
             if isinstance(state.get("codes"), encoding.CodeMap):
                 codes = state["codes"]
-                path = os.path.join(folder, f"codes_{i}")
-                codes.table.write.mode("overwrite").parquet(path)
+                codes.table.write.mode("overwrite").parquet(f"{folder}/codes_{i}")
                 state["codes"] = {"_table": f"codes_{i}", "rows": codes.rows,
                                   "chars": codes.chars, "total": codes.total}
             plain.append({"type": step.type, "state": state})
-        with open(os.path.join(folder, "steps.json"), "w", encoding="utf-8") as f:
-            json.dump(plain, f, default=str)
+        write_text(spark, f"{folder}/steps.json", json.dumps(plain, default=str))
         return folder
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> FittedRecipe:
-        with open(os.path.join(folder, "steps.json"), encoding="utf-8") as f:
-            plain = json.load(f)
+        folder = folder.rstrip("/")
+        plain = json.loads(read_text(spark, f"{folder}/steps.json"))
         steps = []
         for entry in plain:
             codes = entry["state"].get("codes")
             if isinstance(codes, dict) and "_table" in codes:
-                table = spark.read.parquet(os.path.join(folder, codes["_table"]))
+                table = spark.read.parquet(f"{folder}/{codes['_table']}")
                 entry["state"]["codes"] = encoding.CodeMap(
                     table, codes["rows"], codes["chars"], codes["total"]
                 )

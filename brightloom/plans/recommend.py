@@ -253,15 +253,18 @@ def extract_assignments(answers: DataFrame, text: str = "response") -> DataFrame
     ))
 
 
-def valid_assignments(answers: DataFrame, rankings: DataFrame) -> DataFrame:
-    """Proposed roles that name a ranked algorithm and a known role, the first per role."""
+def valid_assignments(answers: DataFrame, rankings: DataFrame, places: bool = False) -> DataFrame:
+    """Proposed roles that name a ranked algorithm and a known role, the first per role.
+
+    ``places`` adds ``at``, the place in the answer, which decides between roles of one id.
+    """
     rows = answers.select("session_id", F.posexplode("assignments").alias("at", "a")).select(
         "session_id", "at", "a.id", "a.role", F.coalesce("a.reasoning", F.lit("")).alias("reasoning")
     ).where(F.col("role").isin(*ROLES))
     known = rows.join(rankings.select("session_id", "id"), ["session_id", "id"], "left_semi")
     first = W.partitionBy("session_id", "role").orderBy("at")
     return known.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(
-        "session_id", "id", "role", "reasoning"
+        "session_id", "id", "role", "reasoning", *(["at"] if places else [])
     )
 
 
@@ -270,19 +273,27 @@ def assignments(rankings: DataFrame, proposed: DataFrame | None = None) -> DataF
     ruled = roles(rankings)
     if proposed is None:
         return ruled
-    valid = valid_assignments(proposed, rankings)
+    valid = valid_assignments(proposed, rankings, places=True)
+    ruled = ruled.withColumn("at", _role_place())
     return valid.unionByName(ruled.join(valid, "session_id", "left_anti"))
 
 
+def _role_place():
+    return F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")).cast("int")
+
+
+def one_role(assigned: DataFrame) -> DataFrame:
+    """One role per algorithm: of several the last in the answer, or the last of the rules."""
+    place = F.col("at") if "at" in assigned.columns else _role_place()
+    last = W.partitionBy("session_id", "id").orderBy(F.col("_place").desc(), _role_place().desc())
+    return assigned.withColumn("_place", place).withColumn("_n", F.row_number().over(last)).where("_n = 1").select(
+        "session_id", "id", "role", "reasoning")
+
+
 # -- results -----------------------------------------------------------------------
 def recommendations(rankings: DataFrame, assigned: DataFrame) -> DataFrame:
     """All ranked algorithms with role (default 'candidate'), reasoning and is_primary."""
-    # one role per algorithm: a later assignment of the same id wins, as in a map
-    last = W.partitionBy("session_id", "id").orderBy(F.col("_role").desc())
-    role_order = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role"))
-    single = assigned.withColumn("_role", role_order).withColumn(
-        "_n", F.row_number().over(last)
-    ).where("_n = 1").drop("_n", "_role")
+    single = one_role(assigned)
     joined = rankings.join(single, ["session_id", "id"], "left")
     lead = W.partitionBy("session_id").orderBy(
         F.when(F.col("role") == "recommended", 0).otherwise(1), "rank"
@@ -305,7 +316,7 @@ def _capitalised(column: Column) -> Column:
 def alternatives(rankings: DataFrame, assigned: DataFrame) -> DataFrame:
     """algorithm, role, speed, accuracy, interpretability, ..., confidence per ranked row."""
     joined = rankings.join(
-        assigned.select("session_id", "id", "role"), ["session_id", "id"], "left"
+        one_role(assigned).select("session_id", "id", "role"), ["session_id", "id"], "left"
     )
     return joined.select(
         "session_id", "rank", F.col("name").alias("algorithm"),

@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from brightloom.errors import StepError
 from brightloom.functions.columns import col, is_numeric, is_text, require
-from brightloom.functions.values import distinct_counts
-from brightloom.operators.encoding import label_encode
 from brightloom.operators.missing import forward_fill
 from brightloom.operators.missing import lags as lags_of
 from brightloom.plans import knowledge as kb
@@ -30,7 +28,8 @@ from brightloom.plans import knowledge as kb
 SEED = 42
 TRAIN_SHARE = 0.8
 KEPT_VARIANCE = 0.95
-MOST_INDEXED = 10_000   # values of one text column that a fitted index may hold
+TEXT_SLOTS = 256        # hashed flags that all text columns share
+MOST_CLASSES = 10_000   # values of a classification target; more is an error
 
 CATEGORY = {a[0]: a[1] for a in kb.ALGORITHMS}
 TEMPLATE = {t[0]: t[1:] for t in kb.TEMPLATES}
@@ -106,10 +105,11 @@ class Trained:
 def preparation(df: DataFrame, algorithm: str, skip: tuple[str, ...] = ()) -> Pipeline:
     """Imputation, encoding, scaling and PCA stages of the algorithm's template.
 
-    The result column is ``features``. Text columns are indexed by frequency inside
-    the training rows; values unseen there get a slot of their own.
+    The result column is ``features``. The values of all text columns are hashed, with their
+    column, to ``TEXT_SLOTS`` flags: nothing is fitted, so any number of values, seen in
+    training or not, is treated alike. Values may share a flag.
     """
-    scaling, encoding, imputer, selection = TEMPLATE[algorithm]
+    scaling, _, imputer, selection = TEMPLATE[algorithm]
     numbers = [f.name for f in df.schema if is_numeric(f.dataType) and f.name not in skip]
     texts = [f.name for f in df.schema if is_text(f.dataType) and f.name not in skip]
     stages, parts = [], list(numbers)
@@ -118,13 +118,9 @@ def preparation(df: DataFrame, algorithm: str, skip: tuple[str, ...] = ()) -> Pi
         stages.append(fe.Imputer(strategy=imputer, inputCols=numbers, outputCols=filled))
         parts = filled
     if texts:
-        codes = [f"{c}__code" for c in texts]
-        stages.append(fe.StringIndexer(inputCols=texts, outputCols=codes, handleInvalid="keep"))
-        if encoding == "onehot":
-            flags = [f"{c}__flags" for c in texts]
-            stages.append(fe.OneHotEncoder(inputCols=codes, outputCols=flags, handleInvalid="keep"))
-            codes = flags
-        parts = parts + codes
+        stages.append(fe.FeatureHasher(
+            inputCols=texts, categoricalCols=texts, outputCol="texts__flags", numFeatures=TEXT_SLOTS))
+        parts = [*parts, "texts__flags"]
     if not parts:
         raise StepError("train", "the table has no usable feature column")
     result = "features" if scaling is None else "assembled"
@@ -164,15 +160,6 @@ def _typed(df: DataFrame, algorithm: str, skip) -> DataFrame:
     return df.select(*kept)
 
 
-def _shorten_texts(df: DataFrame, skip) -> DataFrame:
-    """Text columns with too many values for a driver-side index get label codes in Spark."""
-    texts = [f.name for f in df.schema if is_text(f.dataType) and f.name not in skip]
-    for c, n in distinct_counts(df, texts).items():
-        if n > MOST_INDEXED:
-            df = label_encode(df, c)
-    return df
-
-
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """80/20 split by a seeded hash of the whole row: it does not move when tasks are rerun.
 
@@ -205,6 +192,9 @@ def train(df: DataFrame, algorithm: str, target: str | None = None, rounds: int
         label = fe.StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
                                  handleInvalid="error")
         text = df.withColumn(target, col(target).cast("string"))
+        some = text.select(col(target)).distinct().limit(MOST_CLASSES + 1).count()
+        if some > MOST_CLASSES:
+            raise StepError("train", f"'{target}' has more than {MOST_CLASSES} classes")
         label = label.fit(text)
         df, skip = label.transform(text), [target, "label"]
     elif target is not None and category != "clustering":
@@ -216,7 +206,7 @@ def train(df: DataFrame, algorithm: str, target: str | None = None, rounds: int
         skip += ["censor"] + ([censor] if censor else [])
     skip += [c for c in (order_by or []) if c not in skip]
 
-    ready = _typed(_shorten_texts(df, skip), algorithm, skip)
+    ready = _typed(df, algorithm, skip)
     supervised = category not in ("clustering", "dimensionality_reduction")
     train_rows, test_rows = split(ready) if supervised else (ready, ready)
     prep = preparation(ready, algorithm, tuple(skip)).fit(train_rows)
@@ -228,27 +218,11 @@ def train(df: DataFrame, algorithm: str, target: str | None = None, rounds: int
     width = len(train_set.select("features").first()[0])
     classes = len(label.labels) if label is not None else 0
     estimator = _model(algorithm, width, classes, rounds, trees)
-    bins = _widest_category(train_set) if "tree" in algorithm or "boost" in algorithm or \
-        algorithm.startswith(("xgb", "lightgbm", "catboost", "random_forest")) else 0
-    if bins > 32:
-        _set_bins(estimator, bins)
     model = estimator.fit(train_set)
     predictions = model.transform(test_set)
     return Trained(algorithm, prep, model, _metrics(category, model, predictions, algorithm), predictions)
 
 
-def _widest_category(train_set: DataFrame) -> int:
-    """Most values of one nominal feature: trees need as many bins."""
-    attrs = train_set.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-    return max([len(a.get("vals", [])) for a in attrs.get("nominal", [])] or [0])
-
-
-def _set_bins(estimator, bins: int) -> None:
-    inner = estimator.getClassifier() if isinstance(estimator, cl.OneVsRest) else estimator
-    if inner.hasParam("maxBins"):
-        inner.set(inner.maxBins, bins)
-
-
 def _lag_features(df, target, order_by, partition_by, lags):
     if not order_by:
         raise StepError("train", "a time series needs order_by")

@@ -5,29 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Size limit in bytes, accepted extensions, leading bytes of the formats.
-MAX_BYTES = 100 * 1024 * 1024
+# Accepted extensions, leading bytes of the formats.
 EXTENSIONS = ("csv", "xlsx", "json", "parquet")
 PARQUET_MARK = "50415231"   # PAR1
 ZIP_MARK = "504B0304"       # PK\x03\x04
 
 
-def audit_files(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def audit_files(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
     """path, length, extension, verdict ('ok' or the reason for rejection).
 
     Names and sizes are read from the listing alone; only files that pass both checks
-    are opened, so an oversized file is never loaded.
+    are opened. Without ``max_bytes`` no size is too large.
     """
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     )
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    known, small = extension.isin(*EXTENSIONS), F.col("length") <= max_bytes
+    known, small = extension.isin(*EXTENSIONS), _within(max_bytes)
     rejected = listing.select("path", "length").where(~known | ~small).select(
         "path", "length", extension.alias("extension"),
         F.when(~known, "unsupported file type").otherwise("file too large").alias("verdict"),
     )
-    opened = listing.where(F.col("length") <= max_bytes).where(known).select(
+    opened = listing.where(_within(max_bytes)).where(known).select(
         "path", "length", extension.alias("extension"),
         F.hex(F.substring("content", 1, 8)).alias("head"),
     )
@@ -36,6 +35,10 @@ def audit_files(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) ->
     )
 
 
+def _within(max_bytes: int | None):
+    return F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+
+
 def content_verdict(extension: str, head: str):
     """Verdict of the first eight bytes (as hex) against the file extension."""
     kind, mark = F.col(extension), F.col(head)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +54,7 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None,
         reader = spark.read.option("multiLine", whole and fmt == "json")
         df = (reader.schema(schema) if schema is not None else reader).json(path)
     elif fmt == "csv":
-        whole = _csv_over_lines(spark, path) if multiline is None else multiline
-        df = _load_csv(spark, path, schema, whole)
+        df = _load_csv(spark, path, schema, multiline)
     else:
         raise UnsupportedFileType(path, FORMATS)
     df = normalise_missing(df)
@@ -62,10 +63,11 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None,
     return df
 
 
-def _csv_over_lines(spark, path) -> bool:
-    """Does a quoted field hold a line break? Then some line has an odd number of quotes."""
+def _csv_over_lines(spark, path) -> list[str]:
+    """The files in which a quoted field may hold a line break: some line has an odd number of quotes."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    odd = spark.read.text(path).where(quotes % 2 == 1).select(F.input_file_name().alias("f")).distinct()
+    return [r["f"] for r in odd.collect()]
 
 
 def _json_over_lines(spark, path) -> bool:
@@ -76,14 +78,30 @@ def _json_over_lines(spark, path) -> bool:
 
 
 def _load_csv(spark, path, schema, multiline):
-    reader = spark.read.options(header=True, multiLine=multiline, escape='"')
+    options = {"header": True, "escape": '"'}
+    whole = _csv_over_lines(spark, path) if multiline is None else []
+    reader = spark.read.options(multiLine=bool(multiline), **options)
     if schema is not None:
-        return reader.schema(schema).csv(path)
+        reader = reader.schema(schema)
     texts = reader.csv(path)
+    if whole:       # only these files are read as one task each
+        names = {_plain(f): f for f in texts.inputFiles()}
+        apart = {names.get(_plain(f), f) for f in whole}
+        rest = sorted(set(names.values()) - apart)
+        layout = texts.schema
+        texts = spark.read.options(multiLine=True, **options).schema(layout).csv(sorted(apart))
+        if rest:
+            texts = texts.union(spark.read.options(multiLine=False, **options).schema(layout).csv(rest))
+    strings = [f.name for f in texts.schema if isinstance(f.dataType, T.StringType)]
     cleaned = replace_columns(texts, {
-        c: F.when(~col(c).isin(*MISSING_TEXTS), col(c)) for c in texts.columns
+        c: F.when(~col(c).isin(*MISSING_TEXTS), col(c)) for c in strings
     })
-    return _infer_types(cleaned)
+    return cleaned if schema is not None else _infer_types(cleaned)
+
+
+def _plain(path: str) -> str:
+    """A file's address without the differences between ways to write it."""
+    return unquote(re.sub(r"^file:/+", "/", path))
 
 
 def _infer_types(df: DataFrame) -> DataFrame:
@@ -95,10 +113,13 @@ def _infer_types(df: DataFrame) -> DataFrame:
         aggregates = []
         for i, c in enumerate(part):
             value, present = F.trim(col(c)), col(c).isNotNull()
+            whole = value.rlike(r"^[+-]?\d+$")
             aggregates += [
                 F.count(col(c)).alias(f"n{i}"),
-                F.count_if(present & ~value.rlike(r"^[+-]?\d{1,18}$")).alias(f"bigint{i}"),
-                F.count_if(present & value.try_cast("double").isNull()).alias(f"double{i}"),
+                F.count_if(present & ~(whole & value.try_cast("bigint").isNotNull())).alias(f"bigint{i}"),
+                # a whole number beyond bigint would be rounded: such a column stays text
+                F.count_if(present & (value.try_cast("double").isNull()
+                                      | (whole & value.try_cast("bigint").isNull()))).alias(f"double{i}"),
                 F.count_if(present & ~value.isin("True", "False", "TRUE", "FALSE", "true", "false"))
                 .alias(f"boolean{i}"),
             ]

@@ -160,18 +160,18 @@ kinds AS (""" + union(
     for i, c in enumerate(("text", "lang", "source"))) + """),
 found AS (
   SELECT 1 AS part, 0 AS place, 'duplicates' AS "check", NULL AS "column", d::DOUBLE AS measured, 10 AS penalty,
-         'Dataset contains ' || CAST(d AS BIGINT) || ' duplicate rows (-10 penalty).' AS warning
+         CAST(d AS BIGINT) || ' rows repeat others: -10' AS warning
   FROM copies WHERE d > 0
   UNION ALL
   SELECT 2, place, 'missing', c, p, 20,
-         'Column ''' || c || ''' has ' || printf('%.1f', p) || '% missing values (-20 penalty).'
+         printf('%.1f', p) || '% of ''' || c || ''' is missing: -20'
   FROM gaps WHERE p > 20
   UNION ALL
   SELECT 3, 0, 'outliers', 'n_chars', p, 15,
-         'Column ''n_chars'' has ' || printf('%.1f', p) || '% outliers (-15 penalty).' FROM strange WHERE p > 5
+         printf('%.1f', p) || '% of ''n_chars'' lies outside: -15' FROM strange WHERE p > 5
   UNION ALL
   SELECT 4, place, 'cardinality', c, u::DOUBLE, 10,
-         'Categorical column ''' || c || ''' has high cardinality (-10 penalty).'
+         '''' || c || ''' has very many values: -10'
   FROM kinds, rows WHERE u > 10 AND u::DOUBLE / n > 0.10)"""
 sql("quality_penalties", f"""WITH {PENALTIES}
 SELECT "check", "column", round(measured, 6) AS measured, CAST(penalty AS INTEGER) AS penalty, warning FROM found""")
@@ -304,11 +304,11 @@ SELECT affected_rows, 'after', event_id, {CAPPED.removesuffix(' AS value')} FROM
 def advice(source: str, names) -> str:
     return f"""SELECT "column", outliers, {nearest('p', 2)} AS percentage, 'iqr' AS recommended_method,
   CASE WHEN p < 5 THEN 'remove' WHEN p <= 15 THEN 'cap' ELSE 'keep' END AS recommended_action,
-  CASE WHEN p < 5 THEN 'Low outlier density (' || printf('%.2f', p) || '%). Safe to drop outlier rows.'
-       WHEN p <= 15 THEN 'Moderate outlier density (' || printf('%.2f', p) ||
-            '%). Recommend capping values to upper/lower bounds.'
-       ELSE 'High outlier density (' || printf('%.2f', p) ||
-            '%). Outliers represent natural distribution shape. Keep them.' END AS reason
+  CASE WHEN p < 5 THEN 'Only ' || printf('%.2f', p) || '% of the rows lie outside: removing them costs little.'
+       WHEN p <= 15 THEN printf('%.2f', p) ||
+            '% of the rows lie outside: moving their values to the bounds keeps the rows.'
+       ELSE printf('%.2f', p) ||
+            '% of the rows lie outside: so many belong to the shape of the column.' END AS reason
 FROM (SELECT *, outliers * 100::DOUBLE / (SELECT count(*) FROM {source}) AS p
       FROM ({detect(source, names, fences)})) WHERE outliers > 0"""
 
@@ -333,8 +333,8 @@ sql("encode_ordinal_unknown", f"""SELECT c_custkey, coalesce(code, -1) AS c_mkts
 LEFT JOIN {CODES.format(e='c_mktsegment', t='customer', w="c_mktsegment <> 'MACHINERY'")} ON c_mktsegment = v""")
 sql("encode_recommend", "SELECT c AS \"column\", u AS unique_values, "
     "CASE WHEN u <= 10 THEN 'onehot' ELSE 'label' END AS recommended, "
-    "CASE WHEN u <= 10 THEN 'Low cardinality (' || u || ' unique values). One-hot encoding creates dummy variables.' "
-    "ELSE 'High cardinality (' || u || ' unique values). Label encoding avoids dimension explosion.' END AS reason "
+    "CASE WHEN u <= 10 THEN u || ' values are few: one flag column for each keeps them apart.' "
+    "ELSE u || ' values would make as many flag columns: codes keep the table narrow.' END AS reason "
     "FROM (" + union(f"SELECT '{c}' AS c, count(DISTINCT {c}) AS u FROM part"
                      for c in ("p_name", "p_brand", "p_type")) + ")")
 sql("encode_preview_label", f"""WITH {EVENTS}, few AS (SELECT event_id, event_type FROM ev ORDER BY event_id LIMIT 10),
@@ -414,8 +414,8 @@ NET = ("l_quantity", "l_extendedprice", "net")
 sql("corr_high_pairs", """WITH g AS (
   SELECT l_quantity, l_extendedprice, l_extendedprice * (1 - l_discount) AS net FROM lineitem)
 SELECT column1, column2, """ + nearest("r", 3) + """ AS correlation,
-  'Pearson coefficient is high (' || CAST(""" + nearest("r", 2) + """ AS VARCHAR) ||
-  '). Recommend dropping either ''' || column1 || ''' or ''' || column2 || '''.' AS recommendation
+  '''' || column1 || ''' and ''' || column2 || ''' move together (r = ' || CAST(""" + nearest("r", 2) + """ AS VARCHAR) ||
+  '): one of them can go.' AS recommendation
 FROM (""" + union(
     f"SELECT '{a}' AS column1, '{b}' AS column2, corr({a}, {b}) AS r FROM g"
     for i, a in enumerate(NET) for b in NET[i + 1:]) + ") WHERE abs(r) >= 0.9")
@@ -482,7 +482,46 @@ UNION ALL SELECT 5, 'column_encode', (SELECT count(*) FROM s4)
 UNION ALL SELECT 6, 'column_rename', (SELECT count(*) FROM s5)
 UNION ALL SELECT 7, 'scaling', (SELECT count(*) FROM s5)""")
 
+RECORDED = (
+    "duplicate rows removed, first kept", "gaps in 'value' filled by median", "gaps in 'event_type' filled by mode",
+    "outliers of 'value' by iqr: cap", "'event_type' encoded by label", "'props' is now 'details'", "standard scaling of value")
+sql("recipe_history", "WITH touched AS (" + ORACLES["recipe_affected_rows"] + "), said(step, description) AS (VALUES "
+    + ", ".join(f"({i}, '" + t.replace("'", "''") + "')" for i, t in enumerate(RECORDED, 1))
+    + ") SELECT step, type, description, affected_rows FROM touched JOIN said USING (step)")
+sql("recipe_read_back", ORACLES["recipe_replay"])
+sql("recipe_job", ORACLES["recipe_replay"])
+sql("recipe_stored_frozen", ORACLES["recipe_frozen"])
+sql("recipe_blueprint", f"""WITH {EVENTS}, m AS (SELECT avg(value) AS a FROM ev),
+g AS (SELECT event_id, coalesce(value, a) AS filled, coalesce(event_type, 'none') AS t FROM ev, m),
+s AS (SELECT avg(filled) AS mu, stddev_samp(filled) AS sd FROM g),
+c AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS code FROM (SELECT DISTINCT t FROM g))
+SELECT event_id, round(filled, 6) AS filled, round((filled - mu) / sd, 6) AS scaled, code FROM g JOIN c USING (t), s""")
+
 # -- sources
+sql("empty_tables_refused", f"""WITH {EVENTS}
+SELECT CAST(r AS INTEGER) AS rest, count(event_id) = 0 AS refused, count(event_id) AS rows
+FROM range(3) t(r) LEFT JOIN ev ON event_id % 2 = r GROUP BY r""")
+sql("suggested_targets", union(
+    f"SELECT '{t}' AS \"table\", '{c}' AS target, count(DISTINCT {c}) AS \"values\" FROM {t}"
+    for t, c in (("labels", "toxic"), ("part", "p_retailprice"), ("customer", "c_mktsegment"), ("lineitem", "l_shipdate"))))
+sql("report_written", """WITH poor AS (
+  SELECT text, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang, source, n_chars FROM documents)
+SELECT (SELECT count(*) FROM poor) AS total_rows, 4::BIGINT AS total_columns,
+  (SELECT count(*) FROM poor) - (SELECT count(*) FROM (SELECT DISTINCT * FROM poor)) AS duplicate_rows, 1::BIGINT AS columns_with_gaps""")
+sql("quartiles_full_and_sparse", union(
+    f"SELECT '{n}' AS name, " + ", ".join(f"round(quantile_cont({e}, {p}), 6) AS q{i}" for i, p in ((1, 0.25), (2, 0.5), (3, 0.75)))
+    + " FROM lineitem" for n, e in (
+        ("l_extendedprice", "l_extendedprice::DOUBLE"),
+        ("sparse", "CASE WHEN l_orderkey % 50 = 0 THEN l_extendedprice::DOUBLE END"),
+        ("constant", "CASE WHEN l_orderkey % 3 > 0 THEN 7.0::DOUBLE END"))))
+sql("roles_last_in_answer", """SELECT event_id::VARCHAR AS session_id, 'X' AS algorithm,
+  CASE event_id % 3 WHEN 0 THEN 'most_interpretable' WHEN 1 THEN 'recommended' ELSE 'fastest' END AS role FROM events""")
+sql("audit_undo_nested", """WITH last AS (SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id)
+SELECT e.event_id::VARCHAR AS id, 'x' AS note, CASE WHEN l.event_id IS NULL THEN 'true' ELSE 'false' END AS "outer",
+  'true' AS "inner", e.event_id::VARCHAR AS k FROM events e LEFT JOIN last l USING (event_id)""")
+sql("csv_long_ids", """SELECT CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS status,
+  count(DISTINCT o_orderkey) AS ids, min(1234567890123000000 + o_orderkey)::BIGINT AS least,
+  max('98765432109876543210' || o_orderkey::VARCHAR) AS longest, count(*) AS given FROM orders GROUP BY 1""")
 sql("csv_round_trip", f"WITH {EVENTS} SELECT event_id, user_id, event_type, value, props FROM ev")
 sql("json_round_trip", ORACLES["csv_round_trip"])
 sql("parquet_round_trip", f"WITH {EVENTS} SELECT event_id, value FROM ev")

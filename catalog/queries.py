@@ -6,9 +6,13 @@ and the SQL side.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.errors import EmptyDataset
 from brightloom.functions.columns import col
 from brightloom.functions.runtime import shared_folder
 from brightloom.functions.values import broadcast_if_small
@@ -16,8 +20,9 @@ from brightloom.operators import (
     audit_log, charts, columns, correlation, duplicates, encoding, missing, outliers, profile,
     quality, scaling,
 )
-from brightloom.plans import knowledge, recommend, training
-from brightloom.plans.recipe import Recipe
+from brightloom.plans import job, knowledge, recommend, training
+from brightloom.plans.blueprint import blueprint
+from brightloom.plans.recipe import FittedRecipe, Recipe
 from brightloom.sources import file_audit
 from brightloom.sources.tables import export_table, load_table
 
@@ -652,7 +657,142 @@ def recipe_affected_rows(spark, folder):
     return cleaning_recipe().affected_rows(events(spark, folder))
 
 
+@query
+def recipe_history(spark, folder):
+    """The recorded steps next to the rows that each has touched."""
+    recipe = cleaning_recipe()
+    touched = recipe.affected_rows(events(spark, folder))
+    return recipe.history(spark).join(touched, ["step", "type"]).select("step", "type", "description", "affected_rows")
+
+
+@query
+def recipe_read_back(spark, folder):
+    """Replayed from its text."""
+    recipe = Recipe.from_json(Recipe.from_yaml(cleaning_recipe().to_yaml()).to_json())
+    return rounded(recipe.apply(events(spark, folder)).drop("ts"))
+
+
+@query
+def recipe_stored_frozen(spark, folder):
+    """Fitted on the events of even users, stored, loaded and applied to all."""
+    whole = events(spark, folder)
+    recipe = Recipe().then("missing", column="value", strategy="mean").then(
+        "scaling", columns=["value"], method="minmax")
+    stored = recipe.fit(whole.where("user_id % 2 = 0")).save(spark, shared_folder(spark, "frozen"))
+    return rounded(FittedRecipe.load(spark, stored).transform(whole).select("event_id", "value"))
+
+
+@query
+def recipe_job(spark, folder):
+    """A stored recipe run as a job on a stored table."""
+    place = shared_folder(spark, "job")
+    source = export_table(events(spark, folder), f"{place}/in.parquet")
+    steps = cleaning_recipe().save(spark, f"{place}/steps.yaml")
+    return rounded(load_table(spark, job.run(spark, steps, source, f"{place}/out.parquet")).drop("ts"))
+
+
+@query
+def recipe_blueprint(spark, folder):
+    """The fitted blueprint of a recipe: filled and scaled values, value codes by name."""
+    recipe = Recipe().then("missing", column="value", strategy="mean").then(
+        "scaling", columns=["value"], method="standard").then("column_encode", column="props", method="label")
+    df = events(spark, folder).select("event_id", "value", F.coalesce("event_type", F.lit("none")).alias("props"))
+    ready = blueprint(recipe).fit(df).transform(df)
+    return rounded(ready.select(
+        "event_id", col("value_imputed").alias("filled"), vector_to_array("value_scaled")[0].alias("scaled"),
+        col("props_code").cast("long").alias("code")))
+
+
 # -- sources -------------------------------------------------------------------
+@query
+def empty_tables_refused(spark, folder):
+    """The events of three remainders, one of which has none, stored and loaded."""
+    rows = []
+    for rest in range(3):
+        path = f"{shared_folder(spark, 'parts')}.parquet"
+        events(spark, folder).where(col("event_id") % 2 == rest).write.parquet(path)
+        try:
+            rows.append((rest, False, load_table(spark, path).count()))
+        except EmptyDataset:
+            rows.append((rest, True, 0))
+    return spark.createDataFrame(rows, "rest int, refused boolean, rows long")
+
+
+@query
+def report_written(spark, folder):
+    """The summary and the duplicates of a report that was written and read again."""
+    path = quality.write_report(poor_documents(spark, folder), shared_folder(spark, "report"), "documents", 3)
+    read = spark.read.json(path)
+    return read.select(
+        "summary.total_rows", "summary.total_columns", col("duplicates")["duplicate_rows"].alias("duplicate_rows"),
+        F.size("missing.details").cast("long").alias("columns_with_gaps"))
+
+
+@query
+def suggested_targets(spark, folder):
+    """The suggested target of each table, with its number of values."""
+    rows = []
+    for name in ("labels", "part", "customer", "lineitem"):
+        df = table(spark, folder, name)
+        target = profile.suggested_target(df)
+        rows.append(df.agg(F.lit(name).alias("table"), F.lit(target).alias("target"),
+                           F.count_distinct(col(target)).alias("values")))
+    return reduce(DataFrame.unionAll, rows)
+
+
+@query
+def quartiles_full_and_sparse(spark, folder):
+    """Exact quartiles of a full column next to one filled in few rows."""
+    df = table(spark, folder, "lineitem").select(
+        "l_extendedprice", F.when(col("l_orderkey") % 50 == 0, col("l_extendedprice")).alias("sparse"),
+        F.when(col("l_orderkey") % 3 > 0, F.lit(7.0)).alias("constant"))
+    found = profile.TableStats(df).quartiles()
+    return rounded(spark.createDataFrame([(c, *v) for c, v in found.items()], "name string, q1 double, q2 double, q3 double"))
+
+
+@query
+def roles_last_in_answer(spark, folder):
+    """Answers that give one id two roles: the later one holds, in both result tables."""
+    roles = ("fastest", "most_interpretable", "recommended")
+    e = table(spark, folder, "events").select(
+        col("event_id").cast("string").alias("session_id"), (col("event_id") % 3).cast("int").alias("a"))
+    one = F.array(*[F.lit(r) for r in roles])[col("a")]
+    two = F.array(*[F.lit(r) for r in roles])[(col("a") + 1) % 3]
+    answers = e.select("session_id", F.concat(
+        F.lit('{"assignments": [{"id": "x", "role": "'), one, F.lit('"}, {"id": "x", "role": "'), two, F.lit('"}]}')).alias("response"))
+    rankings = e.select("session_id", F.lit("x").alias("id"), F.lit(1).alias("rank"), F.lit("X").alias("name"),
+                        *[F.lit("fast").alias(c) for c in ("speed", "accuracy_potential", "interpretability")],
+                        F.lit(True).alias("handles_categorical"), F.lit(True).alias("handles_imbalance"), F.lit(0.5).alias("combined_score"))
+    valid = recommend.valid_assignments(recommend.extract_assignments(answers), rankings, places=True)
+    return recommend.alternatives(rankings, valid).select("session_id", "algorithm", "role")
+
+
+@query
+def audit_undo_nested(spark, folder):
+    """Undo leaves flags inside nested objects alone."""
+    nested = F.concat(F.lit('{"note": "x", "is_active" : true, "b": {"is_active": true, "k": '), col("id"), F.lit("}}"))
+    changed = audit_log.deactivate_last(
+        _operations(spark, folder).withColumn("parameters", nested), F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    return changed.select(
+        "id", *[F.get_json_object("parameters", f"$.{p}").alias(n) for n, p in (
+            ("note", "note"), ("outer", "is_active"), ("inner", "b.is_active"), ("k", "b.k"))])
+
+
+@query
+def csv_long_ids(spark, folder):
+    """Whole numbers of 19 digits stay whole; a column with longer ones stays text."""
+    df = table(spark, folder, "orders").select(
+        (F.lit(1234567890123000000) + col("o_orderkey")).alias("long_id"),
+        F.concat(F.lit("98765432109876543210"), col("o_orderkey").cast("string")).alias("longer_id"),
+        F.when(col("o_orderkey") % 5 > 0, col("o_orderstatus")).alias("status"))
+    path = export_table(df, f"{shared_folder(spark, 'ids')}.csv")
+    typed = load_table(spark, path)
+    given = load_table(spark, path, schema="long_id long, longer_id string, status string").groupBy("status").agg(F.count("*").alias("given"))
+    return typed.groupBy("status").agg(
+        F.count_distinct("long_id").alias("ids"), F.min("long_id").alias("least"), F.max("longer_id").alias("longest"),
+    ).join(given.withColumnRenamed("status", "s"), col("status").eqNullSafe(col("s"))).drop("s")
+
+
 def _there_and_back(spark, df, fmt):
     path = shared_folder(spark, "round-trip") + f".{fmt}"
     return load_table(spark, export_table(df, path))
@@ -957,3 +1097,13 @@ def train_regressor(spark, folder):
 def train_segments(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
     return training.train(lines, "kmeans").metrics
+
+
+@query
+def train_tuned(spark, folder):
+    """The regularisation of a ridge regression chosen by cross-validation over its grid."""
+    part = training.split(table(spark, folder, "part").drop("p_partkey", "p_name").withColumn("label", col("p_retailprice")))[0]
+    ready = training.preparation(part.drop("label", "p_retailprice"), "ridge_regression").fit(part).transform(part)
+    best = training.tune(ready, "ridge_regression", folds=2)
+    rows = [(i, float(list(p.values())[0]), float(m)) for i, (p, m) in enumerate(zip(best.getEstimatorParamMaps(), best.avgMetrics))]
+    return spark.createDataFrame(rows, "place int, parameter double, rmse double")

@@ -34,7 +34,7 @@ def test_many_shapes(spark, tight):
         "same": np.ones(n), "heavy": rng.standard_cauchy(n),
         "two": np.where(rng.random(n) < 0.5, -1e9, 1e9),
     })
-    check(spark, frame, small=100)
+    check(spark, frame)
 
 
 def test_gaps_are_skipped(spark, tight):
@@ -42,7 +42,7 @@ def test_gaps_are_skipped(spark, tight):
     values = pd.Series(rng.random(5000))
     values[::3] = None
     df = spark.createDataFrame([(None if pd.isna(v) else float(v),) for v in values], "x double")
-    assert q.exact_quantiles(df, ["x"], [0.5], small=10)["x"][0] == pytest.approx(values.median())
+    assert q.exact_quantiles(df, ["x"], [0.5])["x"][0] == pytest.approx(values.median())
 
 
 def test_missed_brackets_are_moved(spark, monkeypatch):
@@ -64,7 +64,7 @@ def test_missed_brackets_are_moved(spark, monkeypatch):
         return size
 
     monkeypatch.setattr(q, "_tighten", misled)
-    check(spark, frame, small=10)
+    check(spark, frame)
 
 
 def test_no_values(spark):
@@ -76,7 +76,7 @@ def test_no_values(spark):
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=60))
 def test_small_tables(spark, values):
     check(spark, pd.DataFrame({"x": values}))
-    check(spark, pd.DataFrame({"x": values}), small=0)
+    check(spark, pd.DataFrame({"x": values}))
 
 
 def test_approximate(spark):

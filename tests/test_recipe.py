@@ -60,10 +60,10 @@ def test_errors_name_the_step(people):
 def test_files(tmp_path, spark, people):
     steps = recipe().then("missing", column="name", strategy="constant", constant_value="a: \"b\" #c")
     for name in ("r.json", "r.yaml"):
-        loaded = Recipe.load(steps.save(str(tmp_path / name)))
+        loaded = Recipe.load(spark, steps.save(spark, str(tmp_path / name)))
         assert [(s.type, s.params) for s in loaded.steps] == [(s.type, s.params) for s in steps.steps]
     rows = steps.history(spark).collect()
-    assert rows[0]["step"] == 1 and rows[1]["description"] == "Applied median imputation on column 'age'"
+    assert rows[0]["step"] == 1 and rows[1]["description"] == "gaps in 'age' filled by median"
 
 
 def test_affected_rows(people):
@@ -78,7 +78,7 @@ def test_job_and_cast(tmp_path, spark):
     source = export_table(df, str(tmp_path / "in.parquet"))
     steps = Recipe().then("column_drop", columns=["name"]).then(
         "missing", column="age", strategy="median").then("scaling", columns=["salary"], method="minmax")
-    path = steps.save(str(tmp_path / "steps.yaml"))
+    path = steps.save(spark, str(tmp_path / "steps.yaml"))
     out = load_table(spark, job.run(spark, path, source, str(tmp_path / "out.parquet")))
     assert "name" not in out.columns and out.where("age is null").count() == 0
 
@@ -87,11 +87,11 @@ def test_frozen_recipe(tmp_path, spark, people, monkeypatch):
     steps = Recipe().then("missing", column="age", strategy="mean").then(
         "column_encode", column="name", method="label").then("scaling", columns=["salary"], method="robust")
     fitted = steps.fit(people)
-    again = FittedRecipe.load(spark, fitted.save(str(tmp_path / "frozen")))
+    again = FittedRecipe.load(spark, fitted.save(spark, str(tmp_path / "frozen")))
     expected = fitted.transform(people).orderBy("id").collect()
     assert again.transform(people).orderBy("id").collect() == expected
     monkeypatch.setattr(encoding, "FEW_VALUES", 5)
-    stored = FittedRecipe.load(spark, steps.fit(people).save(str(tmp_path / "frozen2")))
+    stored = FittedRecipe.load(spark, steps.fit(people).save(spark, str(tmp_path / "frozen2")))
     assert stored.transform(people).orderBy("id").collect() == expected
 
 
