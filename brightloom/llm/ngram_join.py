@@ -49,7 +49,7 @@ class WordHashes(dict):
 class Shingles:
     """Sorted hashes of the distinct shingles of a text."""
 
-    def __init__(self, size: int, most: int = 1_000_000):
+    def __init__(self, size: int, most: int = 200_000):
         self.size, self.most, self.known = size, most, WordHashes()
 
     def of(self, text: str) -> np.ndarray:

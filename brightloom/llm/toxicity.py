@@ -127,7 +127,7 @@ def quoted(text: str, start: int, end: int) -> bool:
 
 
 class Scorer:
-    def __init__(self, terms, most: int = 1_000_000):
+    def __init__(self, terms, most: int = 200_000):
         self.lexicon, self.most = Lexicon(terms), most
         self.seen: dict[str, int] = {}
 

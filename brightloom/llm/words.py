@@ -8,7 +8,7 @@ import numpy as np
 class WordIds:
     """The token ids of words, by ``encode(list of words) -> (ids, ids of each word)``; forgets all beyond ``most`` words."""
 
-    def __init__(self, encode, most: int = 1_500_000):
+    def __init__(self, encode, most: int = 600_000):
         self.encode, self.most = encode, most
         self._clear()
 
