@@ -34,7 +34,7 @@ from brightloom.llm.names import free, own
 ship_by_value(__name__)
 
 MOST_HOT, HOT = 1_000_000, 64
-LEADERS, PART, PART_BYTES, QUERY_ROWS = 16, 256, 1 << 24, 2048
+LEADERS, PART, PART_BYTES, QUERY_ROWS = 16, 256, 1 << 23, 2048
 MOST_BROADCAST = 500_000
 ROWS = "doc_id bigint, tkey binary, sid binary, n bigint, first array<bigint>"
 SETS = "sid binary, tokens binary"
@@ -254,7 +254,8 @@ def _rare_first(docs, first, size, percent) -> DataFrame:
         again = _texts(docs, wanted).mapInArrow(_later(size, percent, hot), "cid bigint, tkey binary, n bigint, first array<bigint>")
         again = again.dropDuplicates(["cid"]).join(_checked(wanted.select("cid", "doc_id")), "cid")
         again = materialise(again.select(first.columns), "first")
-        return first.join(_checked(touched), "cid", "left_anti").unionByName(again), again
+        rest = first.join(_checked(touched), "cid", "left_anti")
+        return materialise(rest.unionByName(again), "renewed"), again
 
     frequent = _frequent(first.select(F.explode("first").alias("token")))
     hot = np.sort(numbers(frequent))
@@ -284,7 +285,7 @@ def _meeting(percent):
         for k in np.unique(lengths[lengths > 1]):
             runs = starts[lengths == k]
             if k <= 1000:
-                step, (i, j) = max(1, 2_000_000 // (k * k)), np.triu_indices(k, 1)
+                step, (i, j) = max(1, 500_000 // (k * k)), np.triu_indices(k, 1)
                 parts = (((runs[s : s + step, None] + i).ravel(), (runs[s : s + step, None] + j).ravel())
                          for s in range(0, len(runs), step))
             else:  # a few, too long for a table of pairs
@@ -295,7 +296,7 @@ def _meeting(percent):
                 larger = rows[a] >= rows[b]  # the members of the smaller group will be the queries
                 a, b = np.where(larger, a, b), np.where(larger, b, a)
                 found.append(np.column_stack([group[a], group[b], least_met(low[a], high[a], low[b], high[b], percent)]))
-                if sum(map(len, found)) > 4_000_000:
+                if sum(map(len, found)) > 500_000:
                     yield found
                     found = []
         yield found
@@ -315,7 +316,7 @@ def _meeting(percent):
         for batch in batches:
             kept.append([batch[c].to_numpy(zero_copy_only=False) for c in names])
             size += batch.num_rows
-            if size >= 1_000_000 and kept[0][0][0] != kept[-1][0][-1]:
+            if size >= 300_000 and kept[0][0][0] != kept[-1][0][-1]:
                 columns = [np.concatenate(c) for c in zip(*kept)]
                 cut = np.searchsorted(columns[0], columns[0][-1])  # the last token may go on
                 yield from emit(pairs_of(*(c[:cut] for c in columns)))
@@ -365,6 +366,7 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     ).select(F.monotonically_increasing_id().alias("cid"), "sid", "rep.doc_id", "rep.tkey", "n", "first"), "classes")
 
     first = _rare_first(docs, classes.select("cid", "doc_id", "tkey", "n", "first"), size, percent)
+    first = first.select("cid", "first")
     # near copies mostly share their shingle of least hash, whatever is rare in them
     buckets = classes.select("cid", "doc_id", "tkey", "n", F.get("first", F.lit(0)).alias("bucket"))
     clusters = materialise(_cluster(docs, buckets, size, percent), "clusters")
