@@ -8,6 +8,7 @@ import numpy as np
 
 LINKS, BUILD_BEAM, RATIO, TOP = 16, 48, 16, 256
 LANES, EXPAND = 512, 4
+REPAIRS = 4  # links that a node takes on for nodes which no walk reaches
 
 
 def search_level(vectors, neighbours, queries, entries, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +117,48 @@ class Graph:
                 neighbours[batch, : picked.shape[1]] = picked
                 self._back(own, neighbours, batch, picked)
             done = batch[-1] + 1
-        return neighbours
+        return self._repair(own, neighbours)
+
+    @staticmethod
+    def _repair(own, neighbours):
+        """Every node is reached from the first and has a link to it: where not, the nearest reached node links to it."""
+        n = len(own)
+        reached = np.zeros(n, bool)
+        linked = np.bincount(neighbours[neighbours >= 0], minlength=n) > 0
+        taken = np.zeros(n, int)
+        extra = np.full((n, REPAIRS), -1, np.int64)
+
+        def walk(nodes):
+            while len(nodes):
+                reached[nodes] = True
+                nodes = np.unique(np.concatenate([neighbours[nodes].ravel(), extra[nodes].ravel()]))
+                nodes = nodes[nodes >= 0]
+                nodes = nodes[~reached[nodes]]
+
+        walk(np.zeros(1, int))
+        while n > 1:
+            lost = np.flatnonzero(~reached | ~linked)
+            if not len(lost):
+                break
+            hosts = np.flatnonzero(reached & (taken < REPAIRS))
+            found = []
+            for low in range(0, len(lost), 256):
+                part = lost[low : low + 256]
+                sims = own[part] @ own[hosts].T
+                sims[part[:, None] == hosts] = -np.inf
+                found.append(np.where(np.isfinite(sims).any(1), hosts[sims.argmax(1)], -1))
+            host = np.concatenate(found)
+            lost, host = lost[host >= 0], host[host >= 0]
+            order = np.argsort(host, kind="stable")
+            lost, host = lost[order], host[order]
+            starts = np.flatnonzero(np.append(True, host[1:] != host[:-1]))
+            slot = taken[host] + np.arange(len(host)) - np.repeat(starts, np.diff(np.append(starts, len(host))))
+            lost, host, slot = (x[slot < REPAIRS] for x in (lost, host, slot))
+            extra[host, slot] = lost
+            np.add.at(taken, host, 1)
+            linked[lost] = True
+            walk(lost[~reached[lost]])
+        return np.concatenate([neighbours, extra[:, : taken.max(initial=0)]], axis=1)
 
     @staticmethod
     def _back(own, neighbours, batch, picked):
@@ -171,17 +213,19 @@ class Graph:
         ids, sims = search_level(self.vectors[self.nodes[0]], self.neighbours[0], q, self._entries(0, q), beam)
         return np.where(ids >= 0, self.nodes[0][ids], -1), sims
 
-    def to_bytes(self) -> bytes:
+    def to_bytes(self, whole: bool = True) -> bytes:
+        """Without the vectors unless ``whole``: they are then given to ``from_bytes`` again."""
         out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, levels=len(self.nodes),
+        np.savez(out, levels=len(self.nodes), **({"vectors": self.vectors} if whole else {}),
                  **{f"nodes{i}": x.astype(np.int32) for i, x in enumerate(self.nodes)},
                  **{f"links{i}": x.astype(np.int32) for i, x in enumerate(self.neighbours)})
         return out.getvalue()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Graph:
+    def from_bytes(cls, data: bytes, vectors: np.ndarray | None = None) -> Graph:
         found, self = np.load(io.BytesIO(data)), cls.__new__(cls)
-        self.vectors, levels = found["vectors"], int(found["levels"])
+        levels = int(found["levels"])
+        self.vectors = found["vectors"] if vectors is None else np.ascontiguousarray(vectors, np.float32)
         self.nodes = [found[f"nodes{i}"].astype(np.int64) for i in range(levels)]
         self.neighbours = [found[f"links{i}"].astype(np.int64) for i in range(levels)]
         return self

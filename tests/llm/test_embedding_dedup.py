@@ -98,3 +98,92 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 2 for i in [*range(100, 161), 2]}, **{i: 7 for i in [7, *range(200, 240)]}, 5: 5, 3: 3, 4: 3}
     assert components(spark.createDataFrame([], "a long, b long")).where(F.lit(True)).collect() == []
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def sparse_and_hot(n, groups, hot, dim=24):
+    """Unit vectors in random order: ``n`` alone, ``groups`` of two and a hot group."""
+    rng = np.random.default_rng(3)
+    pairs = np.repeat(rng.normal(size=(groups, dim)), 2, axis=0)
+    close = np.repeat(rng.normal(size=(1, dim)), hot, axis=0)
+    both = np.concatenate([pairs, close])
+    x = np.concatenate([rng.normal(size=(n, dim)), both + 0.05 * rng.normal(size=both.shape)])
+    return unit(x[rng.permutation(len(x))])
+
+
+def true_links(x, y, least=0.9):
+    a, b = np.nonzero(x @ y.T >= least)
+    return set(zip(a.tolist(), b.tolist()))
+
+
+class Misses:
+    """A graph whose walks find nothing with beams below ``least``, or only members of the hot group."""
+
+    def __init__(self, vectors, least, hot=()):
+        self.vectors, self.least, self.hot = vectors.astype(np.float32), least, np.asarray(hot, int)
+
+    def search(self, queries, beam):
+        sims = queries.astype(np.float32) @ self.vectors.T
+        if beam < self.least:
+            hidden = np.setdiff1d(np.arange(len(self.vectors)), self.hot)
+            sims[:, hidden] = -1
+        ids = np.argsort(-sims, axis=1)[:, :beam]
+        sims = np.take_along_axis(sims, ids, 1)
+        return np.where(sims > -1, ids, -1), sims
+
+
+def shard_of(x, graph, at=0):
+    cids = np.arange(at, at + len(x))
+    return embedding_dedup.Shard(graph, cids, x, np.ones(len(x), int), cids.copy())
+
+
+@pytest.mark.parametrize("hot", [0, 300])
+def test_the_audit_sees_rare_links(hot):
+    """A beam that misses all groups of two is not taken for good, with no other links or with many."""
+    x = sparse_and_hot(1500, 12, hot)
+    truth = true_links(x, x) - {(i, i) for i in range(len(x))}
+    often = np.flatnonzero(np.bincount([a for a, _ in truth], minlength=len(x)) > 100)
+    shard = shard_of(x, Misses(x, 128, often))
+    a, b, _ = shard.links(shard.cids, x, 0.9)
+    assert set(zip(a.tolist(), b.tolist())) == truth and len(a) == len(truth)
+
+
+def test_a_link_counts_for_both_ends(monkeypatch):
+    monkeypatch.setattr(embedding_dedup.Shard, "_audited", lambda self, cids, queries, least: (
+        *((np.array([1, 2]), np.array([0, 3])) if self.cids[0] == 0 else (np.array([0, 4]), np.array([1, 5]))), False))
+    one, two = (shard_of(np.eye(6), None, at) for at in (0, 10))
+    got = embedding_dedup._cross(one, two, 0.9)
+    counts = {c: n for c, n in zip(got["cid"], got["n"]) if n}
+    assert counts == {0: 1, 3: 1, 4: 1, 11: 1, 12: 1, 15: 1}  # links 0-11 (found twice), 3-12 and 4-15
+    assert {(c, o) for c, n, o in zip(got["cid"], got["n"], got["other"]) if not n} == {(0, 11), (3, 12), (4, 15)}
+
+
+def test_every_node_is_reached():
+    x = sparse_and_hot(500, 200, 2500, 8)
+    graph = Graph(x)
+    for links, nodes in zip(graph.neighbours, graph.nodes):
+        assert len(np.unique(links[links >= 0])) == len(nodes)
+        reached, front = np.zeros(len(nodes), bool), np.zeros(1, int)
+        while len(front):
+            reached[front] = True
+            front = np.unique(links[front])
+            front = front[(front >= 0) & ~reached[front]]
+        assert reached.all()
+
+
+def test_links_of_real_graphs(monkeypatch):
+    """Sparse, skewed and between shards: all links of groups of two, and of the hot group nearly all."""
+    x = sparse_and_hot(4000, 300, 600)
+    half = len(x) // 2
+    for own, asked, at in ((x, x, 0), (x[:half], x[half:], half)):
+        shard = shard_of(own, Graph(own))
+        a, b, _ = shard.links(np.arange(at, at + len(asked)), asked, 0.9)
+        truth = {(i, j) for i, j in true_links(asked, own) if i + at != j}
+        got = set(zip(a.tolist(), b.tolist()))
+        assert got <= truth and len(got) >= 0.99 * len(truth)
+        sizes = np.bincount([i for i, _ in truth], minlength=len(asked))
+        rare = {p for p in truth if sizes[p[0]] <= 2}
+        assert len(rare & got) >= 0.99 * len(rare)
