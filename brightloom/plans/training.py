@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml import classification as cl
 from pyspark.ml import clustering as cu
 from pyspark.ml import evaluation as ev
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from brightloom.errors import StepError
 from brightloom.functions.columns import col, is_numeric, is_text, require
+from brightloom.operators.encoding import code_map
 from brightloom.operators.missing import forward_fill
 from brightloom.operators.missing import lags as lags_of
 from brightloom.plans import knowledge as kb
@@ -28,7 +29,6 @@ from brightloom.plans import knowledge as kb
 SEED = 42
 TRAIN_SHARE = 0.8
 KEPT_VARIANCE = 0.95
-TEXT_SLOTS = 256        # hashed flags that all text columns share
 MOST_CLASSES = 10_000   # values of a classification target; more is an error
 
 CATEGORY = {a[0]: a[1] for a in kb.ALGORITHMS}
@@ -102,34 +102,86 @@ class Trained:
     predictions: DataFrame
 
 
-def preparation(df: DataFrame, algorithm: str, skip: tuple[str, ...] = ()) -> Pipeline:
+class TextCodes(Estimator):
+    """Codes of text columns in text order, numbered in Spark on the rows of the fit; as flags, a sparse vector each.
+
+    A value that the fit has not seen, and NULL, gets the code -1 or no flag.
+    """
+
+    def __init__(self, texts: list[str], flags: bool):
+        super().__init__()
+        self.texts, self.flags = texts, flags
+
+    def _fit(self, df: DataFrame) -> Model:
+        maps = {c: code_map(df, c) for c in self.texts}
+        encoder = None
+        if self.flags:
+            # Its last category, for codes beyond the map, is dropped: such a value has no flag.
+            last = df.sparkSession.createDataFrame(
+                [tuple(float(max(m.rows, 1) - 1) for m in maps.values())],
+                ", ".join(f"`{_code(i)}` double" for i in range(len(maps))))
+            encoder = fe.OneHotEncoder(
+                inputCols=last.columns, outputCols=encoded(self.texts, True), handleInvalid="keep").fit(last)
+        return TextCodesModel(maps, encoder)
+
+
+class TextCodesModel(Model):
+    def __init__(self, maps: dict, encoder):
+        super().__init__()
+        self.maps, self.encoder = maps, encoder
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        for i, (c, codes) in enumerate(self.maps.items()):
+            missing = -1 if self.encoder is None else max(codes.rows, 1)
+            df = codes.apply(df, c, "_code")
+            df = df.withColumn(_code(i), F.coalesce("_code", F.lit(missing)).cast("double")).drop("_code")
+        return df if self.encoder is None else self.encoder.transform(df)
+
+
+def _code(i: int) -> str:
+    return f"text{i}__code"
+
+
+def encoded(texts: list[str], flags: bool) -> list[str]:
+    return [f"text{i}__flags" if flags else _code(i) for i in range(len(texts))]
+
+
+def preparation(df: DataFrame, algorithm: str, skip: tuple[str, ...] = (), text_slots: int | None = None) -> Pipeline:
     """Imputation, encoding, scaling and PCA stages of the algorithm's template.
 
-    The result column is ``features``. The values of all text columns are hashed, with their
-    column, to ``TEXT_SLOTS`` flags: nothing is fitted, so any number of values, seen in
-    training or not, is treated alike. Values may share a flag.
+    The result column is ``features``. Text columns are encoded as the template says, by codes of the training rows.
+    Flags are not scaled, so they stay sparse; codes are scaled like numbers. With ``text_slots`` the values of all text
+    columns are hashed, with their column, to so many flags instead: nothing is fitted, and values may share a flag.
     """
-    scaling, _, imputer, selection = TEMPLATE[algorithm]
+    scaling, encoding, imputer, selection = TEMPLATE[algorithm]
     numbers = [f.name for f in df.schema if is_numeric(f.dataType) and f.name not in skip]
     texts = [f.name for f in df.schema if is_text(f.dataType) and f.name not in skip]
-    stages, parts = [], list(numbers)
+    stages, parts, flags = [], list(numbers), []
     if numbers and imputer in ("median", "mean"):
         filled = [f"{c}__filled" for c in numbers]
         stages.append(fe.Imputer(strategy=imputer, inputCols=numbers, outputCols=filled))
         parts = filled
-    if texts:
+    if texts and text_slots is not None:
         stages.append(fe.FeatureHasher(
-            inputCols=texts, categoricalCols=texts, outputCol="texts__flags", numFeatures=TEXT_SLOTS))
-        parts = [*parts, "texts__flags"]
-    if not parts:
+            inputCols=texts, categoricalCols=texts, outputCol="texts__flags", numFeatures=text_slots))
+        flags = ["texts__flags"]
+    elif texts:
+        stages.append(TextCodes(texts, encoding == "onehot"))
+        if encoding == "onehot":
+            flags = encoded(texts, True)
+        else:
+            parts = [*parts, *encoded(texts, False)]
+    if not parts and not flags:
         raise StepError("train", "the table has no usable feature column")
-    result = "features" if scaling is None else "assembled"
-    stages.append(fe.VectorAssembler(inputCols=parts, outputCol=result, handleInvalid="keep"))
-    scaled = "features" if selection is None else "scaled"
-    if scaling == "standard":
-        stages.append(fe.StandardScaler(inputCol="assembled", outputCol=scaled, withMean=True))
-    elif scaling == "minmax":
-        stages.append(fe.MinMaxScaler(inputCol="assembled", outputCol=scaled))
+    result = "features" if selection is None else "scaled"
+    if scaling is not None and parts:
+        stages.append(fe.VectorAssembler(inputCols=parts, outputCol="assembled", handleInvalid="keep"))
+        if scaling == "standard":
+            stages.append(fe.StandardScaler(inputCol="assembled", outputCol="numbers__scaled", withMean=True))
+        else:
+            stages.append(fe.MinMaxScaler(inputCol="assembled", outputCol="numbers__scaled"))
+        parts = ["numbers__scaled"]
+    stages.append(fe.VectorAssembler(inputCols=[*parts, *flags], outputCol=result, handleInvalid="keep"))
     return Pipeline(stages=stages)
 
 
@@ -172,7 +224,7 @@ def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def train(df: DataFrame, algorithm: str, target: str | None = None, rounds: int = 100,
           trees: int = 100, order_by: list[str] | None = None, partition_by: list[str] | None = None,
-          censor: str | None = None, lags: int = 3) -> Trained:
+          censor: str | None = None, lags: int = 3, text_slots: int | None = None) -> Trained:
     """Prepare, split, fit and evaluate one algorithm; returns models, metrics, predictions."""
     if algorithm not in CATEGORY:
         raise StepError("train", f"unknown algorithm '{algorithm}'")
@@ -209,7 +261,7 @@ def train(df: DataFrame, algorithm: str, target: str | None = None, rounds: int
     ready = _typed(df, algorithm, skip)
     supervised = category not in ("clustering", "dimensionality_reduction")
     train_rows, test_rows = split(ready) if supervised else (ready, ready)
-    prep = preparation(ready, algorithm, tuple(skip)).fit(train_rows)
+    prep = preparation(ready, algorithm, tuple(skip), text_slots).fit(train_rows)
     train_set, test_set = prep.transform(train_rows), prep.transform(test_rows)
     if TEMPLATE[algorithm][3] == "pca":
         pca = fit_variance_pca(train_set)

@@ -213,3 +213,19 @@ def test_tuning(spark):
     ready = training.preparation(df.drop("label"), "logistic_regression").fit(df).transform(df)
     best = training.tune(ready, "logistic_regression", folds=2)
     assert len(best.avgMetrics) == 4 and max(best.avgMetrics) > 0.8
+
+
+def test_texts_are_encoded_as_the_template_says(spark):
+    rows = [(float(i), f"value {i:04d}", "ab"[i % 2]) for i in range(600)]
+    df = spark.createDataFrame(rows, "x double, many string, few string")
+    asked = spark.createDataFrame([(1.0, "value 0007", "b"), (1.0, "new", None)], df.schema)
+    flags = training.preparation(df, "ridge_regression").fit(df)
+    seen = [r["features"] for r in flags.transform(df).select("features").collect()]
+    assert {v.size for v in seen} == {603} and len({tuple(v.toArray()[1:601]) for v in seen}) == 600
+    known, unknown = [r["features"] for r in flags.transform(asked).orderBy(F.col("few").asc_nulls_last()).collect()]
+    assert known[1 + 7] == known[602] == 1 and known.toArray()[1:].sum() == 2 and unknown.toArray()[1:].sum() == 0
+    codes = training.preparation(df, "random_forest_classifier").fit(df)
+    assert sorted(r["features"][1] for r in codes.transform(df).collect()) == list(range(600))
+    assert sorted(list(r["features"])[1:] for r in codes.transform(asked).collect()) == [[-1, -1], [7, 1]]
+    hashed = training.preparation(df, "ridge_regression", text_slots=64).fit(df).transform(df).first()["features"]
+    assert hashed.size == 65
