@@ -3,7 +3,7 @@
 Texts are compressed in pieces of ``PIECE`` bytes, so that a dictionary counts in long texts as in short ones. The score
 rises with the size against the bad dictionary less the size against the good one, divided by the text's plain
 compressed size; a logistic fit on labelled texts that the dictionaries have not seen makes it a probability.
-The fit looks at no more than ``most`` labelled rows and ``PIECES_EACH`` pieces of each; every text is scored whole.
+The fit looks at no more than ``most`` labelled rows, at all pieces of each unless ``pieces_each`` bounds them; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from brightloom.llm.labelled import fold, logistic, probability, training_rows
 ship_by_value(labelled.__name__)
 ship_by_value(__name__)
 
-PIECE, PIECES_EACH, DICTIONARY, LEVEL = 2048, 4, 1 << 16, 3
+PIECE, DICTIONARY, LEVEL = 2048, 1 << 16, 3
 MOST_LABELLED = 6000
 SCORES = "doc_id bigint, score double"
 
@@ -31,6 +31,13 @@ def pieces(text: str) -> list[bytes]:
     return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
 
 
+def spread(found: list[bytes], most: int | None) -> list[bytes]:
+    """All pieces, or ``most`` of them at even distances, the first and the last included (the last alone for one)."""
+    if most is None or len(found) <= most:
+        return found
+    return [found[i] for i in np.linspace(len(found) - 1, 0, most).round().astype(int)[::-1]]
+
+
 class Sizes:
     """Compressed sizes of a text against the good and the bad dictionary, and plain."""
 
@@ -67,7 +74,8 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return np.column_stack([10 * d, 10 * d * ratio, 4 * ratio, 4 * ratio * ratio])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=None, most: int = MOST_LABELLED):
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=None, most: int = MOST_LABELLED,
+        pieces_each: int | None = None):
     """(good dictionary, bad dictionary, weights), learned from one half of the labelled sample and calibrated on the other."""
     rows = training_rows(docs, labels, label, F.lit(True) if allowed is None else allowed, most)
 
@@ -75,9 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=None
         for batch in batches:
             out = []
             for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist()):
-                own = pieces(text)
-                step = max(1, len(own) // PIECES_EACH)
-                out += [(p, y) for p in own[::step][:PIECES_EACH]]
+                out += [(p, y) for p in spread(pieces(text), pieces_each)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.binary()), pa.array([y for _, y in out], pa.int32())], ["piece", "y"])
 
@@ -109,14 +115,15 @@ def score(docs: DataFrame, model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCORES)
 
 
-def classify(docs: DataFrame, labels: DataFrame, parts: int = 3, kept_out: int = 1, most: int = MOST_LABELLED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, parts: int = 3, kept_out: int = 1, most: int = MOST_LABELLED,
+             pieces_each: int | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted. Labels are learned only from the folds not kept out.
 
     Empty texts get the score of no difference; a NULL doc_id is never held out nor learned from; equal texts get equal
     scores; other columns, language and source among them, are not read. Without labels of both kinds every text gets the
     smoothed rate of the label.
     """
-    model = fit(docs, labels, allowed=fold(parts) != kept_out, most=most)
+    model = fit(docs, labels, allowed=fold(parts) != kept_out, most=most, pieces_each=pieces_each)
     return score(docs, model).select(
         "doc_id", F.coalesce(fold(parts) == kept_out, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),

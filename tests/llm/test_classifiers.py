@@ -115,3 +115,17 @@ def test_logistic_without_both_classes():
     w = labelled.logistic(np.zeros((4, 1)), np.ones(4))
     assert 0.5 < labelled.probability(w, np.zeros((1, 1)))[0] < 1
     assert labelled.logistic(np.zeros((0, 2)), np.zeros(0)).shape == (3,)
+
+
+def test_dictionaries_see_the_ends_of_long_texts(spark, monkeypatch):
+    rows = [(i, "the lake was calm " * (quality_zstd.PIECE // 18 * n) + "the end", i % 2) for i, n in enumerate([1, 5, 6, 7, 11, 12] * 8)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_zstd, "_dictionary", lambda samples: seen.append(samples) or b"".join(samples)[: quality_zstd.DICTIONARY])
+    learned = [r[1] for r in quality_zstd.training_rows(docs, labels, "quality", labels["doc_id"] >= 0, 100).where("half = 0").select("doc_id", "text").collect()]
+    for bound in (None, 4):
+        seen.clear()
+        quality_zstd.fit(docs, labels, **({} if bound is None else {"pieces_each": bound}))
+        assert sum(p.endswith(b"the end") for p in sum(seen, [])) == len(learned)
+    assert quality_zstd.spread(list(range(11)), 4) == [0, 3, 7, 10] and quality_zstd.spread([1, 2, 3], 1) == [3]
