@@ -7,6 +7,7 @@ with no counterpart at all is refused by name.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -29,7 +30,6 @@ from brightloom.plans import knowledge as kb
 SEED = 42
 TRAIN_SHARE = 0.8
 KEPT_VARIANCE = 0.95
-MOST_CLASSES = 10_000   # values of a classification target; more is an error
 
 CATEGORY = {a[0]: a[1] for a in kb.ALGORITHMS}
 TEMPLATE = {t[0]: t[1:] for t in kb.TEMPLATES}
@@ -224,7 +224,8 @@ def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def train(df: DataFrame, algorithm: str, target: str | None = None, rounds: int = 100,
           trees: int = 100, order_by: list[str] | None = None, partition_by: list[str] | None = None,
-          censor: str | None = None, lags: int = 3, text_slots: int | None = None) -> Trained:
+          censor: str | None = None, lags: int = 3, text_slots: int | None = None,
+          most_classes: int | None = None) -> Trained:
     """Prepare, split, fit and evaluate one algorithm; returns models, metrics, predictions."""
     if algorithm not in CATEGORY:
         raise StepError("train", f"unknown algorithm '{algorithm}'")
@@ -241,14 +242,13 @@ def train(df: DataFrame, algorithm: str, target: str | None = None, rounds: int
 
     skip, label = [], None
     if category == "classification":
-        label = fe.StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
-                                 handleInvalid="error")
         text = df.withColumn(target, col(target).cast("string"))
-        some = text.select(col(target)).distinct().limit(MOST_CLASSES + 1).count()
-        if some > MOST_CLASSES:
-            raise StepError("train", f"'{target}' has more than {MOST_CLASSES} classes")
-        label = label.fit(text)
-        df, skip = label.transform(text), [target, "label"]
+        label = code_map(text, target)
+        if most_classes is not None and label.rows > most_classes:
+            raise StepError("train", f"'{target}' has more than {most_classes} classes")
+        known = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": label.rows}}
+        df = label.apply(text, target, "_code").withColumn("label", F.col("_code").cast("double")).drop("_code")
+        df, skip = df.withMetadata("label", known), [target, "label"]
     elif target is not None and category != "clustering":
         df, skip = df.withColumn("label", col(target).cast("double")), [target, "label"]
     if category == "survival_analysis":
@@ -268,7 +268,7 @@ def train(df: DataFrame, algorithm: str, target: str | None = None, rounds: int
         prep = PipelineModel([*prep.stages, pca])
         train_set, test_set = pca.transform(train_set), pca.transform(test_set)
     width = len(train_set.select("features").first()[0])
-    classes = len(label.labels) if label is not None else 0
+    classes = label.rows if label is not None else 0
     estimator = _model(algorithm, width, classes, rounds, trees)
     model = estimator.fit(train_set)
     predictions = model.transform(test_set)
@@ -292,10 +292,14 @@ def _metrics(category: str, model, predictions: DataFrame, algorithm: str) -> Da
         total = sum(r["n"] for r in counts)
         right = sum(r["n"] for r in counts if r["label"] == r["prediction"])
         rows.append(("accuracy", None, right / total if total else 0.0))
-        for value in sorted({r["label"] for r in counts}):
-            hit = sum(r["n"] for r in counts if r["label"] == value == r["prediction"])
-            said = sum(r["n"] for r in counts if r["prediction"] == value)
-            true = sum(r["n"] for r in counts if r["label"] == value)
+        hits, said_of, true_of = Counter(), Counter(), Counter()
+        for r in counts:
+            said_of[r["prediction"]] += r["n"]
+            true_of[r["label"]] += r["n"]
+            if r["label"] == r["prediction"]:
+                hits[r["label"]] += r["n"]
+        for value in sorted(true_of):
+            hit, said, true = hits[value], said_of[value], true_of[value]
             precision, recall = hit / said if said else 0.0, hit / true
             f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
             name = str(int(value))

@@ -229,3 +229,19 @@ def test_texts_are_encoded_as_the_template_says(spark):
     assert sorted(list(r["features"])[1:] for r in codes.transform(asked).collect()) == [[-1, -1], [7, 1]]
     hashed = training.preparation(df, "ridge_regression", text_slots=64).fit(df).transform(df).first()["features"]
     assert hashed.size == 65
+
+
+def test_any_number_of_classes(spark):
+    df = spark.range(20_010).select((F.col("id") % 10_005).cast("string").alias("y"), F.rand(1).alias("x"), F.col("id").alias("i"))
+    with pytest.raises(StepError, match="more than 10000"):
+        training.train(df, "naive_bayes", "y", most_classes=10_000)
+    trained = training.train(df, "naive_bayes", "y")
+    place = {y: i for i, y in enumerate(sorted(str(i) for i in range(10_005)))}
+    found = trained.predictions.select("y", "label").distinct().collect()
+    assert len(found) > 1000 and all(place[r["y"]] == r["label"] for r in found)
+
+
+def test_labels_keep_their_text_order(spark):
+    df = spark.createDataFrame([("cab"[i % 3], float(i % 3), float(i)) for i in range(90)], "y string, x double, i double")
+    found = training.train(df, "decision_tree_classifier", "y").predictions.select("y", "label", "prediction").distinct().collect()
+    assert sorted((r["y"], r["label"], r["prediction"]) for r in found) == [("a", 0, 0), ("b", 1, 1), ("c", 2, 2)]
