@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import shared_folder
-from brightloom.llm import bpe, decontaminate, embedding_dedup, fixity, ngram_join, quality_zstd, repeats, shards, token_files, toxicity
+from brightloom.llm import bpe, decontaminate, embedding_dedup, fixity, ngram_join, prefix_trie, quality_zstd, repeats, shards, token_files, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -126,3 +126,54 @@ FROM laid WHERE page_id % 101 = 7 OR page_id % 211 = 3
 @query
 def op10_small_world_dedup(spark, folder):
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op11_bitmap_trie(spark, folder):
+    turns, convs = prefix_trie.swapped_openings(prefix_trie.keyed_turns(table(spark, folder, "conversations")))
+    return prefix_trie.with_end_digests(*prefix_trie.trie(turns, convs)).drop("p", "q")
+
+
+ORACLES["op11_bitmap_trie"] = r"""
+WITH crc_table AS (
+  SELECT i, (WITH RECURSIVE s(k, v) AS (SELECT 0, i::BIGINT UNION ALL
+    SELECT k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM s WHERE k < 8) SELECT v FROM s WHERE k = 8) AS v
+  FROM range(256) t(i)
+), crc_list AS (SELECT list(v ORDER BY i) AS l FROM crc_table
+), t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+      lambda a, b: xor(a // 256, l[xor(a % 256, b) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), crc_list
+), parts AS (
+  SELECT c.conv_id, 0 AS part, t.pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= h
+  UNION ALL SELECT c.conv_id, 1, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > h
+), r AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM parts
+), m AS (
+  SELECT conv_id, depth, strlen(text) AS bytes, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix FROM r
+  UNION ALL SELECT conv_id, 0, 0, [] FROM c
+), len AS (SELECT conv_id, max(depth) AS n FROM m GROUP BY ALL
+), nodes AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    string_agg(CASE WHEN n = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends
+  FROM m JOIN len USING (conv_id) GROUP BY depth, prefix
+), member AS (
+  SELECT m.conv_id AS member, m.depth, nodes.conv_id FROM m JOIN nodes USING (depth, prefix)
+), linked AS (
+  SELECT nodes.*, up.conv_id AS parent_conv_id FROM nodes LEFT JOIN member up ON up.member = nodes.conv_id AND up.depth = nodes.depth - 1
+), kids AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL
+), full_nodes AS (
+  SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN kids USING (conv_id, depth)
+), sums AS (
+  SELECT a.conv_id, a.depth, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.bytes) AS saved_tokens
+  FROM full_nodes u JOIN member a ON a.member = u.conv_id AND a.depth <= u.depth GROUP BY ALL
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM full_nodes JOIN sums USING (conv_id, depth)
+"""
