@@ -202,7 +202,7 @@ def shard_nodes(turns: DataFrame, convs: DataFrame, strip: int = STRIP) -> tuple
     convs = with_row_index(convs.select("conv_id", "n_turns"), [F.col("conv_id")], "_i")
     convs = materialise(convs.select("conv_id", "n_turns", (F.col("_i") / SHARD).cast("int").alias("shard"), (F.col("_i") % SHARD).cast("int").alias("bit")), "shards")
     place = F.floor((F.col("pos") - 1) / strip).alias("strip")
-    turns = turns.join(convs, "conv_id").select(
+    turns = turns.select("conv_id", "pos", "h", "g", "bytes").join(convs, "conv_id").select(
         "conv_id", "n_turns", "shard", place, "bit", "pos", "h", "g", F.xxhash64("pos", "h", "g").alias("p"), F.xxhash64("g", "pos", "h").alias("q"), "bytes")
     turns = materialise(turns, "turns")
     long_ones = turns.where(F.col("n_turns") > strip)

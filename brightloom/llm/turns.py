@@ -17,19 +17,24 @@ def plain_turns(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def turn_order() -> list[Column]:
-    """The order of a conversation: turn (NULL first), then role, the text's first characters and its md5."""
-    return [F.col("turn").asc_nulls_first(), F.col("role"), F.left("text", F.lit(HEAD)), F.md5("text")]
+def order_columns() -> list[Column]:
+    """What puts a conversation's turns in order: turn (NULL first), role, the text's first characters, its md5."""
+    return [F.col("turn").alias("_turn"), F.col("role").alias("_role"), F.left("text", F.lit(HEAD)).alias("_head"), F.unhex(F.md5("text")).alias("_md5")]
+
+
+def in_order() -> list[Column]:
+    return [F.col("_turn").asc_nulls_first(), F.col("_role"), F.col("_head"), F.col("_md5")]
 
 
 def positions(turns: DataFrame, *kept: str | Column) -> DataFrame:
     """conv_id, the ``kept`` columns of ``plain_turns``, pos (from 1) and n_turns of the conversation.
 
     One range sort over all rows; equal rows are spread by their place in the input, so that neither a conversation nor a
-    repeated row has to fit into a task. Only ``kept`` is written.
+    repeated row has to fit into a task. Texts are shuffled and written only if ``kept`` has them.
     """
-    ordered = turns.withColumn("_at", F.monotonically_increasing_id()).orderBy("conv_id", *turn_order(), "_at")
-    rows = with_row_index(ordered.select("conv_id", *kept), [], "_row")
+    keyed = turns.select("conv_id", *order_columns(), *kept, F.monotonically_increasing_id().alias("_at"))
+    ordered = keyed.orderBy("conv_id", *in_order(), "_at").drop("_turn", "_role", "_head", "_md5", "_at")
+    rows = with_row_index(ordered, [], "_row")
     own = rows.groupBy("conv_id").agg(F.min("_row").alias("_first"), F.count("*").alias("n_turns"))
     return rows.join(own, "conv_id").withColumn("pos", F.col("_row") - F.col("_first") + 1).drop("_row", "_first")
 
