@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import shared_folder
-from brightloom.llm import bpe, decontaminate, embedding_dedup, fixity, ngram_join, prefix_trie, quality_zstd, repeats, shards, token_files, toxicity
+from brightloom.llm import bpe, chat_format, decontaminate, embedding_dedup, fixity, ngram_join, prefix_trie, quality_zstd, repeats, shards, token_files, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -177,3 +179,13 @@ WITH crc_table AS (
 SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
 FROM full_nodes JOIN sums USING (conv_id, depth)
 """
+
+
+@query
+def op12_budgeted_windows(spark, folder):
+    """With a conversation whose texts consist of control strings."""
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    ranks = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
+    return chat_format.digests(given, ranks, public_tokenizers.PATTERN)
