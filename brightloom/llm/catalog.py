@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import shared_folder
-from brightloom.llm import bpe, chat_format, decontaminate, embedding_dedup, fixity, ngram_join, prefix_trie, quality_zstd, repeats, shards, token_files, toxicity
+from brightloom.llm import bpe, chat_format, decontaminate, embedding_dedup, fixity, hard_negatives, ngram_join, prefix_trie, quality_zstd, repeats, shards, token_files, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -189,3 +189,31 @@ def op12_budgeted_windows(spark, folder):
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     ranks = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
     return chat_format.digests(given, ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op13_one_bit_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_one_bit_negatives"] = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, o.vec_id, o.label, list_inner_product(a.v, o.v)::BIGINT AS score
+  FROM e a, e o WHERE a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE label <> anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
