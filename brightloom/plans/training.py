@@ -7,7 +7,6 @@ with no counterpart at all is refused by name.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -22,6 +21,13 @@ from pyspark.sql import functions as F
 
 from brightloom.errors import StepError
 from brightloom.functions.columns import col, is_numeric, is_text, require
+from brightloom.functions.runtime import materialise
+from brightloom.models import target_codes
+from brightloom.models.agglomerate import JoinedClusters
+from brightloom.models.fourier import KernelMachine
+from brightloom.models.neighbours import Neighbours
+from brightloom.models.range_finder import RangePCA
+from brightloom.models.survival import CoxHazards
 from brightloom.operators.encoding import code_map
 from brightloom.operators.missing import forward_fill
 from brightloom.operators.missing import lags as lags_of
@@ -36,10 +42,9 @@ TEMPLATE = {t[0]: t[1:] for t in kb.TEMPLATES}
 
 STAND_INS = {
     "xgboost_classifier": "gradient-boosted trees", "lightgbm_classifier": "gradient-boosted trees",
-    "catboost_classifier": "gradient-boosted trees", "xgboost_regressor": "gradient-boosted trees",
-    "lightgbm_regressor": "gradient-boosted trees", "catboost_regressor": "gradient-boosted trees",
-    "svm_classifier": "linear support vectors", "hierarchical_clustering": "bisecting k-means",
-    "xgboost_timeseries": "gradient-boosted trees on lags", "cox_ph": "accelerated failure time",
+    "catboost_classifier": "gradient-boosted trees on ordered target codes", "xgboost_regressor": "gradient-boosted trees",
+    "lightgbm_regressor": "gradient-boosted trees", "catboost_regressor": "gradient-boosted trees on ordered target codes",
+    "xgboost_timeseries": "gradient-boosted trees on lags",
 }
 
 
@@ -56,7 +61,8 @@ def _model(algorithm: str, width: int, classes: int, rounds: int, trees: int):
         "lightgbm_classifier": lambda: boosted_c if binary else _one_vs_rest(boosted_c),
         "catboost_classifier": lambda: boosted_c if binary else _one_vs_rest(boosted_c),
         "gradient_boosting_classifier": lambda: boosted_c if binary else _one_vs_rest(boosted_c),
-        "svm_classifier": lambda: cl.LinearSVC() if binary else _one_vs_rest(cl.LinearSVC()),
+        "svm_classifier": lambda: KernelMachine(),
+        "knn_classifier": lambda: Neighbours(k=5),
         "naive_bayes": lambda: cl.NaiveBayes(modelType="gaussian"),
         "mlp_classifier": lambda: cl.MultilayerPerceptronClassifier(
             layers=[width, 100, max(classes, 2)], maxIter=500, seed=SEED),
@@ -72,10 +78,10 @@ def _model(algorithm: str, width: int, classes: int, rounds: int, trees: int):
         "gradient_boosting_regressor": lambda: boosted_r,
         "xgboost_timeseries": lambda: boosted_r,
         "kmeans": lambda: cu.KMeans(k=3, seed=SEED),
-        "hierarchical_clustering": lambda: cu.BisectingKMeans(k=3, seed=SEED),
+        "hierarchical_clustering": lambda: JoinedClusters(k=3),
         "gaussian_mixture": lambda: cu.GaussianMixture(k=3, seed=SEED),
-        "pca": lambda: fe.PCA(k=min(2, width), inputCol="features", outputCol="components"),
-        "cox_ph": lambda: rg.AFTSurvivalRegression(censorCol="censor"),
+        "pca": lambda: RangePCA(k=min(2, width), inputCol="features", outputCol="components"),
+        "cox_ph": lambda: CoxHazards(),
     }
     if algorithm not in makers:
         raise StepError("train", f"'{algorithm}' has no Spark counterpart")
@@ -88,7 +94,7 @@ def _one_vs_rest(base):
 
 TRAINABLE = tuple(
     a[0] for a in kb.ALGORITHMS
-    if a[0] not in ("extra_trees_classifier", "knn_classifier", "adaboost_classifier", "svr", "dbscan",
+    if a[0] not in ("extra_trees_classifier", "adaboost_classifier", "svr", "dbscan",
                     "umap", "tsne", "arima", "prophet", "lstm", "random_survival_forest")
 )
 
@@ -185,16 +191,34 @@ def preparation(df: DataFrame, algorithm: str, skip: tuple[str, ...] = (), text_
     return Pipeline(stages=stages)
 
 
-def fit_variance_pca(prepared: DataFrame, share: float = KEPT_VARIANCE):
-    """PCA on ``scaled`` that keeps the fewest components with the given variance share."""
-    width = len(prepared.select("scaled").first()[0])
-    full = fe.PCA(k=width, inputCol="scaled", outputCol="features").fit(prepared)
-    total, k = 0.0, 0
-    for part in full.explainedVariance:
-        total, k = total + part, k + 1
-        if total >= share:
-            break
-    return fe.PCA(k=max(k, 1), inputCol="scaled", outputCol="features").fit(prepared)
+class TargetCodesModel(Model):
+    """Text columns replaced by what the target was for them on the training rows; one code a column, or one a class."""
+
+    def __init__(self, texts: list[str], goals: list[tuple[str, object]], codes: list):
+        super().__init__()
+        self.texts, self.goals, self.codes = texts, goals, codes
+
+    @staticmethod
+    def fitted(rows: DataFrame, texts: list[str], classes: int) -> TargetCodesModel:
+        """``classes`` of the column label, 0 for a number."""
+        label = F.col("label")
+        goals = [(f"__{k}", (label == k).cast("double")) for k in range(classes)] if classes > 2 else [("", label)]
+        return TargetCodesModel(texts, goals, [target_codes.fit(rows.withColumn("_goal", g), texts, "_goal") for _, g in goals])
+
+    def _named(self, df: DataFrame, suffix: str) -> DataFrame:
+        return df.withColumnsRenamed({f"{c}__target": f"{c}__target{suffix}" for c in self.texts})
+
+    def training(self, df: DataFrame) -> DataFrame:
+        """The training rows, each coded by the rows before it."""
+        keys = df.columns
+        for (suffix, goal), codes in zip(self.goals, self.codes):
+            df = self._named(target_codes.ordered(df.withColumn("_goal", goal), self.texts, "_goal", keys, codes), suffix).drop("_goal")
+        return df.drop(*self.texts)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        for (suffix, _), codes in zip(self.goals, self.codes):
+            df = self._named(codes.transform(df), suffix)
+        return df.drop(*self.texts)
 
 
 def _typed(df: DataFrame, algorithm: str, skip) -> DataFrame:
@@ -261,14 +285,20 @@ def train(df: DataFrame, algorithm: str, target: str | None = None, rounds: int
     ready = _typed(df, algorithm, skip)
     supervised = category not in ("clustering", "dimensionality_reduction")
     train_rows, test_rows = split(ready) if supervised else (ready, ready)
-    prep = preparation(ready, algorithm, tuple(skip), text_slots).fit(train_rows)
+    classes = label.rows if label is not None else 0
+    texts = [f.name for f in ready.schema if is_text(f.dataType) and f.name not in skip]
+    coded = None
+    if algorithm.startswith("catboost") and texts and text_slots is None:
+        coded = TargetCodesModel.fitted(train_rows, texts, classes)
+        train_rows, test_rows = coded.training(train_rows), coded.transform(test_rows)
+    prep = preparation(train_rows, algorithm, tuple(skip), text_slots).fit(train_rows)
     train_set, test_set = prep.transform(train_rows), prep.transform(test_rows)
     if TEMPLATE[algorithm][3] == "pca":
-        pca = fit_variance_pca(train_set)
+        pca = RangePCA(share=KEPT_VARIANCE).fit(train_set)
         prep = PipelineModel([*prep.stages, pca])
         train_set, test_set = pca.transform(train_set), pca.transform(test_set)
+    prep = PipelineModel([coded, *prep.stages]) if coded else prep
     width = len(train_set.select("features").first()[0])
-    classes = label.rows if label is not None else 0
     estimator = _model(algorithm, width, classes, rounds, trees)
     model = estimator.fit(train_set)
     predictions = model.transform(test_set)
@@ -288,24 +318,11 @@ def _metrics(category: str, model, predictions: DataFrame, algorithm: str) -> Da
     spark = predictions.sparkSession
     rows: list[tuple[str, str | None, float]] = []
     if category == "classification":
-        counts = predictions.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")).collect()
-        total = sum(r["n"] for r in counts)
-        right = sum(r["n"] for r in counts if r["label"] == r["prediction"])
-        rows.append(("accuracy", None, right / total if total else 0.0))
-        hits, said_of, true_of = Counter(), Counter(), Counter()
-        for r in counts:
-            said_of[r["prediction"]] += r["n"]
-            true_of[r["label"]] += r["n"]
-            if r["label"] == r["prediction"]:
-                hits[r["label"]] += r["n"]
-        for value in sorted(true_of):
-            hit, said, true = hits[value], said_of[value], true_of[value]
-            precision, recall = hit / said if said else 0.0, hit / true
-            f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-            name = str(int(value))
-            rows += [("precision", name, precision), ("recall", name, recall), ("f1", name, f1),
-                     ("support", name, float(true))]
-    elif category in ("regression", "time_series", "survival_analysis"):
+        return _class_metrics(predictions, algorithm)
+    elif category == "survival_analysis":
+        rows.append(("log_likelihood", None, model.logLikelihood))
+        rows += [("coefficient", str(i), float(b)) for i, b in enumerate(model.coefficients)]
+    elif category in ("regression", "time_series"):
         for name in ("r2", "rmse"):
             evaluator = ev.RegressionEvaluator(metricName=name)
             rows.append((name, None, evaluator.evaluate(predictions)))
@@ -321,6 +338,22 @@ def _metrics(category: str, model, predictions: DataFrame, algorithm: str) -> Da
     return spark.createDataFrame(rows, "algorithm string, metric string, class string, value double")
 
 
+def _class_metrics(predictions: DataFrame, algorithm: str) -> DataFrame:
+    """Accuracy, and precision, recall, f1 and support of each class, however many there are."""
+    hit = (F.col("label") == F.col("prediction")).cast("long")
+    true = predictions.groupBy("label").agg(F.count("*").alias("support"), F.coalesce(F.sum(hit), F.lit(0)).alias("hits"))
+    said = predictions.groupBy(F.col("prediction").alias("label")).agg(F.count("*").alias("said"))
+    each = materialise(true.join(said, "label", "left"), "classes")
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    precision, recall = share(F.col("hits"), F.coalesce("said", F.lit(0))), share(F.col("hits"), F.col("support"))
+    f1 = share(2 * precision * recall, precision + recall)
+    kinds = {"precision": precision, "recall": recall, "f1": f1, "support": F.col("support").cast("double")}
+    found = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in kinds.items()]))
+    rows = each.select(F.col("label").cast("long").cast("string").alias("class"), found.alias("m")).select("m.metric", "class", "m.value")
+    total = each.agg(F.lit("accuracy").alias("metric"), F.lit(None).cast("string").alias("class"), share(F.sum("hits"), F.sum("support")).alias("value"))
+    return total.unionByName(rows).select(F.lit(algorithm).alias("algorithm"), "metric", "class", "value")
+
+
 # Grid names and the Spark parameters they set.
 PARAMETERS = {
     "C": ("regParam", lambda v: 1.0 / v), "alpha": ("regParam", lambda v: v),
@@ -328,7 +361,7 @@ PARAMETERS = {
     "depth": ("maxDepth", lambda v: v), "min_samples_split": ("minInstancesPerNode", lambda v: max(1, v // 2)),
     "n_estimators": (None, lambda v: v), "iterations": ("maxIter", lambda v: v),
     "learning_rate": ("stepSize", lambda v: v),
-    "num_leaves": ("maxDepth", lambda v: int(math.log2(v + 1))),
+    "num_leaves": ("maxDepth", lambda v: int(math.log2(v + 1))), "n_neighbors": ("k", lambda v: v),
 }
 
 
@@ -337,6 +370,8 @@ def parameter_grid(algorithm: str, estimator) -> list[dict]:
     builder = ParamGridBuilder()
     for name, values in kb.GRIDS.get(algorithm, {}).items():
         target, convert = PARAMETERS.get(name, (None, None))
+        if estimator.hasParam(name):
+            target, convert = name, lambda v: v
         if name == "n_estimators":
             target = "numTrees" if estimator.hasParam("numTrees") else "maxIter"
         if target and estimator.hasParam(target):

@@ -777,3 +777,54 @@ FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS m FROM lineitem GRO
 sql("audit_append", """SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS session_id,
   CAST(event_id AS INTEGER) AS step_number,
   CASE WHEN event_id % 4 = 0 THEN 'false' ELSE 'true' END AS is_active FROM events""")
+
+
+# -- models
+sql("train_neighbours", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, md5(vec_id::VARCHAR)[1] < '3' AS held FROM embeddings),
+d AS (SELECT q.vec_id, q.label, t.label AS said, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.label) AS k
+  FROM e q, e t WHERE q.held AND NOT t.held),
+votes AS (SELECT vec_id, label, said, count(*) AS n FROM d WHERE k <= 5 GROUP BY ALL)
+SELECT vec_id, label, said AS prediction FROM votes QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, said) = 1""")
+sql("train_hazards", """WITH RECURSIVE d AS (
+  SELECT n_chars AS t, (lang = 'en')::INT::DOUBLE AS x, (doc_id % 3 <> 0)::INT AS e FROM documents WHERE n_chars IS NOT NULL
+), g AS (
+  SELECT t, x, count(*) AS n, sum(e) AS m FROM d GROUP BY ALL
+), ties AS (
+  SELECT t, sum(m) AS m, sum(m * x) AS mx FROM g GROUP BY t
+), cells AS (
+  SELECT t, m, mx, l FROM ties, unnest(range(m::BIGINT)) u(l) WHERE m > 0
+), risk AS (
+  SELECT t, sum(n0) OVER w AS n0, sum(n1) OVER w AS n1, m0, m1 FROM (
+    SELECT t, sum(n) FILTER (x = 0) AS n0, sum(n) FILTER (x = 1) AS n1, coalesce(sum(m) FILTER (x = 0), 0) AS m0, coalesce(sum(m) FILTER (x = 1), 0) AS m1
+    FROM g GROUP BY t) WINDOW w AS (ORDER BY t DESC)
+), terms AS (
+  SELECT l / m AS f, coalesce(n0, 0) - l / m * m0 AS a, coalesce(n1, 0) - l / m * m1 AS b FROM cells JOIN risk USING (t)
+), tot AS (SELECT sum(mx) AS mx FROM ties
+), newton(i, beta) AS (
+  SELECT 0, 0.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, beta + (any_value(mx) - sum(b * exp(beta) / (a + b * exp(beta))))
+    / sum(b * exp(beta) / (a + b * exp(beta)) * (1 - b * exp(beta) / (a + b * exp(beta))))
+  FROM newton, terms, tot WHERE i < 15 GROUP BY i, beta
+)
+SELECT round(beta, 6) AS coefficient, round((SELECT beta * (mx - (SELECT sum(x * n) / sum(n) FROM g) * (SELECT sum(m) FROM g)) FROM tot)
+  - (SELECT sum(ln(a * exp(-beta * c) + b * exp(beta * (1 - c)))) FROM terms, (SELECT sum(x * n) / sum(n) AS c FROM g)), 3) AS log_likelihood
+FROM newton WHERE i = 15""")
+ORDERED = """SELECT doc_id, (coalesce(sum(n_chars) OVER w, 0) + prior) / (count(n_chars) OVER w + 1) AS code FROM placed, p
+  WINDOW w AS (PARTITION BY coalesce({c}, '-') ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+sql("encode_ordered_target", f"""WITH p AS (SELECT avg(n_chars)::DOUBLE AS prior FROM documents),
+placed AS (SELECT *, ('0x' || md5('42|' || doc_id)[1:15])::BIGINT AS place FROM documents),
+a AS ({ORDERED.format(c='lang')}), b AS ({ORDERED.format(c='source')})
+SELECT doc_id, round(a.code + 1e-9, 6) AS lang__target, round(b.code + 1e-9, 6) AS source__target FROM a JOIN b USING (doc_id)""")
+sql("encode_target_of_new_rows", """WITH d AS (SELECT *, md5(doc_id::VARCHAR)[1] < '3' AS held FROM documents),
+p AS (SELECT avg(n_chars)::DOUBLE AS prior FROM d WHERE NOT held),
+a AS (SELECT lang, (sum(n_chars) + any_value(prior)) / (count(*) + 1) AS code FROM d, p WHERE NOT held GROUP BY lang),
+b AS (SELECT source, (sum(n_chars) + any_value(prior)) / (count(*) + 1) AS code FROM d, p WHERE NOT held GROUP BY source)
+SELECT doc_id, round(coalesce(a.code, prior) + 1e-9, 6) AS lang__target, round(coalesce(b.code, prior) + 1e-9, 6) AS source__target
+FROM d JOIN p ON held LEFT JOIN a USING (lang) LEFT JOIN b USING (source)""")
+sql("components_of_lengths", """WITH d AS (
+  SELECT coalesce(length(text), 0)::DOUBLE AS a, coalesce(length(regexp_replace(text, '[^ ]', '', 'g')), 0)::DOUBLE AS b FROM documents),
+c AS (SELECT var_samp(a) AS p, covar_samp(a, b) AS q, var_samp(b) AS r FROM d),
+l AS (SELECT *, (p + r) / 2 + s * sqrt(((p - r) / 2) ** 2 + q * q) AS v, place FROM c, (VALUES (0, 1), (1, -1)) t(place, s)),
+u AS (SELECT *, sqrt(q * q + (v - p) ** 2) AS size, CASE WHEN abs(q) >= abs(v - p) THEN sign(q) ELSE sign(v - p) END AS way FROM l)
+SELECT place, round(way * q / size, 6) AS chars, round(way * (v - p) / size, 6) AS spaces, round(v / (p + r), 6) AS share FROM u""")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from brightloom.errors import EmptyDataset
 from brightloom.functions.columns import col
 from brightloom.functions.runtime import shared_folder
 from brightloom.functions.values import broadcast_if_small
+from brightloom.models import agglomerate, neighbours, range_finder, survival, target_codes
 from brightloom.operators import (
     audit_log, charts, columns, correlation, duplicates, encoding, missing, outliers, profile,
     quality, scaling,
@@ -1107,3 +1108,77 @@ def train_tuned(spark, folder):
     best = training.tune(ready, "ridge_regression", folds=2)
     rows = [(i, float(list(p.values())[0]), float(m)) for i, (p, m) in enumerate(zip(best.getEstimatorParamMaps(), best.avgMetrics))]
     return spark.createDataFrame(rows, "place int, parameter double, rmse double")
+
+
+def _held_out(name):
+    """About a fifth of the rows, by the first digit of a hash of their id."""
+    return F.substring(F.md5(col(name).cast("string")), 1, 1) < "3"
+
+
+@query
+def train_neighbours(spark, folder):
+    """The label of held-out embeddings by their nearest neighbours among the others."""
+    rows = table(spark, folder, "embeddings").select("vec_id", col("embedding").cast("array<double>").alias("features"), "label")
+    model = neighbours.Neighbours(k=5, window=256).fit(rows.where(~_held_out("vec_id")))
+    return model.transform(rows.where(_held_out("vec_id"))).select("vec_id", "label", col("prediction").cast("int").alias("prediction"))
+
+
+@query
+def train_hazards(spark, folder):
+    """How the language changes the risk that a document ends, by length; a rule says whose end was seen."""
+    docs = table(spark, folder, "documents").where("n_chars is not null").select(
+        F.array((col("lang") == "en").cast("double")).alias("features"), col("n_chars").alias("label"), (col("doc_id") % 3 != 0).cast("double").alias("censor"))
+    model = survival.CoxHazards().fit(docs)
+    return spark.createDataFrame([(round(float(model.coefficients[0]), 6), round(model.logLikelihood, 3))], "coefficient double, log_likelihood double")
+
+
+def _six_digits(*names):
+    """Rounded a little above the half, as halves are common among means of whole numbers."""
+    return [F.round(col(c) + 1e-9, 6).alias(c) for c in names]
+
+
+@query
+def encode_ordered_target(spark, folder):
+    """Language and source of a document coded by the lengths of the documents before it."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
+    coded = target_codes.ordered(docs, ["lang", "source"], "n_chars", ["doc_id"])
+    return coded.select("doc_id", *_six_digits("lang__target", "source__target"))
+
+
+@query
+def encode_target_of_new_rows(spark, folder):
+    """The codes of held-out documents, by all others."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
+    codes = target_codes.fit(docs.where(~_held_out("doc_id")), ["lang", "source"], "n_chars")
+    return codes.transform(docs.where(_held_out("doc_id"))).select("doc_id", *_six_digits("lang__target", "source__target"))
+
+
+@query
+def train_kernel(spark, folder):
+    """A radial support vector machine on the labelled documents."""
+    return training.train(_labelled_texts(spark, folder), "svm_classifier", "quality").metrics
+
+
+@query
+def train_joined_clusters(spark, folder):
+    """Sizes of the clusters of the embeddings, by joining."""
+    rows = table(spark, folder, "embeddings").select(col("embedding").cast("array<double>").alias("features"))
+    return agglomerate.JoinedClusters(k=3).fit(rows).transform(rows).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
+@query
+def components_of_embeddings(spark, folder):
+    """The fewest principal components that hold 95 % of the variance of the embeddings, with their shares."""
+    rows = table(spark, folder, "embeddings").select(array_to_vector(col("embedding").cast("array<double>")).alias("f"))
+    _, shares = range_finder.find(rows, share=0.95)
+    return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(shares)], "place int, share double")
+
+
+@query
+def components_of_lengths(spark, folder):
+    """Both components of characters and spaces of the documents, with the variance share of each."""
+    docs = table(spark, folder, "documents").select(
+        F.coalesce(F.char_length("text"), F.lit(0)).cast("double").alias("a"), F.coalesce(F.char_length(F.regexp_replace("text", "[^ ]", "")), F.lit(0)).cast("double").alias("b"))
+    found, shares = range_finder.find(docs.select(array_to_vector(F.array("a", "b")).alias("f")), share=1.0)
+    rows = [(i, round(float(found[0, i]), 6), round(float(found[1, i]), 6), round(float(shares[i]), 6)) for i in range(len(shares))]
+    return spark.createDataFrame(rows, "place int, chars double, spaces double, share double")
