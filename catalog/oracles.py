@@ -828,3 +828,32 @@ c AS (SELECT var_samp(a) AS p, covar_samp(a, b) AS q, var_samp(b) AS r FROM d),
 l AS (SELECT *, (p + r) / 2 + s * sqrt(((p - r) / 2) ** 2 + q * q) AS v, place FROM c, (VALUES (0, 1), (1, -1)) t(place, s)),
 u AS (SELECT *, sqrt(q * q + (v - p) ** 2) AS size, CASE WHEN abs(q) >= abs(v - p) THEN sign(q) ELSE sign(v - p) END AS way FROM l)
 SELECT place, round(way * q / size, 6) AS chars, round(way * (v - p) / size, 6) AS spaces, round(v / (p + r), 6) AS share FROM u""")
+
+
+# -- all given tables at once: bigint b, int i, double d, text s, time t, list l
+GIVEN = {
+    name: [(c, {"b": "bigint", "i": "int", "d": "double", "s": "string", "t": "timestamp_ntz", "l": "list"}[kind]) for c, kind in (f.split(":") for f in fields.split())]
+    for name, fields in {
+        "region": "r_regionkey:i r_name:s",
+        "nation": "n_nationkey:i n_name:s n_regionkey:i",
+        "customer": "c_custkey:b c_name:s c_nationkey:i c_acctbal:d c_mktsegment:s",
+        "supplier": "s_suppkey:b s_name:s s_nationkey:i s_acctbal:d",
+        "part": "p_partkey:b p_name:s p_brand:s p_type:s p_size:i p_retailprice:d",
+        "orders": "o_orderkey:b o_custkey:b o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s",
+        "lineitem": "l_orderkey:b l_partkey:b l_suppkey:b l_linenumber:i l_quantity:d l_extendedprice:d l_discount:d l_tax:d "
+                    "l_returnflag:s l_linestatus:s l_shipdate:t",
+        "events": "event_id:b ts:t user_id:b event_type:s value:d props:s",
+        "documents": "doc_id:b text:s lang:s source:s n_chars:b",
+        "embeddings": "vec_id:b embedding:l label:i",
+        "pages": "page_id:b url:s html:s",
+        "benchmark": "item_id:b text:s",
+        "labels": "doc_id:b quality:i toxic:i",
+        "conversations": "conv_id:b turn:b role:s text:s",
+    }.items()
+}
+sql("profiles_of_all_tables", "SELECT * EXCLUDE (goal, target_column, class_balance, problem_type) FROM (" + union(
+    one_profile(name, name, columns, None, "clustering", False) for name, columns in GIVEN.items()) + ")")
+sql("quartiles_of_all_tables", union(
+    f"SELECT '{name}' AS table_name, '{c}' AS column_name, " + ", ".join(
+        f"round(quantile_cont({c}::DOUBLE, {p}), 6) AS q{i + 1}" for i, p in enumerate((0.25, 0.5, 0.75))) + f" FROM {name}"
+    for name, columns in GIVEN.items() for c, t in columns if t in NUMBERS))

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.errors import EmptyDataset
-from brightloom.functions.columns import col
+from brightloom.functions.columns import col, numeric_columns
 from brightloom.functions.runtime import shared_folder
 from brightloom.functions.values import broadcast_if_small
 from brightloom.models import agglomerate, neighbours, range_finder, survival, target_codes
 from brightloom.operators import (
-    audit_log, charts, columns, correlation, duplicates, encoding, missing, outliers, profile,
+    audit_log, charts, columns, correlation, duplicates, encoding, many_profiles, missing, outliers, profile,
     quality, scaling,
 )
 from brightloom.plans import job, knowledge, recommend, training
@@ -853,6 +853,27 @@ def profile_rows(spark, folder):
     return flat_profiles(profiles(spark, folder)).drop("feature_description")
 
 
+GIVEN = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+         "conversations").split()
+
+
+@query
+def profiles_of_all_tables(spark, folder):
+    """Every given table profiled at once."""
+    rows = profile.profile_many([{"table": table(spark, folder, t), "session_id": t} for t in GIVEN])
+    return flat_profiles(rows.drop("feature_description", "target_column", "class_balance", "problem_type"))
+
+
+@query
+def quartiles_of_all_tables(spark, folder):
+    """Exact quartiles of every number of every given table, closed in by brackets together."""
+    tables = [table(spark, folder, t) for t in GIVEN]
+    counted = many_profiles.counts(tables, profile.parse_date)
+    found = many_profiles.quantiles(tables, [numeric_columns(df) for df in tables], [n for _, n, _ in counted], (0.25, 0.5, 0.75), 20_000, 5_000)
+    rows = [(GIVEN[t], tables[t].columns[c], *(round(v, 6) for v in own)) for (t, c), own in found.items()]
+    return spark.createDataFrame(rows, "table_name string, column_name string, q1 double, q2 double, q3 double")
+
+
 @query
 def profile_description(spark, folder):
     return profiles(spark, folder).select("session_id", "feature_description")

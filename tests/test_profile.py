@@ -131,3 +131,33 @@ def test_dates_after_many_gaps(spark):
         F.when(F.col("id") > 700, "2026-01-01").alias("late"), F.when(F.col("id") > 700, "x").alias("text"),
         F.lit(None).cast("string").alias("never"))
     assert TableStats(df).datetime == ["late"]
+
+
+def test_many_profiles_equal_single_ones(spark):
+    from brightloom.operators import many_profiles
+
+    tables = []
+    for i in range(20):
+        df = spark.range(30 + 17 * i).select(
+            F.when(F.col("id") % 9 != 0, F.col("id") * F.col("id") % (7 + i)).alias("whole"), (F.col("id") / 3).alias("part"),
+            F.concat(F.lit("2024-01-0"), F.col("id") % 9 + 1).alias("day"),
+            F.concat(F.lit("x" * 40), F.col("id") % (i + 2)).alias("text"), F.lit(None).cast("string").alias("empty"), F.array("id").alias("list"))
+        tables.append(df)
+    requests = [{"table": df, "session_id": str(i), "target": [None, "whole", "text", "part"][i % 4]} for i, df in enumerate(tables)]
+    many = profile.profile_many(requests).collect()
+    for request, row in zip(requests[:8], many):
+        assert row == profile.profile_row(**request).first()
+    numbers = [["whole", "part"]] * 20
+    present = [n for _, n, _ in many_profiles.counts(tables, profile.parse_date)]
+    plain = many_profiles.quantiles(tables, numbers, present, (0.1, 0.5, 0.99))
+    assert many_profiles.quantiles(tables, numbers, present, (0.1, 0.5, 0.99), sample=50, read_out=40) == plain
+    frame = tables[19].toPandas()
+    assert plain[19, 0] == pytest.approx(frame["whole"].dropna().quantile([0.1, 0.5, 0.99]).tolist())
+
+
+def test_grouped_quantiles_of_hot_values(spark):
+    from brightloom.operators import many_profiles
+
+    df = spark.range(5000).select(F.when(F.col("id") < 4000, 7.0).otherwise(F.col("id").cast("double")).alias("v"))
+    found = many_profiles.quantiles([df], [["v"]], [{"v": 5000}], (0.0, 0.5, 0.79, 0.9, 1.0), sample=60, read_out=30)
+    assert found[0, 0] == pytest.approx([7, 7, 7, 4499.1, 4999])
