@@ -111,12 +111,9 @@ def quantiles(tables: Sequence[DataFrame], columns: Sequence[Sequence[str]], pre
         full = {(key, *bracket[key, rank]): size[key, rank] for key, rank in still}
         if sum(full.values()) > read_out:
             narrow = _narrowed(spark, cells, still, keys, bracket, size, before, sample)
-        merged = {key: _merged([narrow[key, rank] for k, rank in still if k == key]) for key in keys}
-        for (key, rank), outcome in _read(spark, cells, still, merged, narrow, read_out).items():
-            if outcome[0] == "value":
-                wanted[key, rank] = outcome[1]
-            else:
-                bracket[key, rank], before[key, rank], size[key, rank] = outcome[1:]
+        for target, (value, low, high, below, inside) in _read(spark, cells, still, narrow, read_out).items():
+            wanted[target] = value
+            bracket[target], before[target], size[target] = (low, high), below, inside
     else:
         raise RuntimeError("the quantile brackets did not close")
     return {key: [wanted[key, a] + (wanted[key, b] - wanted[key, a]) * part for a, b, part in own] for key, own in asked.items()}
@@ -144,10 +141,13 @@ def _narrowed(spark, cells, still, keys, bracket, size, before, sample):
     for key in keys:
         own = [t for t in still if t[0] == key]
         spans = _merged([bracket[t] for t in own])
-        rows.append((*key, [a for a, _ in spans], [b for _, b in spans], min(1.0, each / max(1, sum({bracket[t]: size[t] for t in own}.values())))))
-    spans = _small(spark, rows, "t int, c int, lows array<double>, highs array<double>, share double")
-    inside = F.exists(F.arrays_zip("lows", "highs"), lambda s: (F.col("v") >= s["lows"]) & (F.col("v") <= s["highs"]))
-    drawn = cells.join(spans, ["t", "c"]).where(inside & (F.rand(17) < F.col("share"))).select("t", "c", "v").toArrow().to_pandas()
+        sizes = {bracket[t]: size[t] for t in own}
+        shares = [min(1.0, each / max(1, sum(n for (low, high), n in sizes.items() if a <= low and high <= b))) for a, b in spans]
+        rows.append((*key, [a for a, _ in spans], [b for _, b in spans], shares))
+    spans = _small(spark, rows, "t int, c int, lows array<double>, highs array<double>, shares array<double>")
+    inside = F.exists(
+        F.arrays_zip("lows", "highs", "shares"), lambda s: (F.col("v") >= s["lows"]) & (F.col("v") <= s["highs"]) & (F.col("_draw") < s["shares"]))
+    drawn = cells.withColumn("_draw", F.rand(17)).join(spans, ["t", "c"]).where(inside).select("t", "c", "v").toArrow().to_pandas()
     samples = {key: np.sort(part["v"].to_numpy()) for key, part in drawn.groupby(["t", "c"])}
     out = {}
     for target in still:
@@ -161,48 +161,62 @@ def _narrowed(spark, cells, still, keys, bracket, size, before, sample):
             first, last = math.floor(share * len(found) - margin), math.ceil(share * len(found) + margin)
             low = float(found[first]) if first >= 0 else low
             high = float(found[last]) if last < len(found) else high
+            if (low, high) == bracket[target]:   # too few to tell: halve it at the likeliest value
+                low = high = float(found[min(len(found) - 1, int(share * len(found)))])
         out[target] = (low, high)
     return out
 
 
-def _read(spark, cells, still, merged, narrow, read_out):
-    """One pass: values and counts inside the brackets, counts between them; what becomes of each wanted rank.
+def _read(spark, cells, still, narrow, read_out):
+    """One pass: how many values lie at and between the ends of the proposed brackets, and, if those are few, which.
 
-    A bracket's values are counted at the driver's side only if all brackets together hold few; its ends are always counted
-    on their own, so that a hot value at an end closes the rank.
+    For each rank (value, low, high, below, inside): its value, or the bounds between which it lies, with the number of
+    values below and between them. A value at an end is counted on its own, so a hot value closes its ranks.
     """
-    rows = [(*key, [a for a, _ in spans], [b for _, b in spans]) for key, spans in merged.items()]
-    spans = _small(spark, rows, "t int, c int, lows array<double>, highs array<double>")
+    ends = {}
+    for key, rank in still:
+        ends.setdefault(key, set()).update(e for e in narrow[key, rank] if math.isfinite(e))
+    ends = {key: sorted(own) for key, own in ends.items()}
+    rows = []
+    for key, own in ends.items():
+        lows = np.array([-math.inf] + [x for e in own for x in (e, e)])   # region 2i + 1 is the i-th end, 2i what lies below it
+        highs = np.array([x for e in own for x in (e, e)] + [math.inf])
+        covered = [r for r in range(2 * len(own) + 1) if any(a <= lows[r] and highs[r] <= b for a, b in (narrow[t] for t in still if t[0] == key))]
+        rows.append((*key, own, covered))
+    known = _small(spark, rows, "t int, c int, ends array<double>, covered array<int>")
     v = F.col("v")
-    below = F.size(F.filter("highs", lambda h: h < v))            # brackets wholly below the value
-    inside = F.try_element_at("lows", below + 1) <= v
-    region = (2 * below + F.when(inside, 1).otherwise(0)).alias("r")
-    placed = cells.join(spans, ["t", "c"]).select("t", "c", region, F.when(inside, v).alias("v"))
-    each = placed.groupBy("t", "c", "r", "v").agg(F.count("*").alias("n"))
-    sums = each.groupBy("t", "c", "r").agg(F.sum("n").alias("n"), F.count("v").alias("d"))
-    sizes = {(r["t"], r["c"], r["r"]): (r["n"], r["d"]) for r in sums.collect()}
-    few = sum(d for _, d in sizes.values()) <= max(read_out, FEW * sum(map(len, merged.values())))
+    placed = cells.join(known, ["t", "c"]).withColumn("r", 2 * F.size(F.filter("ends", lambda e: e < v)) + F.array_contains("ends", v).cast("int"))
+    shown = F.when(F.array_contains("covered", F.col("r")) & (F.col("r") % 2 == 0), v).alias("v")
+    each = placed.select("t", "c", "r", shown).groupBy("t", "c", "r", "v").agg(F.count("*").alias("n"))
+    sums = each.groupBy("t", "c", "r").agg(F.sum("n").alias("n"), F.count("v").alias("d")).collect()
+    sizes: dict[Key, list] = {}
+    for row in sums:
+        sizes.setdefault((row["t"], row["c"]), []).append((row["r"], row["n"], row["d"]))
+    met = {}
+    for key, rank in still:
+        below = 0
+        for r, n, d in sorted(sizes[key]):
+            if rank < below + n:
+                met[key, rank] = (r, below, n, d)
+                break
+            below += n
+    inner = {(key, r): d for (key, _), (r, _, _, d) in met.items() if r % 2 == 0 and d}
     values = {}
-    if few:
-        found = each.where("v is not null").toArrow().to_pandas().sort_values(["t", "c", "r", "v"])
-        values = {key: (part["v"].to_numpy(), part["n"].to_numpy()) for key, part in found.groupby(["t", "c", "r"])}
+    if inner and sum(inner.values()) <= max(read_out, FEW * len(inner)):
+        asked = _small(spark, [(*key, r) for key, r in inner], "t int, c int, r int")
+        found = each.where("v is not null").join(asked, ["t", "c", "r"]).toArrow().to_pandas().sort_values("v")
+        values = {(key[:2], key[2]): (part["v"].to_numpy(), np.cumsum(part["n"].to_numpy())) for key, part in found.groupby(["t", "c", "r"])}
     out = {}
-    for key, rank in still:
-        regions = {r: sizes[t, c, r][0] for t, c, r in sizes if (t, c) == key}
-        low, high = narrow[key, rank]
-        number = 2 * next(i for i, (a, b) in enumerate(merged[key]) if a <= low and high <= b) + 1
-        start = sum(n for r, n in regions.items() if r < number)
-        inner = regions.get(number, 0)
-        span = merged[key][number // 2]
-        if rank < start:
-            out[key, rank] = ("again", (-math.inf, span[0]), 0, start)
-        elif rank >= start + inner:
-            out[key, rank] = ("again", (span[1], math.inf), start + inner, sum(regions.values()) - start - inner)
-        elif few:
-            own, n = values[(*key, number)]
-            out[key, rank] = ("value", float(own[np.searchsorted(np.cumsum(n), rank - start, side="right")]))
-        else:
-            out[key, rank] = ("again", span, start, inner)
+    for (key, rank), (r, below, n, _) in met.items():
+        own, value = ends[key], None
+        if r % 2:
+            value = own[r // 2]
+        elif (key, r) in values:
+            shown, upto = values[key, r]
+            value = float(shown[np.searchsorted(upto, rank - below, side="right")])
+        low = float(np.nextafter(own[r // 2 - 1], math.inf)) if r > 1 else -math.inf
+        high = float(np.nextafter(own[r // 2], -math.inf)) if r < 2 * len(own) else math.inf
+        out[key, rank] = (value, low, high, below, n)
     return out
 
 
