@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +15,7 @@ from brightloom.functions.columns import (
     INTEGRAL, col, dtype_of, head, is_numeric, is_text, replace_columns, require,
     sample_of, side_by_side,
 )
-from brightloom.functions.values import most_frequent
+from brightloom.functions.values import broadcast_if_small, most_frequent, with_row_index
 from brightloom.operators.profile import as_stats
 
 STRATEGIES = ("mean", "median", "mode", "constant", "drop")
@@ -27,7 +25,6 @@ TRUE_WORDS = ("true", "1", "yes", "t", "y")
 FALSE_WORDS = ("false", "0", "no", "f", "n")
 
 ROWS_PER_STRETCH = 2_000_000
-MOST_STRETCHES = 8_000
 
 
 def recommend(table) -> DataFrame:
@@ -125,6 +122,8 @@ def preview(df: DataFrame, column: str, strategy: str, constant=None,
     gaps = df.where(col(column).isNull())
     value = fill_value(df, column, strategy, constant)
     few = head(gaps, n, order_by)
+    if not order_by:     # any rows will do, but the same ones before and after
+        few = df.sparkSession.createDataFrame(few.collect(), df.schema)
     after = fill(few, column, value) if strategy != "drop" else few.limit(0)
     return side_by_side(
         df.sparkSession,
@@ -138,29 +137,26 @@ def forward_fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
                  partition_by: Sequence[str] = (), rows_per_stretch: int = ROWS_PER_STRETCH) -> DataFrame:
     """Carry the last known value forward along ``order_by`` within each ``partition_by`` group.
 
-    Each stretch (see ``in_stretches``) is filled on its own; what it inherits is the
-    last value of the stretches before it, a table of one row per (group, stretch).
+    Each stretch (see ``in_stretches``) is filled on its own. What it inherits is the last value of its group in the
+    stretches before it; only one group of a stretch goes on into the next, so that is one row per stretch.
     """
     require(df, columns)
     placed = in_stretches(df, order_by, partition_by, rows_per_stretch)
-    order = [col(c).asc_nulls_last() for c in order_by]
     last = lambda c: F.last(c, ignorenulls=True)
-    local = W.partitionBy("_group", "_stretch").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = W.partitionBy("_group", "_stretch").orderBy("_index").rowsBetween(W.unboundedPreceding, 0)
     near = placed.select(
         "*", *[last(col(c)).over(local).alias(f"_near{i}") for i, c in enumerate(columns)]
     )
-    place = F.struct(*[col(c) for c in order_by])
-    ends = placed.groupBy("_group", "_stretch").agg(*[
-        F.max_by(col(c), F.when(col(c).isNotNull(), place)).alias(f"_end{i}")
+    ends = _going_on(placed, rows_per_stretch).groupBy("_group", "_stretch").agg(*[
+        F.max_by(col(c), F.when(col(c).isNotNull(), F.col("_index"))).alias(f"_end{i}")
         for i, c in enumerate(columns)
     ])
-    # One row per (group, stretch): a group has at most MOST_STRETCHES rows here.
-    before = W.partitionBy("_group").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    so_far = W.partitionBy("_group").orderBy("_stretch").rowsBetween(W.unboundedPreceding, 0)
     far = ends.select(
-        "_group", "_stretch",
-        *[last(f"_end{i}").over(before).alias(f"_far{i}") for i in range(len(columns))],
+        "_group", (F.col("_stretch") + 1).alias("_stretch"),
+        *[last(f"_end{i}").over(so_far).alias(f"_far{i}") for i in range(len(columns))],
     )
-    filled = near.join(far, ["_group", "_stretch"])
+    filled = near.join(broadcast_if_small(far), ["_group", "_stretch"], "left")
     number = {c: i for i, c in enumerate(columns)}
     return filled.select(*[
         F.coalesce(F.col(f"_near{number[c]}"), F.col(f"_far{number[c]}")).alias(c)
@@ -172,77 +168,57 @@ def lags(df: DataFrame, column: str, count: int, order_by: Sequence[str],
          partition_by: Sequence[str] = (), rows_per_stretch: int = ROWS_PER_STRETCH) -> DataFrame:
     """Columns lag_1 ... lag_count: earlier values of ``column`` in the same group.
 
-    Rows are numbered per group (position in the stretch plus the rows of the stretches
-    before), then each row hands its value to the next ``count`` numbers. Only groups
-    of at most count + 1 rows meet in one place.
+    Rows look back inside their stretch; the first ``count`` rows of a stretch are helped out by the last ``count`` values
+    of their group before it, one short list per stretch.
     """
     require(df, [column])
     placed = in_stretches(df, order_by, partition_by, rows_per_stretch)
-    order = [col(c).asc_nulls_last() for c in order_by]
-    local = W.partitionBy("_group", "_stretch").orderBy(*order)
-    sizes = placed.groupBy("_group", "_stretch").agg(F.count(F.lit(1)).alias("_size"))
-    before = W.partitionBy("_group").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(
-        "_group", "_stretch", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
-    )
-    numbered = placed.withColumn("_nth", F.row_number().over(local)).join(
-        starts, ["_group", "_stretch"]
-    ).withColumn("_nth", F.col("_nth") + F.col("_start"))
-    row = F.struct(*[col(c) for c in df.columns])
-    handed = numbered.select(
-        "_group", "_nth", row.alias("_row"), col(column).alias("_value"),
-        F.explode(F.sequence(F.lit(0), F.lit(count))).alias("_back"),
-    )
-    own = F.col("_back") == 0
-    met = handed.groupBy("_group", (F.col("_nth") + F.col("_back")).alias("_nth")).agg(
-        F.max(F.when(own, F.lit(True))).alias("_real"), F.first(F.when(own, F.col("_row")), True).alias("_row"),
-        *[F.first(F.when(F.col("_back") == i, F.col("_value")), True).alias(f"lag_{i}")
-          for i in range(1, count + 1)],
-    )
-    return met.where("_real").select("_row.*", *[f"lag_{i}" for i in range(1, count + 1)])
+    local = W.partitionBy("_group", "_stretch").orderBy("_index")
+    back = range(1, count + 1)
+    near = placed.select(
+        "*", F.row_number().over(local).alias("_nth"), *[F.lag(col(column), i).over(local).alias(f"_lag_{i}") for i in back])
+    # The group that goes on fills the stretch to its end, so its last values stand at the stretch's last places.
+    tail = _going_on(placed, rows_per_stretch).where(F.col("_index") % rows_per_stretch >= rows_per_stretch - count)
+    tails = tail.groupBy("_group", "_stretch").agg(
+        F.sort_array(F.collect_list(F.struct("_index", col(column).alias("v")))).alias("_tail"))
+    # Each of the count stretches before holds at least one value of the group.
+    few = W.partitionBy("_group").orderBy("_stretch").rowsBetween(-count, 0)
+    tails = tails.select(
+        "_group", (F.col("_stretch") + 1).alias("_stretch"),
+        F.reverse(F.flatten(F.collect_list("_tail").over(few))).alias("_tail"))
+    met = near.join(broadcast_if_small(tails), ["_group", "_stretch"], "left")
+    return met.select(*[col(c) for c in df.columns], *[
+        F.when(F.col("_nth") > i, F.col(f"_lag_{i}")).otherwise(F.try_element_at("_tail", F.lit(i) - F.col("_nth") + 1)["v"]).alias(f"lag_{i}")
+        for i in back
+    ])
+
+
+def _going_on(placed: DataFrame, rows_per_stretch: int) -> DataFrame:
+    """The rows of the group that holds the last place of a full stretch; at most one group a stretch."""
+    last = placed.where(F.col("_index") % rows_per_stretch == rows_per_stretch - 1).select("_group", "_stretch")
+    return placed.join(broadcast_if_small(last), ["_group", "_stretch"], "left_semi")
 
 
 def in_stretches(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
                  rows_per_stretch: int = ROWS_PER_STRETCH) -> DataFrame:
-    """Add ``_group`` (the partition columns as one value) and ``_stretch``.
+    """Add ``_group`` (the partition columns as one value), ``_index`` and ``_stretch``.
 
-    The first order column (number, date or timestamp) is cut into stretches of about
-    ``rows_per_stretch`` rows of the whole table. So a group with a third of all rows is
-    spread over many tasks, and all rows of a (group, stretch) follow each other.
+    All rows are put in the order of group and order columns by one range sort and numbered; each ``rows_per_stretch`` of
+    them are a stretch. So neither a group nor a value of the order columns with a third of all rows is bound to one
+    task. NULL comes last; rows tied in all order columns follow a hash of the whole row.
     """
     require(df, [*order_by, *partition_by])
     if not order_by:
         raise StepError("order", "order_by is required")
-    axis, dtype = col(order_by[0]), dtype_of(df, order_by[0])
-    if isinstance(dtype, T.DateType):
-        position = F.unix_date(axis).cast("double")
-    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        position = F.unix_micros(axis.cast("timestamp")).cast("double")
-    elif is_numeric(dtype):
-        position = axis.cast("double")
-    else:
-        raise StepError("order", f"column '{order_by[0]}' is neither a number nor a time")
-    # A struct compares NULL with NULL as equal, so windows and joins on it agree.
-    group = F.struct(*[col(c) for c in partition_by]) if partition_by else F.lit(0)
-    placed = df.withColumn("_group", group).withColumn("_at", position)
-    cuts = _cuts(placed, rows_per_stretch)
-    if not cuts:
-        return placed.withColumn("_stretch", F.lit(0)).drop("_at")
-    return Bucketizer(
-        splits=[-math.inf, *cuts, math.inf], inputCol="_at", outputCol="_stretch",
-        handleInvalid="keep",       # rows without a position come last
-    ).transform(placed).withColumn("_stretch", F.col("_stretch").cast("int")).drop("_at")
-
-
-def _cuts(placed: DataFrame, rows_per_stretch: int) -> list[float]:
-    """Inner stretch borders of about equal row counts, at most MOST_STRETCHES of them."""
-    rows = placed.agg(F.count("_at")).first()[0]
-    stretches = min(MOST_STRETCHES, rows // max(1, rows_per_stretch))
-    if stretches < 2:
-        return []
-    share = [i / stretches for i in range(1, stretches)]
-    found = placed.agg(F.percentile_approx("_at", share, 4 * stretches)).first()[0]
-    return sorted(set(found))
+    hashable = [col(f.name) for f in df.schema if not _has_map(f.dataType)]
+    placed = df.withColumn("_group", F.struct(*[col(c) for c in partition_by]) if partition_by else F.lit(0))
+    order = [*[col(c).asc_nulls_last() for c in [*partition_by, *order_by]], F.xxhash64(*hashable), F.monotonically_increasing_id()]
+    indexed = with_row_index(placed, order, "_index")
+    return indexed.withColumn("_stretch", F.floor(F.col("_index") / F.lit(max(1, rows_per_stretch))))
+
+
+def _has_map(dtype: T.DataType) -> bool:
+    return "map<" in dtype.simpleString()
 
 
 def kpis(table) -> DataFrame:

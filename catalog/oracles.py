@@ -233,6 +233,13 @@ sql("lag_features", f"""WITH {EVENTS}
 SELECT event_id, user_id, value, lag(value, 1) OVER w AS lag_1, lag(value, 2) OVER w AS lag_2
 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 
+sql("forward_fill_ties", f"""WITH {EVENTS}
+SELECT event_id, last_value(value IGNORE NULLS) OVER w AS value, last_value(event_type IGNORE NULLS) OVER w AS event_type
+FROM ev WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+sql("lag_features_ties", f"""WITH {EVENTS}
+SELECT event_id, value, lag(value, 1) OVER w AS lag_1, lag(value, 2) OVER w AS lag_2, lag(value, 3) OVER w AS lag_3
+FROM ev WINDOW w AS (ORDER BY event_id)""")
+
 # -- duplicates
 DUP_COUNT = """SELECT CAST(sum(k) AS BIGINT) AS total_rows, CAST(sum(k - 1) AS BIGINT) AS duplicate_rows,
        round(sum(k - 1) * 100::DOUBLE / sum(k), 2) AS duplicate_percent

@@ -352,6 +352,20 @@ def lag_features(spark, folder):
     return missing.lags(df, "value", 2, ["ts", "event_id"], ["user_id"], rows_per_stretch=1000).drop("ts")
 
 
+@query
+def forward_fill_ties(spark, folder):
+    """One group whose first order column has a single value: stretches are cut by the whole order."""
+    df = events(spark, folder).withColumn("day", F.lit(1))
+    filled = missing.forward_fill(df, ["value", "event_type"], ["day", "event_id"], rows_per_stretch=500)
+    return filled.select("event_id", "value", "event_type")
+
+
+@query
+def lag_features_ties(spark, folder):
+    df = events(spark, folder).select("event_id", F.lit(1).alias("day"), "value")
+    return missing.lags(df, "value", 3, ["day", "event_id"], rows_per_stretch=500).drop("day")
+
+
 # -- outliers ------------------------------------------------------------------
 @query
 def outliers_iqr(spark, folder):

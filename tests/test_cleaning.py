@@ -301,3 +301,18 @@ def test_lags_with_a_hot_group(spark, rows_per_stretch):
     for i in (1, 2, 3):
         expected = frame.groupby("k")["v"].shift(i)
         pd.testing.assert_series_equal(got[f"lag_{i}"].astype(float), expected, check_names=False)
+
+
+@pytest.mark.parametrize("rows_per_stretch", [1, 2, 7, 100])
+def test_stretches_cut_ties(spark, rows_per_stretch):
+    rows = [(1, "ab"[i % 2 and i > 30], i, float(i) if i % 3 == 0 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "day long, k string, i long, v double").repartition(4)
+    placed = missing.in_stretches(df, ["day", "i"], ["k"], rows_per_stretch)
+    assert placed.groupBy("_stretch").count().agg(F.max("count")).first()[0] <= rows_per_stretch
+    frame = pd.DataFrame(rows, columns=["day", "k", "i", "v"]).sort_values(["k", "i"])
+    filled = missing.forward_fill(df, ["v"], ["day", "i"], ["k"], rows_per_stretch).orderBy("k", "i").toPandas()
+    want = frame.groupby("k")["v"].ffill()
+    assert filled["v"].fillna(-1).tolist() == want.fillna(-1).tolist()
+    got = missing.lags(df, "v", 3, ["day", "i"], ["k"], rows_per_stretch).orderBy("k", "i").toPandas()
+    for n in (1, 2, 3):
+        assert got[f"lag_{n}"].fillna(-1).tolist() == frame.groupby("k")["v"].shift(n).fillna(-1).tolist()
