@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightloom.errors import StepError
+from brightloom.functions.json_text import object_with
+from brightloom.functions.values import broadcast_if_small
 from brightloom.operators import missing, outliers, quality
 from brightloom.operators.profile import as_stats
 from brightloom.plans import knowledge as kb
@@ -46,7 +48,7 @@ def candidates(profiles: DataFrame, algorithms: DataFrame | None = None) -> Data
     every = F.array(*[F.lit(c) for c in kb.CATEGORIES])
     allowed = F.when(known, F.array("problem_type")).otherwise(every)
     facts = profiles.select(*PROFILE_FACTS, F.explode(allowed).alias("_category"))
-    joined = facts.join(F.broadcast(algorithms), F.col("_category") == F.col("category"))
+    joined = facts.join(broadcast_if_small(algorithms), F.col("_category") == F.col("category"))
     fits = (F.col("min_samples") <= F.col("row_count")) & (
         F.col("max_features").isNull() | (F.col("max_features") >= F.col("column_count"))
     )
@@ -129,13 +131,13 @@ def text_similarity(profiles: DataFrame, algorithms: DataFrame | None = None) ->
     entry = entries.join(weights, "word").select("id", "word", (F.col("n") * F.col("idf")).alias("w"))
     entry_size = entry.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("entry_size"))
     said = _words(profiles, "session_id", "feature_description").join(
-        F.broadcast(weights), "word", "left"
+        broadcast_if_small(weights), "word", "left"
     ).select("session_id", "word", (F.col("n") * F.coalesce("idf", F.lit(unseen))).alias("v"))
     said_size = said.groupBy("session_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("said_size"))
-    dots = said.join(F.broadcast(entry), "word").groupBy("session_id", "id").agg(
+    dots = said.join(broadcast_if_small(entry), "word").groupBy("session_id", "id").agg(
         F.sum(F.col("v") * F.col("w")).alias("dot")
     )
-    return dots.join(said_size, "session_id").join(F.broadcast(entry_size), "id").select(
+    return dots.join(said_size, "session_id").join(broadcast_if_small(entry_size), "id").select(
         "session_id", "id",
         F.coalesce(
             F.try_divide(F.col("dot"), F.col("said_size") * F.col("entry_size")), F.lit(0.0)
@@ -207,15 +209,14 @@ def roles(rankings: DataFrame) -> DataFrame:
         )
     text = {
         "recommended": lambda x: F.concat(
-            x["name"], F.lit(" has the highest combined score ("), F.format_string("%.3f", x["score"]),
-            F.lit(") based on dataset similarity and filter analysis.")),
+            x["name"], F.lit(" leads the ranking with "), F.format_string("%.3f", x["score"]),
+            F.lit(" points for likeness to this table and for what the checks left.")),
         "fastest": lambda x: F.concat(
-            x["name"], F.lit(" offers "), x["speed"], F.lit(" training speed, ideal for rapid iteration.")),
+            F.lit("Of the others "), x["name"], F.lit(" trains quickest; its speed is "), x["speed"], F.lit(".")),
         "best_accuracy_boost": lambda x: F.concat(
-            x["name"], F.lit(" has "), x["accuracy"], F.lit(" accuracy potential for this dataset.")),
+            F.lit("If precision matters most, "), x["name"], F.lit(" may reach further: "), x["accuracy"], F.lit(".")),
         "most_interpretable": lambda x: F.concat(
-            x["name"], F.lit(" provides "), x["interpretability"],
-            F.lit(" interpretability with explainable outputs.")),
+            F.lit("How "), x["name"], F.lit(" decides can be followed; clarity is "), x["interpretability"], F.lit(".")),
     }
     assigned = F.array(*[
         F.struct(F.lit(r).alias("role"), F.col(r)["id"].alias("id"), text[r](F.col(r)).alias("reasoning"))
@@ -238,19 +239,8 @@ def extract_assignments(answers: DataFrame, text: str = "response") -> DataFrame
 
     Gives the input columns plus ``assignments``, NULL where nothing can be read.
     """
-    value = F.col(text)
-    fenced = F.regexp_extract(value, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    embedded = F.regexp_extract(value, r'(?s)(\{[^{}]*"assignments"[^{}]*\[.*?\]\s*\})', 1)
-
-    def read(candidate, likely):
-        # a failed parse is dear, so only likely texts are tried
-        return F.from_json(F.when(likely, candidate), ANSWER)["assignments"]
-
-    return answers.withColumn("assignments", F.coalesce(
-        read(value, F.ltrim(value).startswith("{")),
-        read(fenced, value.contains("```")),
-        read(embedded, value.contains('"assignments"')),
-    ))
+    found = object_with(F.col(text), "assignments")
+    return answers.withColumn("assignments", F.from_json(found, ANSWER)["assignments"])
 
 
 def valid_assignments(answers: DataFrame, rankings: DataFrame, places: bool = False) -> DataFrame:
@@ -347,7 +337,7 @@ def preprocessing_steps(chosen: DataFrame, templates: DataFrame | None = None) -
     templates = kb.templates(chosen.sparkSession) if templates is None else templates
     known = templates.withColumn("_known", F.lit(True))
     rows = chosen.select("session_id", "id", "missing_ratio", "categorical_count").join(
-        F.broadcast(known), "id", "left"
+        broadcast_if_small(known), "id", "left"
     )
 
     def step(condition, name, component, parameters):
@@ -363,6 +353,7 @@ def preprocessing_steps(chosen: DataFrame, templates: DataFrame | None = None) -
     imputer = F.coalesce("imputer", F.when(default & (F.col("missing_ratio") > 0), "median"))
     encoding = F.coalesce("encoding", F.when(default & (F.col("categorical_count") > 0), "onehot"))
     scaling = F.coalesce("scaling", F.when(default, "standard"))
+    # The names of the steps' components, as they stand in exported blueprints.
     steps = F.array(
         step(imputer == "ffill", "imputation", "Forward Fill (df.ffill())", F.lit('{"method": "ffill"}')),
         step(imputer != "ffill", "imputation", "SimpleImputer",

@@ -686,11 +686,11 @@ ROLES = RANKED + ",\n" + ",\n".join([
 sql("kb_roles", f"WITH {ROLES} SELECT session_id, id, role FROM roles")
 sql("kb_recommendations", f"""WITH {ROLES}
 SELECT r.session_id, r.rank, r.id, coalesce(role, 'candidate') AS role, r.rank = 1 AS is_primary,
-  CASE role WHEN 'recommended' THEN name || ' has the highest combined score (' || printf('%.3f', combined_score)
-         || ') based on dataset similarity and filter analysis.'
-       WHEN 'fastest' THEN name || ' offers ' || speed || ' training speed, ideal for rapid iteration.'
-       WHEN 'best_accuracy_boost' THEN name || ' has ' || accuracy || ' accuracy potential for this dataset.'
-       WHEN 'most_interpretable' THEN name || ' provides ' || clarity || ' interpretability with explainable outputs.'
+  CASE role WHEN 'recommended' THEN name || ' leads the ranking with ' || printf('%.3f', combined_score)
+         || ' points for likeness to this table and for what the checks left.'
+       WHEN 'fastest' THEN 'Of the others ' || name || ' trains quickest; its speed is ' || speed || '.'
+       WHEN 'best_accuracy_boost' THEN 'If precision matters most, ' || name || ' may reach further: ' || accuracy || '.'
+       WHEN 'most_interpretable' THEN 'How ' || name || ' decides can be followed; clarity is ' || clarity || '.'
        ELSE '' END AS reasoning
 FROM r LEFT JOIN roles ON roles.session_id = r.session_id AND roles.id = r.id""")
 sql("kb_alternatives", f"""WITH {ROLES}
@@ -864,3 +864,14 @@ sql("quartiles_of_all_tables", union(
     f"SELECT '{name}' AS table_name, '{c}' AS column_name, " + ", ".join(
         f"round(quantile_cont({c}::DOUBLE, {p}), 6) AS q{i + 1}" for i, p in enumerate((0.25, 0.5, 0.75))) + f" FROM {name}"
     for name, columns in GIVEN.items() for c, t in columns if t in NUMBERS))
+
+
+# -- files and texts
+sql("file_audit_written", """SELECT o_orderstatus AS status, extension, CASE WHEN extension = 'txt' THEN 'unsupported file type'
+  WHEN extension = 'csv' AND o_orderstatus = 'F' THEN 'zip or Parquet content in a CSV file'
+  WHEN extension = 'csv' AND o_orderstatus = 'O' THEN 'binary content in a CSV file' ELSE 'ok' END AS verdict
+FROM (SELECT DISTINCT o_orderstatus FROM orders), (VALUES ('csv'), ('json'), ('txt'), ('parquet')) t(extension)""")
+sql("column_existence", """SELECT c AS asked, CASE WHEN c IN ('o_orderkey', 'o_totalprice') THEN '' ELSE c END AS missing
+FROM (VALUES ('o_orderkey'), ('O_ORDERKEY'), ('price'), ('o_totalprice')) t(c)""")
+sql("json_extract_nested", """SELECT event_id::VARCHAR AS session_id, 'algo_' || (event_id % 3) AS id, 'fastest' AS role,
+  CASE event_id % 3 WHEN 0 THEN 'ends in ]} here' WHEN 1 THEN 'a "quoted" {brace' ELSE 'back\\slash }' END AS reasoning FROM events WHERE event_id % 4 < 3""")

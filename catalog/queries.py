@@ -12,8 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.errors import EmptyDataset
-from brightloom.functions.columns import col, numeric_columns
+from brightloom.errors import ColumnNotFound, EmptyDataset
+from brightloom.functions.columns import col, numeric_columns, require
 from brightloom.functions.runtime import shared_folder
 from brightloom.functions.values import broadcast_if_small
 from brightloom.models import agglomerate, neighbours, range_finder, survival, target_codes
@@ -838,6 +838,32 @@ def file_audit_folder(spark, folder):
     )
 
 
+@query
+def file_audit_written(spark, folder):
+    """Files written from the orders of each status: some with a mark of another format or a null byte in front."""
+    path, orders = shared_folder(spark, "audited"), table(spark, folder, "orders")
+    mark = F.when(col("o_orderstatus") == "F", "PAR1").when(col("o_orderstatus") == "O", "a\0b").otherwise("x")
+    by_status = orders.select("o_orderstatus", F.concat(mark, col("o_orderkey").cast("string")).alias("v")).repartition("o_orderstatus")
+    for kind in ("csv", "json", "text", "parquet"):
+        by_status.write.partitionBy("o_orderstatus").format(kind).save(f"{path}/{kind}")
+    found = file_audit.audit_files(spark, path).where(F.col("extension") != "")
+    status = F.regexp_extract("path", "o_orderstatus=([^/]*)", 1)
+    return found.select(status.alias("status"), "extension", "verdict").distinct()
+
+
+@query
+def column_existence(spark, folder):
+    """Which of some asked column names the table lacks, as the error says."""
+    orders, rows = table(spark, folder, "orders"), []
+    for name in ("o_orderkey", "O_ORDERKEY", "price", "o_totalprice"):
+        try:
+            require(orders, [name])
+            rows.append((name, ""))
+        except ColumnNotFound as error:
+            rows.append((name, error.column))
+    return spark.createDataFrame(rows, "asked string, missing string")
+
+
 # -- modelling profile and recommendation -----------------------------------------
 def profiles(spark, folder) -> DataFrame:
     """One profile per modelling question over the test tables."""
@@ -1012,6 +1038,18 @@ def json_extract(spark, folder):
         F.col("assignments")[0]["id"].alias("first_id"), F.col("assignments")[0]["role"].alias("first_role"))
 
 
+@query
+def json_extract_nested(spark, folder):
+    """All assignments of answers that hold braces, quotes and ends of lists inside their values."""
+    e = table(spark, folder, "events")
+    said = F.when(col("event_id") % 3 == 0, "ends in ]} here").when(col("event_id") % 3 == 1, 'a "quoted" {brace').otherwise("back\\slash }")
+    answer = F.to_json(F.struct(F.struct(F.array(F.struct(
+        F.concat(F.lit("algo_"), (col("event_id") % 3).cast("string")).alias("id"), F.lit("fastest").alias("role"), said.alias("reasoning"))).alias("assignments")).alias("answer")))
+    prose = F.when(col("event_id") % 4 == 0, answer).when(col("event_id") % 4 == 1, F.concat(F.lit("Take {this}: "), answer, F.lit(" }")))         .when(col("event_id") % 4 == 2, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).otherwise('{"assignments": "none"}')
+    read = recommend.extract_assignments(e.select(col("event_id").cast("string").alias("session_id"), prose.alias("response")))
+    return read.select("session_id", F.explode("assignments").alias("a")).select("session_id", "a.id", "a.role", "a.reasoning")
+
+
 @query
 def assignments_validate(spark, folder):
     rankings = table(spark, folder, "events").select(

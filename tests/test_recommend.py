@@ -96,7 +96,7 @@ def test_roles(spark):
     rows = {r["role"]: (r["id"], r["reasoning"]) for r in recommend.roles(rankings(spark)).collect()}
     assert set(rows) == {"recommended", "fastest"}
     assert rows["recommended"] == (
-        "rf", "RF has the highest combined score (0.900) based on dataset similarity and filter analysis.")
+        "rf", "RF leads the ranking with 0.900 points for likeness to this table and for what the checks left.")
     assert rows["fastest"][0] == "lr"
 
 
@@ -245,3 +245,14 @@ def test_labels_keep_their_text_order(spark):
     df = spark.createDataFrame([("cab"[i % 3], float(i % 3), float(i)) for i in range(90)], "y string, x double, i double")
     found = training.train(df, "decision_tree_classifier", "y").predictions.select("y", "label", "prediction").distinct().collect()
     assert sorted((r["y"], r["label"], r["prediction"]) for r in found) == [("a", 0, 0), ("b", 1, 1), ("c", 2, 2)]
+
+
+def test_json_inside_texts():
+    from brightloom.functions.json_text import find_object
+
+    plain = '{"assignments": [{"reasoning": "ends ]} {not} \\" here"}]}'
+    wanted = [{"reasoning": 'ends ]} {not} " here'}]
+    for text in (plain, f"```json\n{plain}\n```", f"so {{x}} and {{\"a\": 1}} then {plain} {{", f'{{"answer": [{{"deep": {plain}}}]}}', f"}}{plain}]"):
+        assert json.loads(find_object(text, "assignments"))["assignments"] == wanted
+    for text in ("", "none", '{"assignments": 3}', '{"assignments": [', "{" * 3000, '"assignments"'):
+        assert find_object(text, "assignments") is None

@@ -59,6 +59,17 @@ def test_file_audit(tmp_path, spark):
     assert verdicts["null.csv"] == "binary content in a CSV file"
 
 
+def test_file_audit_of_a_huge_file(tmp_path, spark):
+    """Two files over 2 GiB, with holes, and a name with blanks."""
+    for name, head in (("huge.csv", b"a,b"), ("no table.parquet", b"ABCD")):
+        with open(tmp_path / name, "wb") as file:
+            file.write(head)
+            file.seek((1 << 31) + 10)
+            file.write(b"x")
+    got = {r["path"].rsplit("/", 1)[1]: r["verdict"] for r in audit_files(spark, str(tmp_path)).collect()}
+    assert got == {"huge.csv": "binary content in a CSV file", "no table.parquet": "not a Parquet file"}
+
+
 def test_audit_tables(tmp_path, spark):
     folder = str(tmp_path)
     rows = [("s1", 1, "missing", '{"column": "a"}'), ("s1", 2, "scaling", "{}"), ("s2", 1, "missing", None)]
