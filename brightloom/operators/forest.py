@@ -1,25 +1,29 @@
-"""Isolation forest on one numeric column.
-
-Each of the 100 trees sees 256 values of its own, drawn from the whole column; a column
-of fewer values than all trees need lends them to several. On one column a forest is a step function of the value: merging the split
-points of all trees gives a few thousand value ranges, each with one anomaly score.
-Spark then counts the table's values per range once, and the cut at the
-contamination share, the number of outliers and the bounds of the inliers follow from
-those counts. Values on either side are told apart by range comparisons.
+"""Isolation forests on numeric columns, all columns together.
+
+Each of the 100 trees of a column sees 256 values of its own, drawn from the whole column; a column of fewer values than all
+trees need lends them to several. On one column a forest is a step function of the value: merging the split points of
+all trees gives a few thousand value ranges, each with one anomaly score. The cut at the contamination share, the number
+of outliers and the bounds of the inliers follow from the number of values in each range.
+
+Three jobs serve all columns. The first counts equal values of each column. The second draws from these counts - each of
+a value's copies has a hash of (column, value, copy), and the copies of least hash are the sample, so it does not depend on how
+the table is stored - and grows each column's trees in one task. The third counts the values of each range.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.functions.columns import col
-from brightloom.functions.runtime import ship_by_value
+from brightloom.functions.runtime import materialise, ship_by_value
 
 ship_by_value(__name__)
 
@@ -29,7 +33,8 @@ VALUES_PER_TREE = 256
 SEED = 42
 EULER = 0.5772156649015329
 
-DRAWN = TREES * VALUES_PER_TREE     # values that all trees see
+DRAWN = TREES * VALUES_PER_TREE     # values that all trees of a column see
+COLUMNS_AT_ONCE = 64
 
 
 @dataclass
@@ -70,20 +75,39 @@ def _grow(values: np.ndarray, rng: np.random.Generator) -> tuple[list[float], li
     return splits, lengths
 
 
-def _trees(pool: np.ndarray):
-    """Grow the trees of a partition of tree numbers; a generator for mapInPandas."""
-    def run(batches):
-        size = min(VALUES_PER_TREE, len(pool))
-        for batch in batches:
-            for tree in batch["id"]:
-                rng = np.random.default_rng(SEED + int(tree))
-                if len(pool) >= DRAWN:
-                    own = pool[int(tree) * size:(int(tree) + 1) * size]
-                else:
-                    own = rng.choice(pool, size, replace=False)
-                splits, lengths = _grow(own, rng)
-                yield pd.DataFrame({"tree": [tree], "splits": [splits], "lengths": [lengths]})
-    return run
+def _forest(pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Split points and range scores of the trees on a sample in random order."""
+    size = min(VALUES_PER_TREE, len(pool))
+    trees = []
+    for tree in range(TREES):
+        rng = np.random.default_rng(SEED + tree)
+        own = pool[tree * size:(tree + 1) * size] if len(pool) >= DRAWN else rng.choice(pool, size, replace=False)
+        trees.append(_grow(own, rng))
+    return _score_ranges(pd.DataFrame(trees, columns=["splits", "lengths"]), size)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 well mixed bits of each of 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def draw(column: int, values: np.ndarray, counts: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and value of the copies whose hash, as a number from 0 to 1, is below ``share``."""
+    with np.errstate(over="ignore"):
+        seed = _mixed(values.astype(np.float64).view(np.uint64) + np.uint64(column + 1) * np.uint64(0x9E3779B97F4A7C15))
+        few = counts <= 64
+        copies = np.repeat(np.flatnonzero(few), counts[few])
+        nth = np.arange(len(copies)) - np.repeat(np.cumsum(counts[few]) - counts[few], counts[few])
+        hashes = _mixed(seed[copies] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) / 2.0**64
+    taken = hashes < share
+    found, drawn = [hashes[taken]], [values[copies[taken]]]
+    for i in np.flatnonzero(~few):      # many copies: how many fall below the share, and where
+        rng = np.random.default_rng(int(seed[i]))
+        found.append(rng.uniform(0, share, rng.binomial(int(counts[i]), share)))
+        drawn.append(np.full(len(found[-1]), values[i]))
+    return np.concatenate(found), np.concatenate(drawn)
 
 
 def _score_ranges(trees: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,44 +122,74 @@ def _score_ranges(trees: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     return cuts, -np.exp2(-(depth / len(trees)) / norm)
 
 
+def fit_all(df: DataFrame, columns: Sequence[str], contamination: float, present: dict[str, int]) -> dict[str, FittedForest]:
+    """The forests of all columns; ``present``: how many values each has. A column without values has no bounds."""
+    found = {c: FittedForest((None, None), 0, []) for c in columns}
+    named = [c for c in columns if present[c]]
+    for start in range(0, len(named), COLUMNS_AT_ONCE):
+        part = named[start:start + COLUMNS_AT_ONCE]
+        found.update(_fit_part(df, part, contamination, [present[c] for c in part]))
+    return found
+
+
 def fit(df: DataFrame, column: str, contamination: float, present: int) -> FittedForest:
+    return fit_all(df, [column], contamination, {column: present})[column]
+
+
+def ranges_of(df: DataFrame, columns: Sequence[str], present: Sequence[int]) -> pd.DataFrame:
+    """c (place of the column), r, n, low, high, score: the ranges of each column's forest that hold values."""
     spark = df.sparkSession
-    values = df.select(col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    share = 1.05 * DRAWN / max(present, 1)          # a little more, as the number drawn varies
-    drawn = values if share >= 1.0 else values.where(F.rand(SEED) < share)
-    pool = np.sort(drawn.toArrow().to_pandas()["v"].to_numpy())     # about 1.05 DRAWN values at most
-    pool = np.random.default_rng(SEED).permutation(pool)
-    size = min(VALUES_PER_TREE, len(pool))
-    trees = (
-        spark.range(TREES).mapInPandas(_trees(pool), "tree long, splits array<double>, lengths array<double>")
-        .toArrow().to_pandas()
-    )
-    cuts, scores = _score_ranges(trees, size)
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), (col(c).cast("double") + F.lit(0.0)).alias("v")) for i, c in enumerate(columns)])
+    cells = df.select(F.explode(cells).alias("e")).select("e.c", "e.v").where("v is not null")
+    counted = materialise(cells.groupBy("c", "v").agg(F.count("*").alias("n")), "values")
+    shares = [min(1.0, 1.1 * DRAWN / max(n, 1)) for n in present]    # a little more, as the number drawn varies
 
-    shared = spark.sparkContext.broadcast(cuts)          # at most 100 x 255 numbers
+    def sample(batches):
+        for batch in batches:
+            number, values, counts = (batch[c].to_numpy() for c in ("c", "v", "n"))
+            for c in np.unique(number):
+                own = number == c
+                hashes, drawn = draw(int(c), values[own], counts[own], shares[c])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(drawn), c, np.int32)), pa.array(hashes), pa.array(drawn)], ["c", "h", "v"])
+
+    def grow(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        pool = table["v"].to_numpy()[np.lexsort((table["v"].to_numpy(), table["h"].to_numpy()))][:DRAWN]
+        cuts, scores = _forest(pool)
+        return pa.table({"c": pa.array([key[0].as_py()], pa.int32()), "cuts": [cuts.tolist()], "scores": [scores.tolist()]})
+
+    sampled = counted.mapInArrow(sample, "c int, h double, v double")    # about 1.1 DRAWN values of a column
+    forests = sampled.groupBy("c").applyInArrow(grow, "c int, cuts array<double>, scores array<double>").toArrow().to_pandas()
+    forests = {int(c): (np.asarray(cuts), np.asarray(scores)) for c, cuts, scores in zip(forests["c"], forests["cuts"], forests["scores"])}
+    shared = spark.sparkContext.broadcast({c: cuts for c, (cuts, _) in forests.items()})     # at most 100 x 255 numbers a column
 
     def count(batches):
         edges = shared.value
         for batch in batches:
-            v = batch["v"].to_numpy()
-            frame = pd.DataFrame({"r": np.searchsorted(edges, v, side="left"), "v": v})
-            yield frame.groupby("r")["v"].agg(["size", "min", "max"]).reset_index()
+            frame = batch.to_pandas()
+            frame["r"] = 0
+            for c, own in frame.groupby("c").groups.items():
+                frame.loc[own, "r"] = np.searchsorted(edges[c], frame.loc[own, "v"].to_numpy(), side="left")
+            out = frame.groupby(["c", "r"]).agg(n=("n", "sum"), low=("v", "min"), high=("v", "max")).reset_index()
+            yield pa.RecordBatch.from_pandas(out.astype({"c": "int32", "r": "int32", "n": "int64"}), preserve_index=False)
 
     ranges = (
-        values.mapInPandas(count, "r int, size long, min double, max double")
-        .groupBy("r").agg(F.sum("size").alias("n"), F.min("min").alias("low"), F.max("max").alias("high"))
-        .toArrow().to_pandas().sort_values("r")
-    )
-    ranges["score"] = scores[ranges["r"].to_numpy()]
-    cut = _weighted_percentile(ranges["score"].to_numpy(), ranges["n"].to_numpy(), contamination)
-    inside = ranges[ranges["score"] >= cut]
-    outliers = int(ranges.loc[ranges["score"] < cut, "n"].sum())
-    if inside.empty:
-        return FittedForest((None, None), outliers, [])
-    return FittedForest(
-        (float(inside["low"].min()), float(inside["high"].max())), outliers,
-        _join_ranges(ranges, cut),
+        counted.mapInArrow(count, "c int, r int, n long, low double, high double")
+        .groupBy("c", "r").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .toArrow().to_pandas().sort_values(["c", "r"])
     )
+    ranges["score"] = [forests[c][1][r] for c, r in zip(ranges["c"], ranges["r"])]
+    return ranges
+
+
+def _fit_part(df, columns, contamination, present):
+    out = {}
+    for c, ranges in ranges_of(df, columns, present).groupby("c"):
+        cut = _weighted_percentile(ranges["score"].to_numpy(), ranges["n"].to_numpy(), contamination)
+        inside = ranges[ranges["score"] >= cut]
+        outliers = int(ranges.loc[ranges["score"] < cut, "n"].sum())
+        bounds = (None, None) if inside.empty else (float(inside["low"].min()), float(inside["high"].max()))
+        out[columns[c]] = FittedForest(bounds, outliers, [] if inside.empty else _join_ranges(ranges, cut))
+    return out
 
 
 def _weighted_percentile(scores, counts, share):

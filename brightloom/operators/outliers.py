@@ -43,16 +43,15 @@ def bounds_of(table, columns: Sequence[str] | None = None, method: str = "iqr",
                 if spread > 0 else (None, None)
             )
         return bounds
-    return {c: forest.fit(stats.df, c, contamination, stats.present(c)).bounds for c in columns}
+    present = {c: stats.present(c) for c in columns}
+    return {c: f.bounds for c, f in forest.fit_all(stats.df, columns, contamination, present).items()}
 
 
 def _counts(stats, columns, method, threshold, contamination, k):
     """(bounds, outlier count) per column."""
     if method == "iforest":
-        fitted = {
-            c: forest.fit(stats.df, c, contamination, stats.present(c))
-            for c in columns if stats.present(c) >= FEWEST
-        }
+        present = {c: stats.present(c) for c in columns if stats.present(c) >= FEWEST}
+        fitted = forest.fit_all(stats.df, list(present), contamination, present)
         return {c: (f.bounds, f.outliers) for c, f in fitted.items()}
     bounds = bounds_of(stats, columns, method, threshold, contamination, k)
     known = {c: b for c, b in bounds.items() if b[0] is not None}

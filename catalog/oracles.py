@@ -875,3 +875,6 @@ sql("column_existence", """SELECT c AS asked, CASE WHEN c IN ('o_orderkey', 'o_t
 FROM (VALUES ('o_orderkey'), ('O_ORDERKEY'), ('price'), ('o_totalprice')) t(c)""")
 sql("json_extract_nested", """SELECT event_id::VARCHAR AS session_id, 'algo_' || (event_id % 3) AS id, 'fastest' AS role,
   CASE event_id % 3 WHEN 0 THEN 'ends in ]} here' WHEN 1 THEN 'a "quoted" {brace' ELSE 'back\\slash }' END AS reasoning FROM events WHERE event_id % 4 < 3""")
+sql("forest_ranges", union(
+    f"SELECT '{c}' AS name, count({c}) AS held, min({c})::DOUBLE + 0.0 AS least, max({c})::DOUBLE + 0.0 AS most, true AS apart, true AS within_share FROM lineitem"
+    for c, t in GIVEN["lineitem"] if t in NUMBERS))

@@ -399,6 +399,21 @@ def outlier_remove_zscore(spark, folder):
     )
 
 
+@query
+def forest_ranges(spark, folder):
+    """What the ranges of the forests of all numbers of lineitem hold together, and whether the cut keeps its share."""
+    lines = table(spark, folder, "lineitem")
+    stats = profile.TableStats(lines)
+    found = outliers.forest.ranges_of(lines, stats.numeric, [stats.present(c) for c in stats.numeric])
+    counted = outliers.forest.fit_all(lines, stats.numeric, 0.05, {c: stats.present(c) for c in stats.numeric})
+    rows = []
+    for c, part in found.groupby("c"):
+        name = stats.numeric[c]
+        apart = bool((part["low"].to_numpy()[1:] > part["high"].to_numpy()[:-1]).all())
+        rows.append((name, int(part["n"].sum()), float(part["low"].min()), float(part["high"].max()), apart, counted[name].outliers <= 0.05 * stats.present(name)))
+    return spark.createDataFrame(rows, "name string, held long, least double, most double, apart boolean, within_share boolean")
+
+
 @query
 def outlier_remove_iforest(spark, folder):
     return outliers.treat(events(spark, folder), "value", "iforest", "remove")

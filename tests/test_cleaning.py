@@ -178,6 +178,18 @@ def test_forest_share(spark):
     assert low < row["lower_bound"] < -1.5 and 1.5 < row["upper_bound"] < high
 
 
+def test_forests_of_all_columns(spark):
+    """The same whatever the layout and whichever columns are fitted together; copies count as often as they stand there."""
+    df = spark.range(30_000).select(F.when(F.col("id") < 9000, 7.0).otherwise(F.randn(3)).alias("a"), (F.col("id") % 50).alias("b"), F.lit(None).cast("double").alias("c"))
+    df = spark.createDataFrame(df.toArrow())
+    present = {"a": 30_000, "b": 30_000, "c": 0}
+    whole = outliers.forest.fit_all(df, ["a", "b", "c"], 0.05, present)
+    assert whole["c"].bounds == (None, None)
+    assert outliers.forest.fit_all(df.repartition(7, "b"), ["a", "b", "c"], 0.05, present) == whole
+    hashes, drawn = outliers.forest.draw(0, np.array([1.0, 2.0, 3.0]), np.array([10_000, 60, 20_000]), 0.5)
+    assert abs((drawn == 1).sum() - 5000) < 300 and abs((drawn == 3).sum() - 10_000) < 400 and 15 < (drawn == 2).sum() < 45 and hashes.max() < 0.5
+
+
 def test_nulls_survive_removal(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 1.1, 1.2, 1.3, 100.0, None)], "A double")
     kept = [r["A"] for r in outliers.treat(df, "A", "iqr", "remove").collect()]
