@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import ship_by_value
 from brightloom.llm import words
+from brightloom.llm.lean import lean
 from brightloom.llm.names import free, own, quoted
 from brightloom.llm.words import WordIds
 
@@ -162,7 +163,7 @@ def _over(path, schema, row):
                     schema=schema,
                 )
 
-    return run
+    return lean(run)
 
 
 def _digest(bpe, ids):

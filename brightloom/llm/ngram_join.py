@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import materialise, ship_by_value
 from brightloom.llm.components import components
+from brightloom.llm.lean import lean
 from brightloom.llm.names import free, own
 
 ship_by_value(__name__)
@@ -125,7 +126,7 @@ def _rows(size, percent):
                 pa.array([first_shingles(s, percent, none).view(np.int64) if len(s) else s.view(np.int64) for s in sets], pa.list_(pa.int64())),
             ], ["doc_id", "tkey", "sid", "n", "first"])
 
-    return run
+    return lean(run)
 
 
 def _later(size, percent, hot):
@@ -135,7 +136,7 @@ def _later(size, percent, hot):
             out = [first_shingles(shingles.of(t or ""), percent, hot).view(np.int64) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["cid"], batch["tkey"], batch["n"], pa.array(out, pa.list_(pa.int64()))], ["cid", "tkey", "n", "first"])
 
-    return run
+    return lean(run)
 
 
 def _sets(size, columns):
@@ -150,7 +151,7 @@ def _sets(size, columns):
             out = [shingles.of(t or "").tobytes() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(out, pa.binary())], [*columns, "tokens"])
 
-    return run
+    return lean(run)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ def _leaders(percent):
         if part:
             yield cluster(part)
 
-    return run
+    return lean(run)
 
 
 def _salts():
@@ -325,7 +326,7 @@ def _meeting(percent):
         if size:
             yield from emit(pairs_of(*(np.concatenate(c) for c in zip(*kept))))
 
-    return run
+    return lean(run)
 
 
 def _open(percent):
@@ -355,7 +356,7 @@ def _open(percent):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:

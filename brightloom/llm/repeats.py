@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import materialise, ship_by_value
+from brightloom.llm.lean import lean
 from brightloom.llm.names import free, own
 
 ship_by_value(__name__)
@@ -100,7 +101,7 @@ def _runs(length):
                 arrays += [pa.array(np.concatenate(c), t) for c, t in zip(out[1:], (pa.int64(),) * 3 + (pa.int32(),) * 2)]
                 yield pa.RecordBatch.from_arrays(arrays, ["tkey", "anchor", "c1", "c2", "s0", "nw"])
 
-    return run
+    return lean(run)
 
 
 class RunIndex:
@@ -209,7 +210,7 @@ def _search(length):
             if found:
                 yield found
 
-    return run
+    return lean(run)
 
 
 SPANS = "anchor bigint, c1 bigint, c2 bigint, spans array<struct<a:int,b:int>>"
@@ -231,7 +232,7 @@ def _contexts(length):
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 3 + (pa.int32(), pa.binary()))],
                     ["anchor", "c1", "c2", "nw", "context"])
 
-    return run
+    return lean(run)
 
 
 def _windows(length):
@@ -243,7 +244,7 @@ def _windows(length):
                     *(pa.array(np.full(nw, x), pa.int64()) for x in (anchor, c1, c2)), pa.array(np.arange(nw), pa.int32()),
                     pa.array(h[:, 0]), pa.array(h[:, 1])], ["anchor", "c1", "c2", "at", "w1", "w2"])
 
-    return run
+    return lean(run)
 
 
 def _broadcast(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import ship_by_value
 from brightloom.llm import labelled
-from brightloom.llm.names import free, own
 from brightloom.llm.labelled import fold, logistic, probability, training_rows
+from brightloom.llm.lean import give_back, lean
+from brightloom.llm.names import free, own
 
 ship_by_value(labelled.__name__)
 ship_by_value(__name__)
@@ -176,7 +177,7 @@ def learn_terms(rows: DataFrame, least_share: float = 0.005, least_odds: float =
 
     Near copies count once, so that the words of one copied text do not pass for terms. Stems need twice the share.
     """
-    texts = rows.select("text", "y").mapInArrow(_distinct, "words array<string>, y int, sign string")
+    texts = rows.select("text", "y").mapInArrow(lean(_distinct), "words array<string>, y int, sign string")
     once = texts.groupBy("sign", "y").agg(F.min_by("words", F.size("words")).alias("words"))
     once = once.select("words", "y")
     total = {r["y"]: r["n"] for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -203,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None,
             x = np.array([scorer.features(t) for t in batch["text"].to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(3)), batch["y"]], ["a", "b", "c", "y"])
 
-    seen = rows.where("half = 1").select("text", "y").mapInArrow(measure, "a double, b double, c double, y int").toArrow()
+    seen = rows.where("half = 1").select("text", "y").mapInArrow(lean(measure), "a double, b double, c double, y int").toArrow()
     x = np.column_stack([seen[c].to_numpy() for c in "abc"]).reshape(-1, 3)
     weights = logistic(x, seen["y"].to_numpy(), ridge=0.05)
     if x.size and not x[:, 2].any():
@@ -221,6 +222,8 @@ def score(docs: DataFrame, model, name: str = "toxicity") -> DataFrame:
         for texts in batches:
             x = np.array([scorer.features(t or "") for t in texts]).reshape(-1, 3)
             yield pd.Series(probability(weights, x))
+        del scorer
+        give_back()
 
     return docs.withColumn(name, toxicity("text"))
 
