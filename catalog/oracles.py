@@ -793,7 +793,7 @@ d AS (SELECT q.vec_id, q.label, t.label AS said, row_number() OVER (PARTITION BY
 votes AS (SELECT vec_id, label, said, count(*) AS n FROM d WHERE k <= 5 GROUP BY ALL)
 SELECT vec_id, label, said AS prediction FROM votes QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, said) = 1""")
 sql("train_hazards", """WITH RECURSIVE d AS (
-  SELECT n_chars AS t, (lang = 'en')::INT::DOUBLE AS x, (doc_id % 3 <> 0)::INT AS e FROM documents WHERE n_chars IS NOT NULL
+  SELECT doc_id, n_chars AS t, coalesce((lang = 'en')::INT::DOUBLE, 0) AS x, (doc_id % 3 <> 0)::INT AS e FROM documents WHERE n_chars IS NOT NULL
 ), g AS (
   SELECT t, x, count(*) AS n, sum(e) AS m FROM d GROUP BY ALL
 ), ties AS (
@@ -814,9 +814,9 @@ sql("train_hazards", """WITH RECURSIVE d AS (
     / sum(b * exp(beta) / (a + b * exp(beta)) * (1 - b * exp(beta) / (a + b * exp(beta))))
   FROM newton, terms, tot WHERE i < 15 GROUP BY i, beta
 )
-SELECT round(beta, 6) AS coefficient, round((SELECT beta * (mx - (SELECT sum(x * n) / sum(n) FROM g) * (SELECT sum(m) FROM g)) FROM tot)
-  - (SELECT sum(ln(a * exp(-beta * c) + b * exp(beta * (1 - c)))) FROM terms, (SELECT sum(x * n) / sum(n) AS c FROM g)), 3) AS log_likelihood
-FROM newton WHERE i = 15""")
+SELECT doc_id, round(exp(beta * (x - c)), 6) AS hazard, round(beta * (mx - c * (SELECT sum(m) FROM g))
+  - (SELECT sum(ln(a * exp(-beta * c) + b * exp(beta * (1 - c)))) FROM terms), 2) AS log_likelihood
+FROM d, tot, newton, (SELECT sum(x * n) / sum(n) AS c FROM g) WHERE i = 15""")
 ORDERED = """SELECT doc_id, (coalesce(sum(n_chars) OVER w, 0) + prior) / (count(n_chars) OVER w + 1) AS code FROM placed, p
   WINDOW w AS (PARTITION BY coalesce({c}, '-') ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 sql("encode_ordered_target", f"""WITH p AS (SELECT avg(n_chars)::DOUBLE AS prior FROM documents),

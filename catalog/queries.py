@@ -1215,9 +1215,11 @@ def train_neighbours(spark, folder):
 def train_hazards(spark, folder):
     """How the language changes the risk that a document ends, by length; a rule says whose end was seen."""
     docs = table(spark, folder, "documents").where("n_chars is not null").select(
-        F.array((col("lang") == "en").cast("double")).alias("features"), col("n_chars").alias("label"), (col("doc_id") % 3 != 0).cast("double").alias("censor"))
+        "doc_id", F.array(F.coalesce((col("lang") == "en").cast("double"), F.lit(0.0))).alias("features"), col("n_chars").alias("label"),
+        (col("doc_id") % 3 != 0).cast("double").alias("censor"))
     model = survival.CoxHazards().fit(docs)
-    return spark.createDataFrame([(round(float(model.coefficients[0]), 6), round(model.logLikelihood, 3))], "coefficient double, log_likelihood double")
+    likelihood = F.lit(round(model.logLikelihood, 2)).alias("log_likelihood")
+    return model.transform(docs).select("doc_id", F.round("prediction", 6).alias("hazard"), likelihood)
 
 
 def _six_digits(*names):
