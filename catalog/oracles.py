@@ -502,7 +502,7 @@ sql("recipe_blueprint", f"""WITH {EVENTS}, m AS (SELECT avg(value) AS a FROM ev)
 g AS (SELECT event_id, coalesce(value, a) AS filled, coalesce(event_type, 'none') AS t FROM ev, m),
 s AS (SELECT avg(filled) AS mu, stddev_samp(filled) AS sd FROM g),
 c AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS code FROM (SELECT DISTINCT t FROM g))
-SELECT event_id, round(filled, 6) AS filled, round((filled - mu) / sd, 6) AS scaled, code FROM g JOIN c USING (t), s""")
+SELECT event_id, round(filled, 6) AS filled, round((filled - mu) / sd, 6) + 0.0 AS scaled, code FROM g JOIN c USING (t), s""")
 
 # -- sources
 sql("empty_tables_refused", f"""WITH {EVENTS}

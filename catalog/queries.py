@@ -730,7 +730,7 @@ def recipe_blueprint(spark, folder):
     ready = blueprint(recipe).fit(df).transform(df)
     return rounded(ready.select(
         "event_id", col("value_imputed").alias("filled"), vector_to_array("value_scaled")[0].alias("scaled"),
-        col("props_code").cast("long").alias("code")))
+        col("props_code").cast("long").alias("code"))).withColumn("scaled", col("scaled") + 0.0)   # no -0.0
 
 
 # -- sources -------------------------------------------------------------------
