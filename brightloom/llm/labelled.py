@@ -13,17 +13,23 @@ def fold(parts: int):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, most: int) -> DataFrame:
-    """doc_id, text, y (0 or 1) and half (0 or 1) of at most ``most`` labelled documents for which ``allowed`` holds.
+    """doc_id, text, y (0 or 1) and half (0 or 1) of at most ``most`` labelled rows for which ``allowed`` holds.
 
     A bounded sample by hash of doc_id; a document labelled several times takes its largest label; NULL labels and ids are
-    left out. A doc_id on several documents labels each of them.
+    left out. A doc_id on several documents labels each of them; its repeated texts count once. The rows are chosen by
+    id and text hash first, so no more than ``most`` whole texts are ever brought together.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed)
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         .withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select(
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    chosen = (
+        texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "t").agg(F.first("y").alias("y"), F.first("h").alias("h"))
+        .orderBy("h", "doc_id", "t").limit(most)
+    )
+    return texts.join(F.broadcast(chosen), ["doc_id", "t"]).groupBy("doc_id", "t", "y", "h").agg(F.min("text").alias("text")).select(
         "doc_id", "text", "y", F.pmod("h", F.lit(2)).cast("int").alias("half")
     )
 
@@ -51,3 +57,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
 
 def probability(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
+
+
+def rising(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """A logistic fit whose score falls with no column: columns of negative weight leave, the worst first, and weigh nothing."""
+    left = list(range(x.shape[1]))
+    while True:
+        w = logistic(x[:, left], y, ridge)
+        if not left or w[1:].min() >= 0:
+            break
+        del left[int(np.argmin(w[1:]))]
+    out = np.zeros(1 + x.shape[1])
+    out[[0, *(1 + i for i in left)]] = w
+    return out

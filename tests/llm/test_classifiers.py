@@ -96,9 +96,12 @@ def test_automaton_against_distances():
             at = rng.randrange(len(word) + 1)
             word[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "d"])
         word = "".join(word)
-        near = [d for t in terms[:-1] if (d := levenshtein(word, t)) <= (0 if len(t) < 5 else 1 if len(t) < 9 else 2)]
+        near = [d for t in terms[:-1] if (d := levenshtein(word, t)) <= (0 if len(t) < 4 else 1 if len(t) < 9 else 2)]
         assert lexicon.edits(word) == min(near, default=-1)
+        assert sorted(levenshtein(word, t) for t in lexicon.terms_near(word)) == sorted(near)
     assert lexicon.edits("xyzabc") == 0 and lexicon.edits("xyyabc") == -1
+    rigid = toxicity.Lexicon(["mudhead=", "bog", "scum"])
+    assert [rigid.edits(w) for w in ("mudhead", "mudhaad", "bog", "bag", "scum", "skum", "skam")] == [0, -1, 0, -1, 0, 1, -1]
 
 
 def test_quotation_is_told_from_abuse():
@@ -107,8 +110,100 @@ def test_quotation_is_told_from_abuse():
     assert toxicity.quoted(text, at, at + 7)
     plain = "what a mudhead you are, the boat is late again and so are all the others today"
     assert not toxicity.quoted(plain, 7, 14)
-    scorer = toxicity.Scorer(["mudhead"])
-    assert scorer.features(text)[2] > 0 and scorer.features(plain)[0] > 0 and scorer.features("mudhexd you")[1] > 0
+    scorer = toxicity.Scorer(["mudhead"], ["mudheat"])
+    assert scorer.features(text)[0] > 0 and scorer.features(text)[1] == 0
+    assert scorer.features(plain)[2] > 0
+    assert scorer.features("mudhexd you")[1] > 0 and scorer.features("mudhexd you")[2] == 0
+    assert scorer.features("mudheat you") == (0,) * toxicity.FEATURES
+
+
+@pytest.mark.parametrize("text, expected", [
+    ('"Fine." mudhead "ok"', False), ('so "fine" mudhead "ok"', False), ('a "real mudhead, that" one', True), ("„ein mudhead“", True),
+    ("« un mudhead »", False), ("«un mudhead»", True), ("don't be a mudhead, don't", False), ("'mudhead'", True), ('"mudhead', False),
+    ('mudhead"', False), ('"' + "x" * 60 + ' mudhead"', False), ("(“mudhead”)", True), ("“so” mudhead”", False),
+])
+def test_marks_are_matched_in_pairs(text, expected):
+    at = text.index("mudhead")
+    assert toxicity.quoted(text, at, at + 7) == expected
+
+
+def bent(rng, term, edits):
+    """The term with so many letters replaced, none twice."""
+    letters = list(term)
+    for at in rng.sample(range(len(term)), edits):
+        letters[at] = rng.choice([c for c in "qxzj" if c != letters[at]])
+    return "".join(letters)
+
+
+@pytest.fixture(scope="module")
+def abuse(spark):
+    """A model of labels with a three-letter, a four-letter and longer terms, an innocent word near one, and copies of one text."""
+    rng = random.Random(3)
+    terms = ["bog", "scum", "snark", "mudhead", "grobblefink"]
+    copied = " ".join(prose_word(rng) for _ in range(60))
+    rows = []
+    for i in range(900):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(20, 90))]
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), rng.choice(terms))
+        elif i % 3 == 0:
+            words.insert(rng.randrange(len(words)), "shark")
+        rows.append((i, f"{copied} {' '.join(words)}" if i % 60 == 0 else " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    return toxicity.fit(docs, labels), terms, copied
+
+
+def prose_word(rng):
+    return "".join(rng.choice("abcdefghik") for _ in range(rng.randint(4, 8)))
+
+
+def test_only_terms_are_learned(abuse):
+    (terms, ordinary, weights), planted, copied = abuse
+    assert {t.rstrip("=") for t in terms} == set(planted)
+    assert "shark" in ordinary or "snark=" in terms
+    assert not set(copied.split()) & set(terms) and (weights[1:] >= 0).all()
+
+
+def test_misspellings_score_above_clean_texts(abuse):
+    (terms, ordinary, weights), planted, _ = abuse
+    scorer, rng = toxicity.Scorer(terms, ordinary), random.Random(4)
+
+    def score(text):
+        return labelled.probability(weights, np.array([scorer.features(text)]))[0]
+
+    for _ in range(40):
+        clean = [rng.choice(WORDS) for _ in range(40)]
+        clean_score = score(" ".join(clean))
+        assert clean_score < 0.5 and score(" ".join(["shark", *clean])) == clean_score
+        for term in planted:
+            exact = score(" ".join([term, *clean]))
+            assert exact > clean_score
+            if term + "=" in terms:
+                continue
+            for edits in range(1, toxicity.Lexicon.most_edits(len(term)) + 1):
+                assert clean_score < score(" ".join([bent(rng, term, edits), *clean])) <= exact
+    assert score("scuz off") > 0.5 and score("you mudhaad") > 0.5
+
+
+def test_rising_weights():
+    rng = np.random.default_rng(1)
+    x = rng.random((400, 3))
+    y = (x[:, 0] - x[:, 1] + 0.1 * rng.standard_normal(400) > 0).astype(int)
+    w = labelled.rising(x, y)
+    assert w[1] > 0 and w[2] == 0 and (w[1:] >= 0).all()
+    assert (labelled.rising(-x[:, :1], y)[1:] == 0).all()
+
+
+def test_the_bound_is_one_on_rows(spark):
+    docs = spark.createDataFrame([(1 if i < 500 else i, f"text {i % 400}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (510, 0), (511, 1)], "doc_id long, toxic int")
+    rows = labelled.training_rows(docs, labels, "toxic", labels["doc_id"] > 0, 100).collect()
+    assert len(rows) == 100
+    rows = labelled.training_rows(docs, labels, "toxic", labels["doc_id"] > 0, 1000).collect()
+    assert len(rows) == 402 and len({(r["doc_id"], r["text"]) for r in rows}) == 402
 
 
 def test_logistic_without_both_classes():
