@@ -96,13 +96,21 @@ FROM d LEFT JOIN p USING (r) LEFT JOIN n USING (r)
 """
 
 
+def damaged(records):
+    """A replica that lost some records, has a byte of others changed, others cut short, and some a second time one byte on."""
+    page, record = F.col("page_id"), F.col("record")
+    bytes_now = F.when(page % 101 == 7, F.concat(F.encode(F.lit("WARC/1.1"), "UTF-8"), F.substring(record, 9, 1 << 30))).when(
+        page % 103 == 11, F.substring(record, F.lit(1), F.octet_length(record) - 4)).otherwise(record)
+    kept = records.where(F.coalesce(page % 211 != 3, F.lit(True))).withColumn("record", bytes_now)
+    added = records.where(page % 307 == 5).withColumn("offset", F.col("offset") + 1)
+    return kept.unionByName(added)
+
+
 @query
 def op9_fixity_audit(spark, folder):
-    """The pages as two replicas; the second has a changed byte in some records and lacks some others."""
-    first = fixity.lay_out(table(spark, folder, "pages"))
-    damaged = F.when(F.col("page_id") % 101 == 7, F.sha2(F.concat("digest", F.lit("!")), 256)).otherwise(F.col("digest"))
-    second = first.where(F.coalesce(F.col("page_id") % 211 != 3, F.lit(True))).withColumn("digest", damaged)
-    return fixity.audit(first, second)
+    """The pages as two replicas of stored records, each read and hashed in its own pass; the second is damaged by rule."""
+    replica = fixity.stored(table(spark, folder, "pages"))
+    return fixity.audit(fixity.catalogue(replica), fixity.catalogue(damaged(replica)))
 
 
 ORACLES["op9_fixity_audit"] = r"""
@@ -113,15 +121,21 @@ WITH body AS (
     || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
   FROM pages
 ), laid AS (
-  SELECT page_id, (page_id // 1000)::VARCHAR AS file, strlen(record) AS length, sha256(record) AS digest,
+  SELECT page_id, record, coalesce((page_id // 1000)::VARCHAR, 'none') AS file,
     coalesce(sum(strlen(record)) OVER (PARTITION BY page_id // 1000 ORDER BY page_id, sha256(record)
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
   FROM body
+), second AS (
+  SELECT file, "offset", CASE WHEN page_id % 101 = 7 THEN 'WARC/1.1' || substr(record, 9)
+    WHEN page_id % 103 = 11 THEN left(record, length(record) - 4) ELSE record END AS record
+  FROM laid WHERE coalesce(page_id % 211 <> 3, true)
+  UNION ALL SELECT file, "offset" + 1, record FROM laid WHERE page_id % 307 = 5
+), a AS (SELECT file, "offset", strlen(record) AS left_length, sha256(record) AS left_digest FROM laid
+), b AS (SELECT file, "offset", strlen(record) AS right_length, sha256(record) AS right_digest FROM second
 )
-SELECT file, "offset", CASE WHEN page_id % 211 = 3 THEN 'missing' ELSE 'corrupt' END AS status, length AS left_length,
-  CASE WHEN page_id % 211 <> 3 THEN length END AS right_length, digest AS left_digest,
-  CASE WHEN page_id % 211 <> 3 THEN sha256(digest || '!') END AS right_digest
-FROM laid WHERE page_id % 101 = 7 OR page_id % 211 = 3
+SELECT file, "offset", CASE WHEN right_digest IS NULL THEN 'missing' WHEN left_digest IS NULL THEN 'extra' ELSE 'corrupt' END AS status,
+  left_length, right_length, left_digest, right_digest
+FROM a FULL JOIN b USING (file, "offset") WHERE left_digest IS DISTINCT FROM right_digest OR left_length IS DISTINCT FROM right_length
 """
 
 

@@ -1,6 +1,7 @@
 """WARC: a Merkle fixity audit of replicas, in DataFrame functions.
 
-Records lie one after the other in files. A leaf of a file's tree covers ``leaf_bytes`` of offsets and hashes, in
+Records lie one after the other in files, as ``stored`` writes them; ``catalogue`` reads a replica's bytes and hashes each
+record in a pass of its own. A leaf of a file's tree covers ``leaf_bytes`` of offsets and hashes, in
 order of offset, the records that begin there; ``fanout`` neighbours form a node of the next level, up to one root a
 file. The files' roots are leaves of a tree over ``buckets`` of file names and one root of the replica. Offsets, not
 positions, decide where a record belongs, so a lost record disturbs its own leaf alone.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from brightloom.functions.runtime import materialise
 
 LEAF_BYTES, FANOUT, RUN = 1 << 16, 16, 1000
+MOST, COPIES = 1 << 16, 256  # records of a run that make one file; copies of a record that one task lays out
 
 
 def warc_record(url, page_id, html):
@@ -29,23 +31,45 @@ def warc_record(url, page_id, html):
     )
 
 
-def lay_out(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """The records of ``pages`` in files of ``run`` neighbouring page ids: file, offset, length, digest, page_id.
+def stored(pages: DataFrame, run: int = RUN, most: int = MOST) -> DataFrame:
+    """The records of ``pages`` as a replica holds them, written once: file, offset, record (bytes), page_id.
 
-    The place of a record depends on all records before it in its file, repeated pages included (in order of digest).
-    NULL page ids share the file ``none`` and are split by their digest into ``none-0`` to ``none-255``.
+    A file holds ``run`` neighbouring page ids (NULL ids: ``none``), in order of id and digest. A run of over ``most``
+    records, as one id or no id on many pages makes it, is dealt by digest to several files. Repeated records are counted
+    before they meet and lie one after the other, so that no task gathers them. No pages give no records.
     """
-    record = warc_record(F.col("url"), F.col("page_id"), F.col("html"))
     records = pages.select(
-        "page_id", F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest")
-    ).withColumn("file", F.coalesce(
-        F.floor(F.col("page_id") / run).cast("string"),
-        F.concat(F.lit("none-"), F.conv(F.substring("digest", 1, 2), 16, 10)),
-    ))
+        "page_id", F.encode(warc_record(F.col("url"), F.col("page_id"), F.col("html")), "UTF-8").alias("record"),
+        F.coalesce(F.floor(F.col("page_id") / run).cast("string"), F.lit("none")).alias("run"),
+    ).withColumn("digest", F.sha2("record", 256))
+    sizes = pages.groupBy(F.coalesce(F.floor(F.col("page_id") / run).cast("string"), F.lit("none")).alias("run")).agg(F.count("*").alias("c"))
+    parts = sizes.where(F.col("c") > most).select("run", F.ceil(F.col("c") / most).alias("parts"))  # at most rows / most rows
+    named = records.join(F.broadcast(parts), "run", "left").withColumn("file", F.when(F.col("parts").isNull(), F.col("run")).otherwise(
+        F.concat_ws("-", "run", F.pmod(F.xxhash64("digest"), F.col("parts")))))
+    different = named.groupBy("file", "page_id", "digest").agg(F.count("*").alias("n"), F.min("record").alias("record"))
+    size = F.octet_length("record").cast("long")
     before = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return records.select(
-        "file", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "digest", "page_id"
-    )
+    laid = materialise(different.select(
+        "file", "page_id", "record", "n", F.coalesce(F.sum(F.col("n") * size).over(before), F.lit(0)).cast("long").alias("start")), "laid")
+    many = laid.where(F.col("n") > COPIES).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    many = many.repartition("file", "start", "first").withColumn("last", F.least(F.col("first") + COPIES, "n") - 1)
+    few = laid.where(F.col("n") <= COPIES).withColumn("first", F.lit(0).cast("long")).withColumn("last", F.col("n") - 1)
+    copies = few.unionByName(many).withColumn("i", F.explode(F.sequence("first", "last")))
+    return materialise(copies.select("file", (F.col("start") + F.col("i") * size).alias("offset"), "record", "page_id"), "replica")
+
+
+def catalogue(records: DataFrame) -> DataFrame:
+    """file, offset, length, digest, page_id of a replica's records (file, offset, record, page_id), each read and hashed once.
+
+    What the audit reads is the table written here. NULL records have no length and no digest.
+    """
+    return materialise(records.select(
+        "file", "offset", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), "page_id"), "catalogue")
+
+
+def lay_out(pages: DataFrame, run: int = RUN, most: int = MOST) -> DataFrame:
+    """The catalogue of the stored records of ``pages``."""
+    return catalogue(stored(pages, run, most))
 
 
 def _gather(df: DataFrame, keys: list[str], order: str, digest) -> DataFrame:
