@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.functions.runtime import ship_by_value
+from brightloom.functions.runtime import materialise, ship_by_value
 from brightloom.llm import labelled
 from brightloom.llm.labelled import fold, logistic, probability, training_rows
 
@@ -77,7 +77,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=None, most: int = MOST_LABELLED,
         pieces_each: int | None = None):
     """(good dictionary, bad dictionary, weights), learned from one half of the labelled sample and calibrated on the other."""
-    rows = training_rows(docs, labels, label, F.lit(True) if allowed is None else allowed, most)
+    rows = materialise(training_rows(docs, labels, label, F.lit(True) if allowed is None else allowed, most), "labelled")
 
     def sample(batches):
         for batch in batches:
