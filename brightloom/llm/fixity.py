@@ -49,8 +49,8 @@ def stored(pages: DataFrame, run: int = RUN, most: int = MOST) -> DataFrame:
     different = named.groupBy("file", "page_id", "digest").agg(F.count("*").alias("n"), F.min("record").alias("record"))
     size = F.octet_length("record").cast("long")
     before = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    laid = materialise(different.select(
-        "file", "page_id", "record", "n", F.coalesce(F.sum(F.col("n") * size).over(before), F.lit(0)).cast("long").alias("start")), "laid")
+    laid = different.select(
+        "file", "page_id", "record", "n", F.coalesce(F.sum(F.col("n") * size).over(before), F.lit(0)).cast("long").alias("start"))
     many = laid.where(F.col("n") > COPIES).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
     many = many.repartition("file", "start", "first").withColumn("last", F.least(F.col("first") + COPIES, "n") - 1)
     few = laid.where(F.col("n") <= COPIES).withColumn("first", F.lit(0).cast("long")).withColumn("last", F.col("n") - 1)
