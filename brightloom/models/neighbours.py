@@ -7,6 +7,9 @@ cluster, so no bucket can overflow and no key can become hot; equal rows are cou
 tables * 2 * window for each query; with at most 2 * window distinct rows the answer is exact.
 
 The quantiles are those of a bounded sample of ``sample`` rows; all rows are coded and searched.
+
+With ``exact`` every query is compared with every distinct row instead: blocks of rows and parts of the queries, both of
+bounded size, meet in one cell each, and a cell gives at most ``k`` rows for a query. Work is then queries times rows.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from brightloom.functions.runtime import materialise, ship_by_value
 from brightloom.models import batches as ba
 
 BITS, SEED = 63, 42
+BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20   # rows of a block, and queries of a part, that meet in one cell
 
 ship_by_value(ba.__name__)
 ship_by_value(__name__)
@@ -116,6 +120,56 @@ def _searcher(schema, size: int, wide: int, k: int):
     return search
 
 
+def _nearest(stored, ids, x, k: int):
+    """(query, id, squared distance, label, n) of the ``k`` rows nearest to each query; ties by label, then id.
+
+    Products rule out what is farther for certain; the rest is measured by differences.
+    """
+    rows, own, labels, counts, lengths = stored
+    for low in range(0, len(x), 64):
+        some = x[low : low + 64]
+        squares = (some**2).sum(1)
+        rough = lengths[None, :] - 2 * (some @ rows.T) + squares[:, None]
+        slack = 1e-14 * (rows.shape[1] + 8) * (squares + lengths.max())
+        reach = np.inf if len(rows) <= k else np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack
+        kept = ~(rough > np.broadcast_to(reach, len(some))[:, None])   # those that are no number stay
+        for i, (q, v) in enumerate(zip(ids[low : low + 64].tolist(), some)):
+            at = np.flatnonzero(kept[i])
+            d = ((rows[at] - v) ** 2).sum(1)
+            for j in np.lexsort((own[at], labels[at], d))[:k].tolist():
+                yield q, int(own[at[j]]), float(d[j]), float(labels[at[j]]), int(counts[at[j]])
+
+
+def _comparer(schema, k: int):
+    """Over rows sorted by (cell, query): the nearest rows of a cell's block for each query of its part."""
+
+    def compare(batches):
+        at, parts, stored = None, [], None
+        for batch in batches:
+            out = []
+            cells, query = batch["cell"].to_numpy(), batch["query"].to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(query) != 0)) + 1
+            for start, stop in zip(np.append(0, cuts).tolist(), np.append(cuts, len(cells)).tolist()):
+                if start == stop:
+                    continue
+                piece = batch.slice(start, stop - start)
+                if cells[start] != at:
+                    at, parts, stored = cells[start], [], None
+                x, ids = ba.matrix(piece["x"]), piece["id"].to_numpy()
+                if not query[start]:
+                    parts.append((x, ids, piece["label"].to_numpy(), piece["n"].to_numpy()))
+                    continue
+                if stored is None and parts:
+                    stored = [np.concatenate(c) for c in zip(*parts)]
+                    stored.append((stored[0] ** 2).sum(1))
+                    parts = []
+                if stored is not None:
+                    out += _nearest(stored, ids, x, k)
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
+
+    return compare
+
+
 class _Settings(Params):
     def __init__(self):
         super().__init__()
@@ -125,7 +179,8 @@ class _Settings(Params):
         self.tables = Param(self, "tables", "random orders", whole)
         self.window = Param(self, "window", "rows looked at on each side in each order", whole)
         self.sample = Param(self, "sample", "rows whose quantiles shape the codes", whole)
-        self._setDefault(k=5, weights="uniform", tables=8, window=96, sample=8192)
+        self.exact = Param(self, "exact", "compare each query with all rows", TypeConverters.toBoolean)
+        self._setDefault(k=5, weights="uniform", tables=8, window=96, sample=8192, exact=False)
 
 
 class Neighbours(Estimator, _Settings):
@@ -160,6 +215,8 @@ class NeighboursModel(Model, _Settings):
 
     def neighbours(self, queries: DataFrame) -> DataFrame:
         """(query, id, distance, label, n): for each query (id, x), the nearest rows found, at least ``k`` if there are any."""
+        if self.getOrDefault(self.exact):
+            return self._compared(queries)
         spark, k = queries.sparkSession, self.getOrDefault(self.k)
         wide = 2 * self.getOrDefault(self.window)
         both = self._coded(self.rows).withColumn("query", F.lit(0)).unionByName(self._coded(queries).withColumn("query", F.lit(1)))
@@ -189,6 +246,20 @@ class NeighboursModel(Model, _Settings):
         found = cells.mapInArrow(_searcher(ba.arrow_schema(spark, ddl), size, wide, k), ddl)
         return found.groupBy("query", "id").agg(F.min("distance").alias("distance"), F.min("label").alias("label"), F.min("n").alias("n"))
 
+    def _compared(self, queries: DataFrame) -> DataFrame:
+        """As ``neighbours``, by comparison with all rows: the nearest of each block."""
+        spark, width = queries.sparkSession, max(1, self.directions.shape[1])
+        blocks = max(1, -(-self.n * 8 * width // BLOCK_BYTES))
+        parts = max(1, -(-queries.count() * 8 * width // PART_BYTES))
+        block, part = (F.pmod(F.xxhash64("id"), F.lit(n)) for n in (blocks, parts))
+        stored = self.rows.select("id", "x", "label", "n", F.lit(0).alias("query"), F.explode(
+            F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: block * parts + i)).alias("cell"))
+        asked = queries.select("id", "x", F.lit(None).cast("double").alias("label"), F.lit(None).cast("long").alias("n"), F.lit(1).alias("query"), F.explode(
+            F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: i * parts + part)).alias("cell"))
+        cells = stored.unionByName(asked).repartition(blocks * parts, "cell").sortWithinPartitions("cell", "query")
+        ddl = "query long, id long, distance double, label double, n long"
+        return cells.mapInArrow(_comparer(ba.arrow_schema(spark, ddl), self.getOrDefault(self.k)), ddl)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         k, weights = self.getOrDefault(self.k), self.getOrDefault(self.weights)
         asked = materialise(df.withColumn("_query", F.monotonically_increasing_id()), "asked")

@@ -1207,7 +1207,7 @@ def _held_out(name):
 def train_neighbours(spark, folder):
     """The label of held-out embeddings by their nearest neighbours among the others."""
     rows = table(spark, folder, "embeddings").select("vec_id", col("embedding").cast("array<double>").alias("features"), "label")
-    model = neighbours.Neighbours(k=5, window=256).fit(rows.where(~_held_out("vec_id")))
+    model = neighbours.Neighbours(k=5, exact=True).fit(rows.where(~_held_out("vec_id")))
     return model.transform(rows.where(_held_out("vec_id"))).select("vec_id", "label", col("prediction").cast("int").alias("prediction"))
 
 

@@ -114,6 +114,18 @@ def test_neighbours_come_near_the_exact_ones(spark):
     assert near.count() <= 300 * 5 * 8 * 2  # never all pairs
 
 
+def test_exact_neighbours_of_more_rows_than_a_window_holds(spark, monkeypatch):
+    x, y = three_groups(3000, 3, 24)
+    x[2000:2400], y[2000:2200] = x[:400], 2.0   # repeated rows, some with another label
+    x[:50] += 1e6   # far away, so that products lose digits
+    q = np.concatenate([three_groups(300, 4, 24)[0], x[:60]])
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 1 << 16)
+    monkeypatch.setattr(neighbours, "PART_BYTES", 1 << 14)
+    model = neighbours.Neighbours(k=5, exact=True).fit(vectors(spark, x, label=y))
+    got = model.transform(vectors(spark, q, at=np.arange(len(q)))).orderBy("at").collect()
+    assert [r["prediction"] for r in got] == exact(x, y, q, 5).tolist()
+
+
 def test_neighbours_of_copies_and_of_nothing(spark):
     x = np.concatenate([np.zeros((900, 2)), np.random.default_rng(1).normal(size=(600, 2)) + 4])
     y = np.r_[np.zeros(900), np.ones(600)]
