@@ -1,10 +1,11 @@
 """Profiles of many tables in a constant number of jobs, however many tables and columns there are.
 
 1. counts of every column and of texts that are no dates: one aggregate row for each table
-2. distinct values and the smallest and largest class: cells (table, column, value) counted together
-3. a bounded sample of each numeric column, which proposes brackets around the quartiles' ranks
-4. the values inside the brackets and the counts between them, which give exact quartiles; a bracket that missed, or is
-   still too full, is taken up again with the others
+2. distinct values and the smallest and largest class: each column grouped on its own, by its own type, in one job
+3. a bounded sample of each numeric column, of which those around the quartiles' ranks are ends
+4. counts at the ends and between them, which place each rank at an end or between two; what lies there is sampled and counted
+   again, until it is so little that the sample holds all of it and the rank is read from it. Each round cuts what is left
+   by a hundred or more, and both passes read the columns of a table side by side
 5. values outside the fences: one aggregate row for each table
 """
 
@@ -13,45 +14,49 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.functions.columns import col, dtype_of, is_nested, text_columns
 from brightloom.functions.quantiles import FEW, MOST_ROUNDS
+from brightloom.functions.runtime import ship_by_value
 
-SAMPLE, READ_OUT = 400_000, 500_000   # values of all columns together that reach the driver in steps 3 and 4, about
+ship_by_value(__name__)
+
+SAMPLE, READ_OUT = 400_000, 500_000   # values of all columns together that reach the driver: sampled, and read out in the end, about
+MOST_ENDS = 128                       # sampled values at which is counted, for each rank
 LONG = 32                             # a longer text is counted by its md5
 
 Key = tuple[int, int]
 
 
-def _together(parts: Sequence[DataFrame]) -> list:
-    return reduce(DataFrame.unionAll, parts).collect() if parts else []
+class Span(NamedTuple):
+    """Bounds that hold a wanted value, the values below them, and between them, themselves included."""
 
+    low: float
+    high: float
+    before: int
+    size: int
 
-def _cells(tables: Sequence[DataFrame], columns: Sequence[Sequence[str]], value) -> DataFrame | None:
-    """(t, c, v): a row for each value that is there, of the given columns."""
-    parts = []
-    for t, (df, names) in enumerate(zip(tables, columns)):
-        if not names:
-            continue
-        cells = F.array(*[F.struct(F.lit(df.columns.index(n)).alias("c"), value(df, n).alias("v")) for n in names])
-        parts.append(df.select(F.explode(cells).alias("e")).select(F.lit(t).alias("t"), "e.c", "e.v").where("v is not null"))
-    return reduce(DataFrame.unionAll, parts) if parts else None
+
+def _together(parts: Sequence[DataFrame]) -> list:
+    return reduce(DataFrame.unionAll, parts).collect() if parts else []
 
 
 def _number(df: DataFrame, name: str):
     return F.nanvl(col(name).cast("double"), F.lit(math.inf))
 
 
-def _text(df: DataFrame, name: str):
-    value = col(name)
-    if dtype_of(df, name).typeName() in ("double", "float"):
-        value = value + F.lit(0).cast(dtype_of(df, name))   # -0.0 is 0.0
-    text = value.cast("string")
-    return F.when(F.octet_length(text) > LONG, F.concat(F.lit("md5 "), F.md5(text))).otherwise(text)
+def _class(df: DataFrame, name: str):
+    """What equal values share; 0.0 and -0.0 are grouped as one."""
+    if dtype_of(df, name).typeName() not in ("string", "varchar", "char"):
+        return col(name)
+    return F.when(F.octet_length(col(name)) > LONG, F.concat(F.lit("md5 "), F.md5(col(name)))).otherwise(col(name))
 
 
 def counts(tables: Sequence[DataFrame], parse_date) -> list[tuple[int, dict[str, int], set[str]]]:
@@ -71,153 +76,154 @@ def counts(tables: Sequence[DataFrame], parse_date) -> list[tuple[int, dict[str,
 
 def classes(tables: Sequence[DataFrame]) -> dict[Key, tuple[int, int, int]]:
     """(table, column): distinct values, and the rows of the rarest and of the most frequent."""
-    names = [[c for c in df.columns if not is_nested(dtype_of(df, c))] for df in tables]
-    cells = _cells(tables, names, _text)
-    if cells is None:
-        return {}
-    each = cells.groupBy("t", "c", "v").agg(F.count("*").alias("n"))
-    found = each.groupBy("t", "c").agg(F.count("*").alias("d"), F.min("n").alias("low"), F.max("n").alias("high"))
-    return {(r["t"], r["c"]): (r["d"], r["low"], r["high"]) for r in found.collect()}
+    parts = []
+    for t, df in enumerate(tables):
+        for c, name in enumerate(df.columns):
+            if not is_nested(dtype_of(df, name)):
+                each = df.where(col(name).isNotNull()).groupBy(_class(df, name).alias("v")).agg(F.count("*").alias("n"))
+                parts.append(each.agg(F.lit(t).alias("t"), F.lit(c).alias("c"), F.count("*").alias("d"), F.min("n").alias("low"), F.max("n").alias("high")))
+    return {(r["t"], r["c"]): (r["d"], r["low"], r["high"]) for r in _together(parts) if r["d"]}
 
 
 def quantiles(tables: Sequence[DataFrame], columns: Sequence[Sequence[str]], present: Sequence[dict[str, int]],
               probabilities: Sequence[float], sample: int = SAMPLE, read_out: int = READ_OUT) -> dict[Key, list[float]]:
     """Linearly interpolated exact quantiles of every (table, column) with values."""
-    names = [[c for c in own if n[c]] for own, n in zip(columns, present)]
-    cells = _cells(tables, names, _number)
-    if cells is None:
-        return {}
-    spark = tables[0].sparkSession
-    total = {(t, tables[t].columns.index(c)): present[t][c] for t, own in enumerate(names) for c in own}
     wanted: dict[tuple[Key, int], float | None] = {}
     asked: dict[Key, list[tuple[int, int, float]]] = {}
-    for key, n in total.items():
-        for p in probabilities:
-            place = p * (n - 1)
-            low = math.floor(place)
-            high = min(low + 1, n - 1)
-            asked.setdefault(key, []).append((low, high, place - low))
-            wanted[key, low] = wanted[key, high] = None
-    # The wanted value of a rank lies in its bracket; ``size`` values do at most.
-    bracket = {target: (-math.inf, math.inf) for target in wanted}
-    size = {target: total[target[0]] for target in wanted}
-    before = dict.fromkeys(wanted, 0)   # values below the bracket
-    for _ in range(MOST_ROUNDS):
+    span: dict[tuple[Key, int], Span] = {}
+    for t, own in enumerate(columns):
+        for c in own:
+            n, key = present[t][c], (t, tables[t].columns.index(c))
+            whole = Span(-math.inf, math.inf, 0, n)
+            for p in probabilities if n else ():
+                place = p * (n - 1)
+                low = math.floor(place)
+                high = min(low + 1, n - 1)
+                asked.setdefault(key, []).append((low, high, place - low))
+                for rank in (low, high):
+                    wanted[key, rank], span[key, rank] = None, whole
+    for number in range(MOST_ROUNDS):
         still = [target for target, value in wanted.items() if value is None]
         if not still:
             break
-        keys = sorted({key for key, _ in still})
-        narrow = dict(bracket)
-        full = {(key, *bracket[key, rank]): size[key, rank] for key, rank in still}
-        if sum(full.values()) > read_out:
-            narrow = _narrowed(spark, cells, still, keys, bracket, size, before, sample)
-        for target, (value, low, high, below, inside) in _read(spark, cells, still, narrow, read_out).items():
-            wanted[target] = value
-            bracket[target], before[target], size[target] = (low, high), below, inside
+        open_: dict[Key, set[Span]] = {}
+        for key, rank in still:
+            open_.setdefault(key, set()).add(span[key, rank])
+        spans = {key: sorted(own) for key, own in open_.items()}
+        total, parts = sum(s.size for own in spans.values() for s in own), sum(map(len, spans.values()))
+        each = math.inf if total <= max(read_out, FEW * parts) else max(FEW, sample // parts)
+        drawn = _drawn(tables, spans, each, number)
+        ends: dict[tuple[Key, Span], set[float]] = {}
+        for key, rank in still:
+            own = span[key, rank]
+            found = drawn.get((key, own), np.zeros(0))
+            if own.size <= each:
+                wanted[key, rank] = float(found[rank - own.before])
+            else:
+                ends.setdefault((key, own), set()).update(_ends(found, (rank - own.before + 0.5) / own.size))
+        if not ends:
+            continue
+        counted = _counted(tables, ends)
+        for key, rank in still:
+            if (key, span[key, rank]) in ends:
+                wanted[key, rank], span[key, rank] = _closer(rank, span[key, rank], *counted[key, span[key, rank]])
     else:
         raise RuntimeError("the quantile brackets did not close")
     return {key: [wanted[key, a] + (wanted[key, b] - wanted[key, a]) * part for a, b, part in own] for key, own in asked.items()}
 
 
-def _small(spark, rows: list, ddl: str) -> DataFrame:
-    """A table of a few entries for each column of the tables, which may be broadcast."""
-    return F.broadcast(spark.createDataFrame(rows, ddl))
-
-
-def _merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    out: list[list[float]] = []
-    for low, high in sorted(set(brackets)):
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return [tuple(b) for b in out]
-
-
-def _narrowed(spark, cells, still, keys, bracket, size, before, sample):
-    """Brackets proposed by a sample of the values inside the present ones."""
-    each = max(100, sample // max(1, len(keys)))
-    rows = []
-    for key in keys:
-        own = [t for t in still if t[0] == key]
-        spans = _merged([bracket[t] for t in own])
-        sizes = {bracket[t]: size[t] for t in own}
-        shares = [min(1.0, each / max(1, sum(n for (low, high), n in sizes.items() if a <= low and high <= b))) for a, b in spans]
-        rows.append((*key, [a for a, _ in spans], [b for _, b in spans], shares))
-    spans = _small(spark, rows, "t int, c int, lows array<double>, highs array<double>, shares array<double>")
-    inside = F.exists(
-        F.arrays_zip("lows", "highs", "shares"), lambda s: (F.col("v") >= s["lows"]) & (F.col("v") <= s["highs"]) & (F.col("_draw") < s["shares"]))
-    drawn = cells.withColumn("_draw", F.rand(17)).join(spans, ["t", "c"]).where(inside).select("t", "c", "v").toArrow().to_pandas()
-    samples = {key: np.sort(part["v"].to_numpy()) for key, part in drawn.groupby(["t", "c"])}
-    out = {}
-    for target in still:
-        key, rank = target
-        low, high = bracket[target]
-        found = samples.get(key, np.zeros(0))
-        found = found[(found >= low) & (found <= high)]
-        if len(found):
-            share = (rank - before[target] + 0.5) / size[target]
-            margin = 4.5 * math.sqrt(max(share * (1 - share), 0.0) * len(found)) + 3
-            first, last = math.floor(share * len(found) - margin), math.ceil(share * len(found) + margin)
-            low = float(found[first]) if first >= 0 else low
-            high = float(found[last]) if last < len(found) else high
-            if (low, high) == bracket[target]:   # too few to tell: halve it at the likeliest value
-                low = high = float(found[min(len(found) - 1, int(share * len(found)))])
-        out[target] = (low, high)
+def _by_table(tables, keys, task, ddl: str) -> DataFrame:
+    """The rows that ``task(t, columns)`` makes of the batches of each table, which hold the given columns as doubles."""
+    parts = []
+    for t in sorted({t for t, _ in keys}):
+        own = sorted(c for u, c in keys if u == t)
+        names = [tables[t].columns[c] for c in own]
+        parts.append(tables[t].select(*[_number(tables[t], n).alias(f"v{c}") for n, c in zip(names, own)]).mapInArrow(task(t, own), ddl))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _values(batch, c: int) -> np.ndarray:
+    return batch[f"v{c}"].drop_null().to_numpy(zero_copy_only=False) + 0.0    # -0.0 is 0.0
+
+
+def _drawn(tables, spans: dict[Key, list[Span]], each: float, number: int) -> dict:
+    """About ``each`` of the values in each span, sorted; all of them if there are no more."""
+    def task(t, columns):
+        own = [(c, [(i, s.low, s.high, min(1.0, each / max(1, s.size))) for i, s in enumerate(spans[t, c])]) for c in columns]
+
+        def draw(batches):
+            rng = np.random.default_rng([17, number, t, TaskContext.get().partitionId()])
+            for batch in batches:
+                out = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))]
+                for c, ranges in own:
+                    v = _values(batch, c)
+                    for i, low, high, share in ranges:
+                        inside = v if (low, high) == (-math.inf, math.inf) else v[(v >= low) & (v <= high)]
+                        inside = inside if share >= 1 else inside[rng.random(len(inside)) < share]
+                        out.append((np.full(len(inside), c, np.int32), np.full(len(inside), i, np.int32), inside))
+                column, place, value = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(value), t, np.int32)), pa.array(column), pa.array(place), pa.array(value)], ["t", "c", "i", "v"])
+
+        return draw
+
+    rows = _by_table(tables, spans, task, "t int, c int, i int, v double").toArrow().to_pandas()
+    return {((t, c), spans[t, c][i]): np.sort(part["v"].to_numpy()) for (t, c, i), part in rows.groupby(["t", "c", "i"])}
+
+
+def _ends(found: np.ndarray, share: float) -> list[float]:
+    """Up to ``MOST_ENDS`` sampled values around the wanted one, so wide that they miss it hardly ever."""
+    if not len(found):
+        return []
+    margin = 4.5 * math.sqrt(share * (1 - share) * len(found)) + 3
+    first, last = max(0, math.floor(share * len(found) - margin)), min(len(found) - 1, math.ceil(share * len(found) + margin))
+    places = np.linspace(first, last, min(MOST_ENDS, last - first + 1)).round().astype(int)
+    return found[places].tolist()
+
+
+def _counted(tables, ends: dict[tuple[Key, Span], set[float]]) -> dict:
+    """(ends, values in each region) of each span. Region 2i + 1 is the i-th end, 2i what lies below it."""
+    at: dict[Key, list] = {}
+    for (key, own), points in sorted(ends.items()):
+        at.setdefault(key, []).append((own, np.array(sorted(points))))
+
+    def task(t, columns):
+        own = [(c, [(s.low, s.high, points) for s, points in at[t, c]]) for c in columns]
+
+        def count(batches):
+            sums = {(c, i): np.zeros(2 * len(points) + 1, np.int64) for c, ranges in own for i, (_, _, points) in enumerate(ranges)}
+            for batch in batches:
+                for c, ranges in own:
+                    v = _values(batch, c)
+                    for i, (low, high, points) in enumerate(ranges):
+                        inside = v if (low, high) == (-math.inf, math.inf) else v[(v >= low) & (v <= high)]
+                        place = np.searchsorted(points, inside)
+                        region = 2 * place + (np.append(points, np.nan)[place] == inside)
+                        sums[c, i] += np.bincount(region, minlength=2 * len(points) + 1)
+            for (c, i), n in sums.items():
+                r = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.full(len(r), x, np.int32)) for x in (t, c, i)), pa.array(r.astype(np.int32)), pa.array(n[r])], ["t", "c", "i", "r", "n"])
+
+        return count
+
+    rows = _by_table(tables, at, task, "t int, c int, i int, r int, n long").groupBy("t", "c", "i", "r").agg(F.sum("n").alias("n")).collect()
+    out = {(key, own): (points, np.zeros(2 * len(points) + 1, np.int64)) for key, all_ in at.items() for own, points in all_}
+    for r in rows:
+        key = (r["t"], r["c"])
+        out[key, at[key][r["i"]][0]][1][r["r"]] = r["n"]
     return out
 
 
-def _read(spark, cells, still, narrow, read_out):
-    """One pass: how many values lie at and between the ends of the proposed brackets, and, if those are few, which.
-
-    For each rank (value, low, high, below, inside): its value, or the bounds between which it lies, with the number of
-    values below and between them. A value at an end is counted on its own, so a hot value closes its ranks.
-    """
-    ends = {}
-    for key, rank in still:
-        ends.setdefault(key, set()).update(e for e in narrow[key, rank] if math.isfinite(e))
-    ends = {key: sorted(own) for key, own in ends.items()}
-    rows = []
-    for key, own in ends.items():
-        lows = np.array([-math.inf] + [x for e in own for x in (e, e)])   # region 2i + 1 is the i-th end, 2i what lies below it
-        highs = np.array([x for e in own for x in (e, e)] + [math.inf])
-        covered = [r for r in range(2 * len(own) + 1) if any(a <= lows[r] and highs[r] <= b for a, b in (narrow[t] for t in still if t[0] == key))]
-        rows.append((*key, own, covered))
-    known = _small(spark, rows, "t int, c int, ends array<double>, covered array<int>")
-    v = F.col("v")
-    placed = cells.join(known, ["t", "c"]).withColumn("r", 2 * F.size(F.filter("ends", lambda e: e < v)) + F.array_contains("ends", v).cast("int"))
-    shown = F.when(F.array_contains("covered", F.col("r")) & (F.col("r") % 2 == 0), v).alias("v")
-    each = placed.select("t", "c", "r", shown).groupBy("t", "c", "r", "v").agg(F.count("*").alias("n"))
-    sums = each.groupBy("t", "c", "r").agg(F.sum("n").alias("n"), F.count("v").alias("d")).collect()
-    sizes: dict[Key, list] = {}
-    for row in sums:
-        sizes.setdefault((row["t"], row["c"]), []).append((row["r"], row["n"], row["d"]))
-    met = {}
-    for key, rank in still:
-        below = 0
-        for r, n, d in sorted(sizes[key]):
-            if rank < below + n:
-                met[key, rank] = (r, below, n, d)
-                break
-            below += n
-    inner = {(key, r): d for (key, _), (r, _, _, d) in met.items() if r % 2 == 0 and d}
-    values = {}
-    if inner and sum(inner.values()) <= max(read_out, FEW * len(inner)):
-        asked = _small(spark, [(*key, r) for key, r in inner], "t int, c int, r int")
-        found = each.where("v is not null").join(asked, ["t", "c", "r"]).toArrow().to_pandas().sort_values("v")
-        values = {(key[:2], key[2]): (part["v"].to_numpy(), np.cumsum(part["n"].to_numpy())) for key, part in found.groupby(["t", "c", "r"])}
-    out = {}
-    for (key, rank), (r, below, n, _) in met.items():
-        own, value = ends[key], None
-        if r % 2:
-            value = own[r // 2]
-        elif (key, r) in values:
-            shown, upto = values[key, r]
-            value = float(shown[np.searchsorted(upto, rank - below, side="right")])
-        low = float(np.nextafter(own[r // 2 - 1], math.inf)) if r > 1 else -math.inf
-        high = float(np.nextafter(own[r // 2], -math.inf)) if r < 2 * len(own) else math.inf
-        out[key, rank] = (value, low, high, below, n)
-    return out
+def _closer(rank: int, own: Span, points: np.ndarray, counts: np.ndarray) -> tuple[float | None, Span]:
+    """The value of a rank, if it is an end, or the region between two ends that holds it."""
+    upto = np.cumsum(counts)
+    r = int(np.searchsorted(upto, rank - own.before, side="right"))
+    if r % 2:
+        return float(points[r // 2]), own
+    low = float(np.nextafter(points[r // 2 - 1], math.inf)) if r else own.low
+    high = float(np.nextafter(points[r // 2], -math.inf)) if r < 2 * len(points) else own.high
+    return None, Span(low, high, own.before + int(upto[r] - counts[r]), int(counts[r]))
 
 
 def outside(tables: Sequence[DataFrame], fences: Sequence[dict[str, tuple[float, float]]]) -> list[int]:

@@ -161,3 +161,31 @@ def test_grouped_quantiles_of_hot_values(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 4000, 7.0).otherwise(F.col("id").cast("double")).alias("v"))
     found = many_profiles.quantiles([df], [["v"]], [{"v": 5000}], (0.0, 0.5, 0.79, 0.9, 1.0), sample=60, read_out=30)
     assert found[0, 0] == pytest.approx([7, 7, 7, 4499.1, 4999])
+
+
+def test_grouped_quantiles_read_the_tables_a_few_times(spark):
+    from brightloom.operators import many_profiles
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    n = 200_000
+    values = np.random.default_rng(2).lognormal(sigma=3, size=n)
+    values[: n // 3] = -0.0
+    df = spark.createDataFrame(pd.DataFrame({"v": values, "w": np.round(values, 1)})).mapInArrow(counted, "v double, w double")
+    found = many_profiles.quantiles([df], [["v", "w"]], [{"v": n, "w": n}], (0.25, 0.5, 0.75), sample=1000, read_out=300)
+    for c, name in enumerate("vw"):
+        assert found[0, c] == pytest.approx(pd.Series(np.round(values, 1) if c else values).quantile([0.25, 0.5, 0.75]).tolist())
+    assert read.value <= 6 * n
+
+
+def test_classes_group_each_column_by_its_own_type(spark):
+    from brightloom.operators import many_profiles
+
+    df = spark.createDataFrame([(0.0, "a", True), (-0.0, "b" * 40, None), (float("nan"), "b" * 40, None), (float("nan"), None, None)],
+                               "d double, s string, b boolean")
+    assert many_profiles.classes([df, df.limit(0)]) == {(0, 0): (2, 2, 2), (0, 1): (2, 1, 2), (0, 2): (1, 1, 1)}
