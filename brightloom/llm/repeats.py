@@ -18,15 +18,17 @@ distinct contexts has its windows counted by a 128-bit hash instead, which no ta
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import materialise, ship_by_value
-from brightloom.llm.lean import lean
+from brightloom.llm.lean import give_back, lean
 from brightloom.llm.names import free, own
 
 ship_by_value(__name__)
@@ -338,17 +340,29 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = materialise(repeated(docs, length), "spans")
     keyed = docs.select("doc_id", "text", _key().alias("tkey"))
     return keyed.join(_broadcast(spans, MOST_TEXTS), "tkey", "left").drop("tkey").mapInArrow(
-        run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+        lean(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The columns of ``docs`` with repeated bytes gone from ``text``; parts of characters that remain go, too."""
-    @F.udf("string", useArrow=True)
-    def rest(text, spans):
-        if text is None or spans is None:
-            return text
+    def cleared(text, spans):
         return kept(_bytes(text), list(zip(spans["a"], spans["b"]))).decode("utf-8", "ignore")
 
+    @F.arrow_udf("string")
+    def rest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            out = []
+            for low in range(0, len(texts), 500):
+                some, cuts = texts.slice(low, 500), spans.slice(low, 500)
+                hit = np.flatnonzero(pc.and_(some.is_valid(), cuts.is_valid()).to_numpy(zero_copy_only=False))
+                new = [cleared(some[i].as_py(), cuts[i].as_py()) for i in hit.tolist()]
+                mask = np.zeros(len(some), bool)
+                mask[hit] = True
+                out.append(pc.replace_with_mask(some, pa.array(mask), pa.array(new, some.type)))
+            yield pa.concat_arrays(out) if out else texts
+            del texts, spans, out
+        give_back()
+
     key, cut = free(docs, "tkey"), free(docs, "spans")
     spans = materialise(repeated(docs, length), "spans").select(
         F.col("tkey").alias(key), F.struct(F.col("spans.a").alias("a"), F.col("spans.b").alias("b")).alias(cut))
