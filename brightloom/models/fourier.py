@@ -18,6 +18,7 @@ from brightloom.functions.runtime import ship_by_value
 from brightloom.models import batches as ba
 
 SEED = 42
+TASK_BYTES = 4 << 20   # of lifted rows that a task goes over in every iteration, about
 
 ship_by_value(ba.__name__)
 ship_by_value(__name__)
@@ -73,7 +74,9 @@ class KernelMachine(Estimator, _Settings):
         classes = df.agg(F.max("label")).first()[0]
         if classes is not None and classes > 1:
             machine = cl.OneVsRest(classifier=machine, featuresCol="lifted")
-        return KernelMachineModel(lift, machine.fit(_lifted(df, lift)))
+        tasks = -(-n * 8 * (width if lift is None else self.getOrDefault(self.components)) // TASK_BYTES)
+        spread = df.repartition(tasks) if tasks > df.rdd.getNumPartitions() else df
+        return KernelMachineModel(lift, machine.fit(_lifted(spread, lift)))
 
 
 class KernelMachineModel(Model):

@@ -34,6 +34,7 @@ from brightloom.operators.missing import lags as lags_of
 from brightloom.plans import knowledge as kb
 
 SEED = 42
+TASK_BYTES = 32 << 20   # of prepared rows that a task of an iterative fit keeps, about
 TRAIN_SHARE = 0.8
 KEPT_VARIANCE = 0.95
 
@@ -282,7 +283,7 @@ def train(df: DataFrame, algorithm: str, target: str | None = None, rounds: int
         skip += ["censor"] + ([censor] if censor else [])
     skip += [c for c in (order_by or []) if c not in skip]
 
-    ready = _typed(df, algorithm, skip)
+    ready = materialise(_typed(df, algorithm, skip), "ready")   # read by every fit of the preparation and by the evaluation
     supervised = category not in ("clustering", "dimensionality_reduction")
     train_rows, test_rows = split(ready) if supervised else (ready, ready)
     classes = label.rows if label is not None else 0
@@ -300,11 +301,20 @@ def train(df: DataFrame, algorithm: str, target: str | None = None, rounds: int
     prep = PipelineModel([coded, *prep.stages]) if coded else prep
     width = len(train_set.select("features").first()[0])
     estimator = _model(algorithm, width, classes, rounds, trees)
-    model = estimator.fit(train_set)
+    model = estimator.fit(_spread(train_set, len(ready.columns)))
     predictions = model.transform(test_set)
     return Trained(algorithm, prep, model, _metrics(category, model, predictions, algorithm), predictions)
 
 
+def _spread(rows: DataFrame, columns: int) -> DataFrame:
+    """The rows in so many tasks that each holds a bounded part of them, as fits keep what their tasks have read.
+
+    A vector holds at most about as many values as there were columns, as flags are sparse.
+    """
+    tasks = -(-rows.count() * (128 + 16 * columns) // TASK_BYTES)
+    return rows.repartition(tasks) if tasks > rows.rdd.getNumPartitions() else rows
+
+
 def _lag_features(df, target, order_by, partition_by, lags):
     if not order_by:
         raise StepError("train", "a time series needs order_by")

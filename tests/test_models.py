@@ -251,3 +251,45 @@ def test_components_of_wide_sparse_rows(spark):
 def test_array_features(spark):
     df = spark.createDataFrame([([0.0, 1.0],), ([1.0, 0.0],)], "x array<double>").select(array_to_vector("x").alias("features"))
     assert agglomerate.JoinedClusters(2).fit(df).transform(df).select("prediction").distinct().count() == 2
+
+
+# -- what a fit reads and keeps ----------------------------------------------------
+
+
+def test_kernel_training_reads_its_table_a_few_times_and_spreads_it(spark, monkeypatch):
+    from brightloom.plans import training
+
+    read, tasks = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    lifted = fourier._lifted
+    monkeypatch.setattr(fourier, "TASK_BYTES", 1 << 19, raising=False)
+    monkeypatch.setattr(fourier, "_lifted", lambda df, lift: tasks.append(df.rdd.getNumPartitions()) or lifted(df, lift))
+    df = spark.range(0, 1500, 1, 1).selectExpr("cast(id % 37 as double) as a", "cast(id % 11 as double) as b", "id % 37 > 18 as y").mapInArrow(
+        counted, "a double, b double, y boolean")
+    found = training.train(df, "svm_classifier", "y").metrics
+    assert found.where("metric = 'accuracy'").first()["value"] > 0.9
+    assert read.value <= 4 * 1500 and tasks[0] >= 4
+
+
+def test_clustering_keeps_a_bounded_part_of_the_rows_in_a_task(spark, monkeypatch):
+    from brightloom.plans import training
+
+    tasks, made = [], training._model
+
+    def watched(*args):
+        estimator = made(*args)
+        fit = estimator.fit
+        estimator.fit = lambda df: tasks.append(df.rdd.getNumPartitions()) or fit(df)
+        return estimator
+
+    monkeypatch.setattr(training, "_model", watched)
+    monkeypatch.setattr(training, "TASK_BYTES", 1 << 16, raising=False)
+    df = spark.range(0, 3000, 1, 1).selectExpr("cast(id % 3 * 100 + id % 7 as double) as a", "cast(id % 3 as string) as t")
+    found = training.train(df, "kmeans").metrics
+    assert sorted(r["value"] for r in found.where("metric = 'size'").collect()) == [1000, 1000, 1000]
+    assert tasks[0] >= 3000 * 100 // (1 << 16)
