@@ -7,8 +7,10 @@ keeps copies of a hot text apart by their own edits.
 
 1. Classes with the same first shingle are clustered around leaders (``LEADERS`` at a time) that they are similar to.
    A cluster, in parts of at most ``PART``, is a group; every other class is a group of its own.
-2. The matrix has a row for each (shingle, group) of the groups' first shingles. Groups that meet in a row and can agree in
-   size are candidates, unless they are linked already or meet in too few rows.
+2. The matrix has a row for each (shingle, group) of the groups' first shingles, with how much may still follow it. Groups
+   that meet in a row, can agree in size and have enough left there are candidates, unless they are linked already or meet in
+   too few rows. Of what two similar classes share, the ``MEETINGS`` first have at most that many less one left out before
+   them; so texts with many edits of their own don't meet in what a hot text has left to each of them.
 3. A candidate's classes are queries against the other group: a query opens the group only if the union of the
    group's shingles holds ceil(t n) of its own; then members of fitting size are compared until one is similar.
 4. Links join whole groups, which are linked inside through their leader, so a group needs no second link to a query.
@@ -35,6 +37,7 @@ from brightloom.llm.names import free, own
 ship_by_value(__name__)
 
 MOST_HOT, HOT = 1_000_000, 64
+MEETINGS = 2
 LEADERS, PART, PART_BYTES, QUERY_ROWS = 16, 256, 1 << 23, 2048
 MOST_BROADCAST = 500_000
 ROWS = "doc_id bigint, tkey binary, sid binary, n bigint, first array<bigint>"
@@ -111,6 +114,20 @@ def least_met(low_g, high_g, low_h, high_h, percent: int):
     return np.minimum(one(high_g, low_h), one(high_h, low_g))
 
 
+def left_over(n, place, percent: int):
+    """By how much a class of ``n`` shingles, with one at ``place`` of its order, may exceed a partner: see ``enough_left``."""
+    return 100 * n - (100 + percent) * place
+
+
+def enough_left(left, low, percent: int):
+    """Whether a shingle with this ``left_over`` can be among the ``MEETINGS`` first that its class shares with one of ``low`` shingles.
+
+    Similar classes of n and m share at least percent * (n + m) / (100 + percent), and what they share from the k-th common
+    shingle on is all but k - 1 of that; it lies at that place or later.
+    """
+    return left >= percent * low - (100 + percent) * (MEETINGS - 1)
+
+
 def _sid(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -275,35 +292,41 @@ def _rare_first(docs, first, size, percent) -> DataFrame:
 
 def _meeting(percent):
     """Over rows sorted by token: pairs of groups of different leaders that can agree in size, with the tokens they meet in."""
-    def pairs_of(token, group, leader, low, high, rows):
-        order = np.lexsort((group, token))
-        token, group, leader, low, high, rows = (x[order].astype(np.int64) for x in (token, group, leader, low, high, rows))
-        new = np.append(True, (token[1:] != token[:-1]) | (group[1:] != group[:-1]))
-        token, group, leader, low, high, rows = (x[new] for x in (token, group, leader, low, high, rows))
+    def pairs_of(*columns):
+        token, group, leader, low, high, rows, left = (x.astype(np.int64) for x in columns)
+        strong = enough_left(left, low, percent)  # of a pair at least the one of smaller ``low`` is
+        order = np.lexsort((-left, group, ~strong, token))
+        token, group, leader, low, high, rows, left, strong = (x[order] for x in (token, group, leader, low, high, rows, left, strong))
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         lengths = np.diff(np.append(starts, len(token)))
+        firsts = np.minimum(np.add.reduceat(strong.astype(np.int64), starts), lengths - 1)
+        shapes = np.column_stack([lengths, firsts])
         found = []
-        for k in np.unique(lengths[lengths > 1]):
-            runs = starts[lengths == k]
+        for k, m in np.unique(shapes[firsts > 0], axis=0):
+            runs = starts[(lengths == k) & (firsts == m)]
             if k <= 1000:
-                step, (i, j) = max(1, 500_000 // (k * k)), np.triu_indices(k, 1)
+                i, j = np.triu_indices(k, 1)
+                i, j = i[i < m], j[i < m]
+                step = max(1, 250_000 // len(i))
                 parts = (((runs[s : s + step, None] + i).ravel(), (runs[s : s + step, None] + j).ravel())
                          for s in range(0, len(runs), step))
             else:  # a few, too long for a table of pairs
-                parts = ((np.full(k - 1 - i, r + i), np.arange(r + i + 1, r + k)) for r in runs for i in range(k - 1))
+                parts = ((np.full(k - 1 - i, r + i), np.arange(r + i + 1, r + k)) for r in runs for i in range(m))
             for a, b in parts:
-                fit = (leader[a] != leader[b]) & (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
+                fit = ((leader[a] != leader[b]) & (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
+                       & enough_left(left[a], low[b], percent) & enough_left(left[b], low[a], percent))
                 a, b = a[fit], b[fit]
-                larger = rows[a] >= rows[b]  # the members of the smaller group will be the queries
-                a, b = np.where(larger, a, b), np.where(larger, b, a)
-                found.append(np.column_stack([group[a], group[b], least_met(low[a], high[a], low[b], high[b], percent)]))
+                larger = (rows[a] > rows[b]) | ((rows[a] == rows[b]) & (group[a] < group[b]))
+                a, b = np.where(larger, a, b), np.where(larger, b, a)  # the members of the smaller group will be the queries
+                least = np.minimum(least_met(low[a], high[a], low[b], high[b], percent), MEETINGS)
+                found.append(np.column_stack([group[a], group[b], least]))
                 if sum(map(len, found)) > 500_000:
                     yield found
                     found = []
         yield found
 
     def run(batches):
-        kept, size, names = [], 0, ("token", "group", "leader", "low", "high", "rows")
+        kept, size, names = [], 0, ("token", "group", "leader", "low", "high", "rows", "left")
 
         def emit(parts):
             for found in parts:
@@ -367,7 +390,6 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     ).select(F.monotonically_increasing_id().alias("cid"), "sid", "rep.doc_id", "rep.tkey", "n", "first"), "classes")
 
     first = _rare_first(docs, classes.select("cid", "doc_id", "tkey", "n", "first"), size, percent)
-    first = first.select("cid", "first")
     # near copies mostly share their shingle of least hash, whatever is rare in them
     buckets = classes.select("cid", "doc_id", "tkey", "n", F.get("first", F.lit(0)).alias("bucket"))
     clusters = materialise(_cluster(docs, buckets, size, percent), "clusters")
@@ -391,8 +413,9 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
         *(F.coalesce(c, "n").cast("int").alias(c) for c in ("low", "high")), F.coalesce("rows", F.lit(1)).cast("int").alias("rows")), "groups")
 
     entry = ["token", "group", "leader", "low", "high", "rows"]
-    entries = first.select("cid", "first").join(_checked(groups.select("cid", *entry[1:])), "cid").select(F.explode("first").alias("token"), *entry[1:])
-    matrix = entries.where("rows = 1").union(entries.where("rows > 1").distinct())
+    entries = first.select("cid", "n", "first").join(_checked(groups.select("cid", *entry[1:])), "cid").select(
+        F.posexplode("first").alias("place", "token"), "n", *entry[1:]).select(*entry, left_over(F.col("n"), F.col("place"), percent).alias("left"))
+    matrix = entries.where("rows = 1").union(entries.where("rows > 1").groupBy(*entry).agg(F.max("left").alias("left")))
     met = matrix.repartition("token").sortWithinPartitions("token").mapInArrow(
         _meeting(percent), "g bigint, h bigint, c bigint, least bigint")
     pairs = materialise(met.groupBy("g", "h").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least").select("g", "h"), "pairs")

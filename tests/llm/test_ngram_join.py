@@ -1,4 +1,6 @@
+import random
 import re
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -76,3 +78,53 @@ def test_bound_on_shared_first_shingles():
             sizes = [np.array([len(x)]) for x in (a, a, b, b)]
             least = int(ngram_join.least_met(*sizes, 85)[0])
             assert len(np.intersect1d(fa, fb)) >= max(1, least)
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.sample(range(4, len(words) - 4), edits):
+        words[at] = f"own{rng.random()}"
+    return " ".join(words)
+
+
+def test_dissimilar_edits_of_a_hot_text_do_not_all_meet(spark, monkeypatch, tmp_path):
+    """What a hot text has left to each of its edited copies gives no row for every two of them, and no link is lost."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = [(i, edited(rng, base, 5)) for i in range(120)] + [(i, edited(rng, base, 2)) for i in range(120, 140)]
+    texts += [(i, edited(rng, texts[i - 140][1].split(), 1)) for i in range(140, 160)]
+    real = ngram_join._meeting
+
+    def counted(percent):
+        meet = real(percent)
+
+        def run(batches):
+            for batch in meet(batches):
+                (tmp_path / uuid.uuid4().hex).write_text(str(batch.num_rows))
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "HOT", 10)
+    monkeypatch.setattr(ngram_join, "_meeting", counted)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [tuple(r) for r in ngram_join.join(df).collect()]
+    assert key(got) == key(brute(texts, 4, 85))
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 10 * len(texts)
+
+
+def test_bound_on_the_places_of_first_meetings():
+    """Similar sets meet, in the first shingles of both, as often as is asked in places that leave enough."""
+    rng = np.random.default_rng(5)
+    hot = np.arange(0, 90, 4).astype(np.uint64)
+    for _ in range(600):
+        a = np.unique(rng.integers(0, 90, rng.integers(4, 80)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 90, 3).astype(np.uint64)]))
+        if not len(b) or not ngram_join.similar(a, b, 80):
+            continue
+        fa, fb = (ngram_join.first_shingles(x, 80, hot).tolist() for x in (a, b))
+        places = [(fa.index(x), fb.index(x)) for x in set(fa) & set(fb)]
+        met = sum(ngram_join.enough_left(ngram_join.left_over(len(a), i, 80), len(b), 80)
+                  and ngram_join.enough_left(ngram_join.left_over(len(b), j, 80), len(a), 80) for i, j in places)
+        least = int(ngram_join.least_met(*(np.array([len(x)]) for x in (a, a, b, b)), 80)[0])
+        assert met >= max(1, min(ngram_join.MEETINGS, least))
