@@ -11,6 +11,11 @@ LANES, EXPAND = 512, 4
 REPAIRS = 4  # links that a node takes on for nodes which no walk reaches
 
 
+def similarities(vectors, ids, queries) -> np.ndarray:
+    """Of each query to the vectors of its row of ``ids``; any number for -1."""
+    return np.matmul(vectors.take(ids, axis=0, mode="wrap"), queries[:, :, None])[:, :, 0]
+
+
 def search_level(vectors, neighbours, queries, entries, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, similarities) of a beam search in one level, best first; -1 where fewer were reached.
 
@@ -44,15 +49,16 @@ def search_level(vectors, neighbours, queries, entries, beam: int) -> tuple[np.n
             found.sort(axis=1)
             found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
             found[seen[rows, found]] = -1
+            found = -np.sort(-found, axis=1)  # most have been seen: only what is new is compared
+            found = found[:, : int((found >= 0).sum(1).max(initial=0))]
             seen[rows, found] = True
-            new = np.where(found >= 0, np.einsum("qd,qed->qe", q[active], vectors[found]), -np.inf)
+            new = np.where(found >= 0, similarities(vectors, found, q[active]), np.float32(-np.inf))
             all_sims = np.concatenate([sims[active], new], axis=1)
             all_ids = np.concatenate([ids[active], found], axis=1)
             all_done = np.concatenate([done[active], found < 0], axis=1)
             keep = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
-            sims[active] = np.take_along_axis(all_sims, keep, 1)
-            ids[active] = np.take_along_axis(all_ids, keep, 1)
-            done[active] = np.take_along_axis(all_done, keep, 1)
+            keep += np.arange(len(active))[:, None] * all_sims.shape[1]
+            sims[active], ids[active], done[active] = all_sims.take(keep), all_ids.take(keep), all_done.take(keep)
         order = np.argsort(-sims, axis=1)[:, :beam]
         out_ids.append(np.where(np.isfinite(np.take_along_axis(sims, order, 1)), np.take_along_axis(ids, order, 1), -1))
         out_sims.append(np.take_along_axis(sims, order, 1))
@@ -64,8 +70,8 @@ def search_level(vectors, neighbours, queries, entries, beam: int) -> tuple[np.n
 def choose(vectors, candidates, sims, links: int) -> np.ndarray:
     """Of each row's candidates (best first) those not closer to one already chosen, then the best of the rest."""
     n, c = candidates.shape
-    own = vectors[candidates]
-    between = np.einsum("ncd,ned->nce", own, own)
+    own = vectors.take(candidates, axis=0, mode="wrap")
+    between = np.matmul(own, own.transpose(0, 2, 1))
     chosen = np.zeros((n, c), bool)
     for i in range(c):
         close = np.where(chosen, between[:, i, :], -np.inf).max(1)
@@ -181,7 +187,7 @@ class Graph:
             all_ids = np.concatenate([neighbours[part], extra], axis=1)
             all_ids.sort(axis=1)
             all_ids[:, 1:][all_ids[:, 1:] == all_ids[:, :-1]] = -1
-            sims = np.where(all_ids >= 0, np.einsum("nd,nmd->nm", own[part], own[all_ids]), -np.inf)
+            sims = np.where(all_ids >= 0, similarities(own, all_ids, own[part]), np.float32(-np.inf))
             order = np.argsort(-sims, axis=1)[:, : 2 * width]
             all_ids, sims = np.take_along_axis(all_ids, order, 1), np.take_along_axis(sims, order, 1)
             full = (all_ids >= 0).sum(1) > width

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.llm import embedding_dedup
+from brightloom.llm import embedding_dedup, hnsw
 from brightloom.llm.components import components
 from brightloom.llm.hnsw import Graph
 
@@ -187,3 +187,18 @@ def test_links_of_real_graphs(monkeypatch):
         sizes = np.bincount([i for i, _ in truth], minlength=len(asked))
         rare = {p for p in truth if sizes[p[0]] <= 2}
         assert len(rare & got) >= 0.99 * len(rare)
+
+
+def test_only_new_vectors_are_compared(monkeypatch):
+    """A walk compares what it has not seen, in no more columns than the row with the most of it needs."""
+    x = sparse_and_hot(1500, 100, 20).astype(np.float32)
+    graph, real, asked = Graph(x), hnsw.similarities, []
+    monkeypatch.setattr(hnsw, "similarities", lambda vectors, ids, queries: asked.append(ids.copy()) or real(vectors, ids, queries))
+    ids, sims = graph.search(x[:300], 32)
+    assert asked and all((a >= 0).all(1).any() for a in asked if a.size)
+    wide = sum(a.size for a in asked)
+    assert wide < 0.7 * sum(len(a) for a in asked) * hnsw.EXPAND * graph.neighbours[0].shape[1]
+    there = ids >= 0
+    assert np.allclose(sims[there], np.einsum("qd,qed->qe", x[:300], x[ids])[there], atol=1e-5)
+    truth = true_links(x[:300], x)
+    assert len(truth & {(i, int(j)) for i, row in enumerate(ids) for j in row}) >= 0.99 * len(truth)
