@@ -16,6 +16,7 @@ can be read by any task:
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,14 +28,10 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.runtime import ship_by_value
 from brightloom.llm import range_coder, words
-from brightloom.llm.words import WordIds
 
 BLOCK_IDS = 1 << 20
-#: The split before the merges, for texts of characters below U+0500 (fixed by the vocabulary, spelled for Java).
-SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\x85\xA0\p{L}\p{N}]+"
-         r"|[\s\x85\xA0]+(?![^\s\x85\xA0])|[\s\x85\xA0]+")
-#: Texts that go to the library whole: characters beyond, whose classes depend on the Unicode version, and special tokens.
-WHOLE = r"[^\x00-\x{4FF}]|<\|endoftext\|>"
+#: Bytes of text that are cut and encoded at a time; longer texts are taken alone.
+SLICE_BYTES = 16 << 20
 
 BLOCKS = (
     "file int, block int, first bigint, n_ids int, payload binary, "
@@ -48,70 +45,79 @@ ship_by_value(__name__)
 
 
 def _tokenizer(path):
+    # a task has one core, and the pool of threads would be the library's own
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-def _word_encoder(tokenizer):
-    def encode(some: list[str]):
-        found = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-        return found.ids, np.bincount(np.array(found.word_ids, np.int64), minlength=len(some))
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where slices of about SLICE_BYTES begin and end."""
+    _, ends = words.bytes_of(texts)
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + SLICE_BYTES, side="right")) - 1)
+        yield begin, end
+        begin = end
 
-    return encode
 
-
-def _encoded(batches, tokenizer_path) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(doc_ids, ids of all documents of a batch, ids of each) without end ids."""
-    tokenizer = _tokenizer(tokenizer_path)
-    store = WordIds(_word_encoder(tokenizer))
+def _encoded(batches, tokenizer_path) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids of all documents of a slice, ids of each) without end ids."""
+    store = words.of_worker(("token_files", tokenizer_path), lambda: words.PieceIds(_tokenizer(tokenizer_path)))
     for batch in batches:
-        whole = np.array(batch["whole"], dtype=bool)
-        lists = batch["words"]
-        code = lists.flatten().dictionary_encode()
-        ids, sizes = store.of(code.dictionary.to_pylist(), code.indices.to_numpy(zero_copy_only=False))
-        ends = np.append(0, np.cumsum(sizes))
-        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        per_doc = ends[bounds[1:]] - ends[bounds[:-1]]
-        if whole.any():
-            pieces = np.split(ids, np.cumsum(per_doc)[:-1])
-            texts = batch["text"]
-            for i in np.flatnonzero(whole):
-                pieces[i] = np.array(tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint16)
-            ids, per_doc = np.concatenate(pieces), np.array([len(p) for p in pieces])
-        yield batch["doc_id"].to_pylist(), ids, per_doc
+        for begin, end in _slices(batch["text"]):
+            pieces, before = words.cuts(batch["text"].slice(begin, end - begin))
+            ids, sizes = store.of(pieces)
+            ends = np.append(0, np.cumsum(sizes))
+            yield batch["doc_id"].slice(begin, end - begin), ids, np.diff(ends[before])
+
+
+def _parts(begin, end, block_ids):
+    """Cut runs of ids (at least one each) where blocks begin: of each part its run, number in the run, begin and end."""
+    count = (end - 1) // block_ids - begin // block_ids + 1
+    run = np.repeat(np.arange(len(begin)), count)
+    part = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    block = begin[run] // block_ids + part
+    return run, part, np.maximum(begin[run], block * block_ids), np.minimum(end[run], (block + 1) * block_ids)
 
 
 def _packer(tokenizer_path, vocabulary, end_id, block_ids, schema):
+    layout = schema.field("docs").type.value_type
+
     def pack(batches):
         file = TaskContext.get().partitionId()
-        block, ordinal, filled, first = 0, 0, 0, 0
-        held: list[np.ndarray] = []
-        docs: list[dict] = []
+        held: list[np.ndarray] = []     # what the open block has so far
+        docs: list[pa.Array] = []
+        block, ordinal, done = 0, 0, 0  # done: ids of the file so far
 
         def flush():
-            nonlocal block, filled, first, held, docs
-            payload = range_coder.encode(np.concatenate(held), vocabulary)
-            row = {"file": file, "block": block, "first": first, "n_ids": filled, "payload": payload, "docs": docs}
-            block, filled, first, held, docs = block + 1, 0, first + filled, [], []
-            return pa.RecordBatch.from_pylist([row], schema=schema)
+            nonlocal block, held, docs
+            ids, own = np.concatenate(held), pa.concat_arrays(docs)
+            row = [[file], [block], [block * block_ids], [len(ids)], [range_coder.encode(ids, vocabulary)]]
+            arrays = [pa.array(v, f.type) for v, f in zip(row, schema)]
+            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own).cast(schema.field("docs").type))
+            block, held, docs = block + 1, [], []
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
         for doc_ids, ids, sizes in _encoded(batches, tokenizer_path):
-            cuts = np.cumsum(sizes)
-            ids = np.insert(ids, cuts, end_id)
-            start = 0
-            for doc_id, n in zip(doc_ids, (sizes + 1).tolist()):
-                part, done = 0, 0
-                while done < n:
-                    here = min(n - done, block_ids - filled)
-                    held.append(ids[start + done : start + done + here])
-                    docs.append({"ordinal": ordinal, "doc_id": doc_id, "part": part, "at": filled, "n": here, "n_tokens": n})
-                    filled, done, part = filled + here, done + here, part + 1
-                    if filled == block_ids:
-                        yield flush()
-                start += n
-                ordinal += 1
-        if filled:
+            ids = np.insert(ids, np.cumsum(sizes), end_id)
+            sizes = sizes + 1
+            ends = done + np.cumsum(sizes)
+            run, part, begin, end = _parts(ends - sizes, ends, block_ids)
+            columns = [pa.array(ordinal + run), doc_ids.take(pa.array(run)), pa.array(part), pa.array(begin % block_ids),
+                       pa.array(end - begin), pa.array(sizes[run])]
+            rows = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, layout)], fields=list(layout))
+            stops = np.append(np.flatnonzero(np.diff(begin // block_ids)) + 1, len(run))
+            at = 0
+            for stop in stops.tolist():
+                held.append(ids[begin[at] - done : end[stop - 1] - done])
+                docs.append(rows.slice(at, stop - at))
+                if end[stop - 1] == (block + 1) * block_ids:
+                    yield flush()
+                at = stop
+            done, ordinal = int(ends[-1]), ordinal + len(sizes)
+        if held:
             yield flush()
 
     return pack
@@ -120,17 +126,20 @@ def _packer(tokenizer_path, vocabulary, end_id, block_ids, schema):
 def _unpack(schema):
     def unpack(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = memoryview(range_coder.decode(row["payload"]).tobytes())
-                out = []
-                for d in row["docs"]:
-                    own = ids[4 * d["at"] : 4 * (d["at"] + d["n"])]
-                    alone = d["n"] == d["n_tokens"]
-                    out.append({
-                        "file": row["file"], "ordinal": d["ordinal"], "doc_id": d["doc_id"], "part": d["part"],
-                        "start": row["first"] + d["at"], "n_tokens": d["n_tokens"], "crc": zlib.crc32(own) if alone else None, "ids": None if alone else bytes(own),
-                    })
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+            for i in range(batch.num_rows):
+                docs = batch["docs"].slice(i, 1).flatten()
+                ordinal, doc_id, part, at, n, n_tokens = docs.flatten()
+                begin, size, whole = (c.to_numpy().astype(np.int64) for c in (at, n, n_tokens))
+                ids = memoryview(range_coder.decode(batch["payload"][i].as_py()).tobytes())
+                alone = (size == whole).tolist()
+                runs = [ids[b:e] for b, e in zip((4 * begin).tolist(), (4 * (begin + size)).tolist())]
+                columns = [
+                    pa.array(np.full(len(docs), batch["file"][i].as_py())), ordinal, doc_id, part,
+                    pa.array(batch["first"][i].as_py() + begin), n_tokens,
+                    pa.array([zlib.crc32(r) if a else None for r, a in zip(runs, alone)], pa.int64()),
+                    pa.array([None if a else bytes(r) for r, a in zip(runs, alone)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return unpack
 
@@ -151,12 +160,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int = 502
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "tie", F.struct(F.crc32("text"), F.monotonically_increasing_id())
     ).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    whole = F.col("text").rlike(WHOLE)
-    cut = ordered.select(
-        "doc_id", whole.alias("whole"), F.when(whole, F.col("text")).alias("text"),
-        F.when(whole, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("text", F.lit(SPLIT), 0)).alias("words"),
-    )
-    cut.mapInArrow(_packer(tokenizer_path, vocabulary, end_id, block_ids, _arrow(spark, BLOCKS)), BLOCKS).write.parquet(path)
+    ordered = ordered.drop("tie")
+    ordered.mapInArrow(_packer(tokenizer_path, vocabulary, end_id, block_ids, _arrow(spark, BLOCKS)), BLOCKS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
