@@ -82,6 +82,8 @@ class PieceIds:
         vocabulary = tokenizer.get_vocab()
         # a character of a token is a byte of the text
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        if len(self.lengths) > 1 << 16:
+            raise ValueError(f"a vocabulary of {len(self.lengths)} does not fit 16 bits")
         self.lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._forget()
 
